@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cipherlake.llm import decontaminate, line_dedup, near_dup, packing, topk
+from cipherlake.llm import chat, decontaminate, line_dedup, near_dup, packing, pii, topk
+
+
+#: The registered query's key; real runs bring their own.
+PII_KEY = b"cipherlake"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +38,16 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repaired(table(spark, sf_dir, "conversations"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op3_packing, op5_line_dedup, op7_near_dup, op8_decontaminate)}
+    return {f.__name__: f for f in (op1_topk, op3_packing, op5_line_dedup, op7_near_dup, op8_decontaminate, op9_chat, op10_pii)}
 
 
 OP1_SQL = """

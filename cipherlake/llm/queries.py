@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cipherlake.llm import chat, decontaminate, line_dedup, near_dup, packing, pii, topk
+from cipherlake.llm import chat, decontaminate, language, line_dedup, near_dup, packing, pii, quality, topk
 
 
 #: The registered query's key; real runs bring their own.
@@ -17,11 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(parts: int, which: int) -> Column:
+    """Whether crc32 of the document's number as text leaves ``which`` over ``parts``."""
+    return F.crc32(F.col("doc_id").cast("string")) % parts == which
+
+
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder(4, 2))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -30,6 +40,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict(table(spark, sf_dir, "documents"), remainder(3, 1))
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.components(table(spark, sf_dir, "documents"))
 
@@ -47,7 +61,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op3_packing, op5_line_dedup, op7_near_dup, op8_decontaminate, op9_chat, op10_pii)}
+    return {f.__name__: f for f in (op1_topk, op2_quality, op3_packing, op5_line_dedup, op6_language, op7_near_dup, op8_decontaminate, op9_chat, op10_pii)}
 
 
 OP1_SQL = """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherlake.llm import chat, decontaminate, language, line_dedup, near_dup, packing, pii, quality, topk
+from cipherlake.llm import chat, decontaminate, language, line_dedup, near_dup, packing, pii, quality, substring_dedup, topk
 
 
 #: The registered query's key; real runs bring their own.
@@ -36,6 +36,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed")
 
@@ -61,7 +65,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_quality, op3_packing, op5_line_dedup, op6_language, op7_near_dup, op8_decontaminate, op9_chat, op10_pii)}
+    return {f.__name__: f for f in (op1_topk, op2_quality, op3_packing, op4_substring_dedup, op5_line_dedup, op6_language, op7_near_dup, op8_decontaminate, op9_chat, op10_pii)}
 
 
 OP1_SQL = """

@@ -493,9 +493,10 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 NODE = ("endpoint", "cluster_id", "edge_count", "unique_neighbors", "suspicious_flow_count", "mean_incident_score", "max_incident_score", "risk_mass", "is_private")
 
 
-@query("select endpoint, cluster_id, edge_count, unique_neighbors, suspicious_flow_count, round(mean_incident_score, 6) as mean_incident_score, max_incident_score, round(risk_mass, 6) as risk_mass, is_private from nodes", "nodes")
+@query("select endpoint, cluster_id, edge_count, unique_neighbors, suspicious_flow_count, round(mean_incident_score + 1e-9, 6) as mean_incident_score, max_incident_score, round(risk_mass + 1e-9, 6) as risk_mass, is_private from nodes", "nodes")
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(graph_tables(spark, sf_dir)["nodes"].select(*NODE), "mean_incident_score", "risk_mass")
+    # Scores have few digits, so means may lie just between two roundings; the offset decides.
+    return graph_tables(spark, sf_dir)["nodes"].select(*NODE).withColumns({c: r(F.col(c) + 1e-9) for c in ("mean_incident_score", "risk_mass")})
 
 
 CLUSTER = ("cluster_id", "suspicious_flow_count", "mean_consensus_score", "max_consensus_score", "unique_captures", "unique_windows", "edge_count", "endpoint_count", "private_endpoint_count", "public_endpoint_count")

@@ -12,8 +12,8 @@ matrix over (role before, role after); the matrices of the stretches at
 partition borders are joined to fix the roles at the borders, and then each
 partition repairs its own rows.
 
-Cases: rows of a conversation go by ``turn`` (nulls first), then role, then
-text; a null or unknown role has to be relabelled; a null text is an empty
+Cases: rows of a conversation go by ``turn`` (nulls first), then role, then a
+hash of the text; a null or unknown role has to be relabelled; a null text is an empty
 one; rows without ``conv_id`` form one conversation; an empty table gives an
 empty result; further columns take no part.
 """
@@ -104,8 +104,10 @@ def repaired(turns: DataFrame) -> DataFrame:
     names = turns.select("conv_id", "turn", "role", "text")
     number = max(spark.sparkContext.defaultParallelism, 1 + names.count() // ROWS)
     kind = names.schema["conv_id"].dataType.simpleString()
-    order = ["conv_id", "turn", "role", "text"]
-    ordered = names.withColumn("turn", F.col("turn").cast("long")).repartitionByRange(number, "conv_id", "turn", "role", F.xxhash64("text")).sortWithinPartitions(*order).checkpoint()
+    # The last key tells equal rows apart, so that any number of them can be split.
+    order = ["conv_id", "turn", "role", F.xxhash64("text"), "__row"]
+    keyed = names.withColumns({"turn": F.col("turn").cast("long"), "__row": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange(number, *order).sortWithinPartitions(*order).drop("__row").checkpoint()
     cost, how = moves()
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

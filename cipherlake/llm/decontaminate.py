@@ -11,9 +11,8 @@ sum of least counts over sum of largest counts.
 
 Cases: null or wordless texts and items match nothing; an item or text of
 fewer words than a shingle is one shingle; a document shorter than an item is
-one window; repeated rows give repeated results only if their ``doc_id``
-differ; an empty table on either side gives an empty result; further columns
-take no part.
+one window; repeated rows give repeated results; an empty table on either side
+gives an empty result; further columns take no part.
 """
 
 from __future__ import annotations
@@ -154,5 +153,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: st
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose documents hold no benchmark item; all columns stay."""
-    found = materialize(leaks(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct())
-    return docs.join(small(found), docs["doc_id"].cast("long") == F.col("leaked"), "left_anti")
+    found = materialize(leaks(docs, benchmark).select(F.col("doc_id").alias("__leaked")).distinct())
+    return docs.join(small(found), docs["doc_id"].cast("long") == F.col("__leaked"), "left_anti")

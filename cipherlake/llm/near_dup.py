@@ -111,5 +111,5 @@ def components(docs: DataFrame, threshold: int = 75) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """The rows of ``docs`` whose document is the first of its group; all columns stay."""
-    gone = materialize(components(docs, threshold).where("not kept").select("doc_id").distinct())
-    return docs.join(small(gone), docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    gone = materialize(components(docs, threshold).where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(small(gone), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")

@@ -22,8 +22,8 @@ SURE = 0.4
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with some certainty; texts without a letter go."""
     found = materialize(language.predict(docs, remainder(3, 1)).where((F.col("lang_pred") == "und") | (F.col("score") < SURE)))
-    gone = found.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(small(materialize(gone)), docs["doc_id"].cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
+    gone = found.select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(small(materialize(gone)), docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -250,6 +250,16 @@ def alert_level(tier1: Column, tier2: Column, passes: Column, models: int, conse
     return F.when(sure(tier2 & (passes >= models) & (consensus >= high)), "high").when(sure(tier2), "medium").when(sure(tier1), "candidate").otherwise("none")
 
 
+def display_number(column: Column) -> Column:
+    """A count with thousands set off."""
+    return F.format_number(column, 0)
+
+
+def display_percent(column: Column) -> Column:
+    """A share as a percentage with one decimal."""
+    return F.concat(F.format_number(column * 100, 1), F.lit("%"))
+
+
 def is_truncated(text: Column) -> Column:
     """Whether a tool's message tells of a capture that was cut short."""
     return F.coalesce(any_of([F.lower(text).contains(marker) for marker in TRUNCATION_MARKERS]), F.lit(False))

@@ -19,6 +19,12 @@ def require(df: DataFrame, columns: Sequence[str]) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def flow_times(flows: DataFrame) -> DataFrame:
+    """Adds ``ts`` in seconds and ``proto_num``, the protocol as a number."""
+    require(flows, [*KEYS, "bidirectional_first_seen_ms"])
+    return flows.withColumns({"ts": F.col("bidirectional_first_seen_ms") / 1000, "proto_num": numeric(F.col("protocol")).cast("long")})
+
+
 def both_orientations(conn: DataFrame) -> DataFrame:
     """Each connection once as logged and once with its ends exchanged, in one scan.
 

@@ -88,6 +88,11 @@ def column_roles(table: DataFrame, target: str, excluded: Sequence[str] = ()) ->
     return features, reasons
 
 
+def label_lookup(table: DataFrame, target: str = "label_id", label: str = "label") -> DataFrame:
+    """Each pair of a label's number and name, in order."""
+    return table.select(target, label).distinct().orderBy(target, label)
+
+
 def align(table: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """The columns a model was trained on: missing ones null, others dropped, all as doubles."""
     have = set(table.columns)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cipherlake.functions import expr
 from cipherlake.operators import asof, canonical, detect, features, gates, graph, links, metrics, report, train
+from cipherlake.plans import flows as ways
 from cipherlake.plans.scratch import materialize, scratch_root
 from cipherlake.plans.views import table, view, with_views
 from cipherlake.streaming import flows as streams
@@ -702,6 +703,41 @@ def link_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.reachable(links.page_links(pages), pages.select("url"), 5)
 
 
+@query("select distinct label_id, case label_id when 1 then 'malicious' else 'benign' end as label from flows", "flows")
+def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = view(spark, sf_dir, "flows").withColumn("label", F.when(F.col("label_id") == 1, "malicious").otherwise("benign"))
+    return features.label_lookup(named)
+
+
+@query("select event_id, bidirectional_first_seen_ms / 1000 as ts, cast(protocol as bigint) as proto_num, format('{:,}', bidirectional_first_seen_ms) as shown from flows", "flows")
+def flow_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asof.flow_times(view(spark, sf_dir, "flows")).select("event_id", "ts", "proto_num", expr.display_number(F.col("bidirectional_first_seen_ms")).alias("shown"))
+
+
+@query()
+def prepared_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    certs = view(spark, sf_dir, "certs")
+    logs = {"conn": view(spark, sf_dir, "conn"), "ssl": certs.select("key_length", "subject", "uid"), "x509": certs}
+    return ways.prepare_dataset("events", view(spark, sf_dir, "flows"), logs, "event_id", allow_failures=True).features
+
+
+@query()
+def dashboard_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = materialize(tiered(spark, sf_dir))
+    return report.snapshot(ways.dashboard(rows, graph.build(detect.suspicious(rows)), "event_id"))
+
+
+@query()
+def capture_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [*NUMBERS, "lasted"]
+    flows = view(spark, sf_dir, "flows").withColumn("lasted", F.col("bidirectional_last_seen_ms") - F.col("bidirectional_first_seen_ms"))
+    rows = train.impute(flows, train.medians(flows, names))
+    fitted = {name: train.fit(rows, "label_id", names, make()) for name, make in train.estimators(**FAST).items()}
+    scorer = {name: lambda d, m=m: train.probability(m, d) for name, m in fitted.items()}
+    made = ways.score_capture(rows.drop("label_id"), "events", "capture", ORDER, scorer.pop("gaussian_nb"), 0.3, scorer, detect.Rules())
+    return made["scored"].select("event_id", "record_id", "window_id", "tier1_probability", "random_forest_probability", "tier2_pass", "alert_level")
+
+
 # Training (no SQL equivalent)
 
 

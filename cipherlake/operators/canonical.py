@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cipherlake.functions.expr import numeric, protocol_family, quality_status, record_id
+from cipherlake.operators.ranking import range_number
 
 # The canonical metadata columns in their order, and the labels.
 METADATA = (
@@ -83,8 +84,7 @@ def row_index(rows: DataFrame, order: Sequence[str], name: str = "source_row_ind
     Rows are dealt by ranges of the order; each range is numbered on its own
     and starts after the rows of the ranges before it, so no task sees all rows.
     """
-    cuts = rows.select(F.col(order[0]).cast("double").alias("x")).agg(F.percentile_approx("x", [i / groups for i in range(1, groups)], 10_000).alias("cuts"))
-    dealt = rows.join(F.broadcast(cuts)).withColumn("_g", F.when(F.col(order[0]).isNull(), -1).otherwise(F.size(F.filter(F.coalesce("cuts", F.array()), lambda c: c < F.col(order[0]).cast("double"))))).drop("cuts")
+    dealt = rows.withColumn("_g", range_number(rows, order[0], groups))
     before = dealt.groupBy("_g").agg(F.count("*").alias("_c"))
     before = before.select(F.col("_g"), F.coalesce(F.sum("_c").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     within = Window.partitionBy("_g").orderBy(*order)

@@ -72,7 +72,7 @@ def stage_metrics(tiered: DataFrame, y: str = "label_id") -> DataFrame:
     out = None
     for stage, passed, score in (("tier1", "tier1_pass", F.col("tier1_probability")), ("tier2", "tier2_pass", F.coalesce("tier2_consensus_score", F.lit(0.0)))):
         rows = tiered.select(F.col(y).alias("y"), F.col(passed).alias("said"), score.alias("score"))
-        one = metrics.binary_metrics(rows, "y", F.col("said")).join(F.broadcast(metrics.ranking_metrics(rows, "y", "score"))).withColumn("stage", F.lit(stage))
+        one = metrics.binary_metrics(rows, "y", F.col("said")).withColumn("stage", F.lit(stage)).join(metrics.ranking_metrics(rows, "y", "score").withColumn("stage", F.lit(stage)), "stage")
         out = one if out is None else out.union(one)
     return out
 

@@ -106,9 +106,9 @@ def coerced(table: DataFrame) -> DataFrame:
 
 def shape(table: DataFrame) -> DataFrame:
     """Rows, duplicate rows and missing values."""
-    missing = sum((F.count_if(numeric(F.col(c)).isNull()) for c in table.columns), F.lit(0))
-    per_row = table.groupBy(*table.columns).agg(F.count("*").alias("_n")).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
-    return per_row.join(F.broadcast(table.agg(missing.cast("long").alias("missing_values"))))
+    missing = sum((numeric(F.col(c)).isNull().cast("long") for c in table.columns), F.lit(0))
+    per_row = table.groupBy(*table.columns).agg(F.count("*").alias("_n")).withColumn("_m", missing)
+    return per_row.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"), F.coalesce(F.sum(F.col("_n") * F.col("_m")), F.lit(0)).alias("missing_values"))
 
 
 def ranges(table: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cipherlake.operators.ranking import range_number
+
 #: Steps of the threshold sweep.
 STEPS = 200
 
@@ -70,8 +72,7 @@ def cumulated(rows: DataFrame, y: str, score: str, groups: int = 256) -> DataFra
     from the sum of the ranges above it, so no task sees all scores.
     """
     counts = rows.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) != 1).alias("n"))
-    cuts = counts.agg(F.percentile_approx("score", [i / groups for i in range(1, groups)], 10_000).alias("cuts"))
-    dealt = counts.join(F.broadcast(cuts)).withColumn("_g", F.size(F.filter(F.coalesce("cuts", F.array()), lambda c: c < F.col("score")))).drop("cuts")
+    dealt = counts.withColumn("_g", range_number(counts, "score", groups))
     higher = Window.orderBy(F.desc("_g")).rowsBetween(Window.unboundedPreceding, -1)
     base = dealt.groupBy("_g").agg(F.sum("p").alias("gp"), F.sum("n").alias("gn"))
     base = base.select("_g", F.coalesce(F.sum("gp").over(higher), F.lit(0)).alias("bp"), F.coalesce(F.sum("gn").over(higher), F.lit(0)).alias("bn"))
@@ -89,9 +90,9 @@ def ranking_metrics(rows: DataFrame, y: str, score: str) -> DataFrame:
 def curves(rows: DataFrame, y: str, score: str) -> DataFrame:
     """``threshold, fpr, tpr, precision, recall`` at each distinct score."""
     points = cumulated(rows, y, score)
-    totals = points.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    joined = points.join(F.broadcast(totals))
-    return joined.select(F.col("score").alias("threshold"), ratio(F.col("fp"), F.col("all_n")).alias("fpr"), ratio(F.col("tp"), F.col("all_p")).alias("tpr"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("all_p")).alias("recall"))
+    totals = rows.where(F.col(y).isNotNull() & F.col(score).isNotNull()).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) != 1).alias("n")).first()
+    positives, negatives = F.lit(totals["p"]), F.lit(totals["n"])
+    return points.select(F.col("score").alias("threshold"), ratio(F.col("fp"), negatives).alias("fpr"), ratio(F.col("tp"), positives).alias("tpr"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), positives).alias("recall"))
 
 
 def confusion_matrix(rows: DataFrame, y: str, predicted: Column) -> DataFrame:

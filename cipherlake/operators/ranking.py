@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cipherlake.plans.scratch import materialize
 
 
+def range_number(rows: DataFrame, column: str, groups: int) -> Column:
+    """The number of the range that a row's ``column`` falls in, of about equal ranges; -1 for null.
+
+    The borders, fewer than ``groups`` numbers, come from approximate
+    percentiles.  Equal values fall in one range.
+    """
+    cuts = rows.agg(F.percentile_approx(F.col(column).cast("double"), [i / groups for i in range(1, groups)], 10_000)).first()[0] or []
+    borders = F.array(*(F.lit(c) for c in sorted(set(cuts)))).cast("array<double>")
+    return F.when(F.col(column).isNull(), -1).otherwise(F.size(F.filter(borders, lambda c: c < F.col(column).cast("double"))))
+
+
 def dense_numbers(rows: DataFrame, column: str, name: str) -> DataFrame:
     """Adds the number (from 0) of each row in order of a unique column.
 

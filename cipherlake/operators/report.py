@@ -144,10 +144,10 @@ def route_label(role: Column, display_name: Column, family: Column) -> Column:
 def group_distribution(flows: DataFrame, key: Column, member: Column, limit: int) -> DataFrame:
     """``name, count, share, subtitle``: the commonest keys with their three commonest members; shares are of all rows."""
     rows = flows.select(expr.clean_text(key).alias("name"), F.when(expr.clean_text(member) != "", expr.clean_text(member)).alias("member"))
-    total = rows.agg(F.count("*").alias("total"))
+    total = F.lit(rows.count())
     groups = rows.where("name <> ''").groupBy("name").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "name").limit(limit)
     tops = top_strings(rows.join(F.broadcast(groups.select("name")), "name", "left_semi"), ["name"], "member", 3, "members")
-    return groups.join(tops, "name", "left").join(F.broadcast(total)).select("name", "count", rate("count", "total").alias("share"), F.coalesce(F.array_join("members", " · "), F.lit("")).alias("subtitle"))
+    return groups.join(tops, "name", "left").select("name", "count", rate("count", total).alias("share"), F.coalesce(F.array_join("members", " · "), F.lit("")).alias("subtitle"))
 
 
 def top_distribution(rows: DataFrame, column: str, limit: int, total: int) -> DataFrame:

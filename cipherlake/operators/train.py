@@ -140,8 +140,8 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, label: str, ke
     ranked = class_ranks(rows, label, key, seed).where(F.col("_rank") < F.ceil(F.col("_size") * min(1.0, most / max(n, 1)))).drop("_rank", "_size")
     # Bounded by ``most``: both orders are numbered on the sample alone.
     sample = ranked.withColumn("_i", F.row_number().over(Window.orderBy(key))).persist()
-    trials = rows.sparkSession.createDataFrame([(f, r) for f in features for r in range(repeats)], "feature string, repeat int")
-    shuffled = sample.select("_i", *features).join(F.broadcast(trials))
+    tried = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat")) for f in features for r in range(repeats))))
+    shuffled = sample.select("_i", *features, tried.alias("t")).select("_i", *features, "t.*")
     order = Window.partitionBy("feature", "repeat").orderBy(F.md5(F.concat_ws(":", "feature", "repeat", F.lit(str(seed)), "_i")))
     values = F.coalesce(*(F.when(F.col("feature") == c, F.col(c).cast("double")) for c in features))
     donor = shuffled.select("feature", "repeat", F.row_number().over(order).alias("_i"), values.alias("_v"))

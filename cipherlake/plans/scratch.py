@@ -13,8 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest number of narrow rows (a key and a few numbers) that is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Largest number of cells (a key and a few numbers, or an element of an array of these) that is broadcast.
+BROADCAST_CELLS = 1_000_000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -50,10 +50,12 @@ def drop_table(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``bound`` rows.
+def small(df: DataFrame, bound: int = BROADCAST_CELLS) -> DataFrame:
+    """``df`` with a broadcast hint if its rows and their array elements are at most ``bound``.
 
     Beyond the bound the frame comes back as it is and the join shuffles.  The
-    frame should be materialized, since its rows are counted.
+    frame should be materialized, since it is counted, and hold numbers only.
     """
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+    arrays = [c for c, kind in df.dtypes if kind.startswith("array")]
+    cells = df.select(sum((F.coalesce(F.size(c), F.lit(0)) for c in arrays), F.lit(1)).cast("long").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return F.broadcast(df) if cells <= bound else df

@@ -92,7 +92,7 @@ def test_near_duplicate_fringe_of_a_large_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
-def test_fuzzy_lines(spark, docs):
+def test_fuzzy_lines(spark, docs, monkeypatch):
     long = "a quick brown fox jumps over the lazy dog and then runs away from the angry bear"
     rows = [(5, f"{long}\nunique line of five"), (2, f"{long.upper()}   \n\nother"), (9, long.replace("lazy", "lamy")), (7, None), (8, ""), (6, "\n\n"), (4, "tiny\ntiny\nTiny"), (None, long)]
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(frame(spark, [*rows, rows[0]])).collect()}
@@ -111,6 +111,11 @@ def test_fuzzy_lines(spark, docs):
     assert links <= want
     linked = lambda pairs: groups(sorted(set(node.values())), lambda a, b: frozenset((a, b)) in pairs)
     assert linked(links) == linked(want)
+    # Buckets count as crowded from one node on.
+    monkeypatch.setattr(line_dedup, "HOT", 1)
+    monkeypatch.setattr(line_dedup, "RATE", 1)
+    split = {frozenset((r["src"], r["dst"])) for r in line_dedup.similar_lines(text, signed).collect()}
+    assert line_dedup.crowded(signed).count() > 0 and linked(split) == linked(want)
 
 
 def test_repeated_passages(spark, docs):

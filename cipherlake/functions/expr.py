@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -61,6 +61,11 @@ HOST_NAMES = {
 }
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which stands and is evaluated once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def any_of(tests: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
@@ -184,35 +189,38 @@ def service_match(text: Column) -> Column:
 
 def service_from_domain(domain: Column) -> Column:
     """Service family of a host name: a known one, else its second-level label; empty for no name."""
-    text = clean_text(domain)
-    labels = F.filter(F.split(F.lower(text), r"\."), lambda x: ~x.isin(*COMMON_LABELS) & (F.length(x) > 2))
-    own = F.when(F.size(labels) >= 2, title_case(F.element_at(labels, -2))).when(F.size(labels) == 1, title_case(F.element_at(labels, 1))).otherwise("Encrypted Service")
-    return F.when(text == "", "").otherwise(F.coalesce(service_match(text), own))
+
+    def own(text: Column) -> Column:
+        """The label before the last of those that tell something, or the only one."""
+        told = F.filter(F.split(F.lower(text), r"\."), lambda x: ~x.isin(*COMMON_LABELS) & (F.length(x) > 2))
+        return let(told, lambda x: F.when(F.size(x) == 0, "Encrypted Service").otherwise(title_case(F.get(x, F.greatest(F.size(x) - 2, F.lit(0))))))
+
+    return let(clean_text(domain), lambda text: F.when(text == "", "").otherwise(F.coalesce(service_match(text), own(text))))
 
 
 def service_from_application(application: Column) -> Column:
     """Service family of an application name such as ``TLS.Google``."""
-    text = clean_text(application)
-    rest = F.when(F.instr(text, ".") > 0, F.substring(text, F.instr(text, ".") + 1, F.length(text))).otherwise(text)
-    plain = F.trim(F.replace(rest, F.lit("_"), F.lit(" ")))
-    return (
-        F.when(text == "", "")
-        .when(F.upper(text) == "TLS", "Encrypted Session")
-        .when(F.upper(text) == "QUIC", "QUIC Session")
-        .otherwise(F.coalesce(service_match(rest), F.when(plain != "", plain), F.lit("Encrypted Session")))
-    )
+
+    def named(rest: Column) -> Column:
+        plain = F.trim(F.replace(rest, F.lit("_"), F.lit(" ")))
+        return F.coalesce(service_match(rest), F.nullif(plain, F.lit("")), F.lit("Encrypted Session"))
+
+    def own(text: Column) -> Column:
+        rest = F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"^[^.]*\.", "")).otherwise(text)
+        return F.when(text == "", "").when(F.upper(text) == "TLS", "Encrypted Session").when(F.upper(text) == "QUIC", "QUIC Session").otherwise(let(rest, named))
+
+    return let(clean_text(application), own)
 
 
 def service_family(domain: Column, application: Column) -> Column:
-    blank = lambda c: F.when(c != "", c)
-    return F.coalesce(blank(service_from_domain(domain)), blank(service_from_application(application)), F.lit("Encrypted Session"))
+    return F.coalesce(F.nullif(service_from_domain(domain), F.lit("")), F.nullif(service_from_application(application), F.lit("")), F.lit("Encrypted Session"))
 
 
 def display_service(domain: Column, application: Column) -> Column:
     """A host's shown name, else the application's family."""
-    host, family = clean_text(domain), service_from_application(application)
     names = F.create_map(*(F.lit(x) for pair in HOST_NAMES.items() for x in pair))
-    return F.when(host != "", F.coalesce(names[F.lower(host)], host)).when(family != "", family).otherwise("Encrypted Session")
+    shown = let(clean_text(domain), lambda host: F.when(host != "", F.coalesce(names[F.lower(host)], host)))
+    return F.coalesce(shown, F.nullif(service_from_application(application), F.lit("")), F.lit("Encrypted Session"))
 
 
 def protocol_label(column: Column) -> Column:

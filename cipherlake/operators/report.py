@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cipherlake.functions import expr
 from cipherlake.operators.detect import top_strings
 from cipherlake.operators.ranking import dense_numbers
+from cipherlake.plans.scratch import materialize
 
 # Names of the first internal gateways, and of the models.
 GREEK = ("Alpha", "Beta", "Gamma", "Delta", "Epsilon", "Zeta", "Eta", "Theta")
@@ -108,9 +109,9 @@ def with_services(flows: DataFrame) -> DataFrame:
     return flows.withColumns({"service_family": expr.service_family(domain, application), "service_name": expr.display_service(domain, application), "protocol_label": expr.protocol_label(F.col("protocol_family"))})
 
 
-def most_common(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """The commonest value per key; ties by value."""
-    counts = rows.groupBy(key, value).agg(F.count("*").alias("_c"))
+def most_common(rows: DataFrame, key: str, value: str, weight: str, name: str) -> DataFrame:
+    """The value of most weight per key; ties by value."""
+    counts = rows.groupBy(key, value).agg(F.sum(weight).alias("_c"))
     return counts.groupBy(key).agg(F.min_by(value, F.struct(-F.col("_c"), F.col(value))).alias(name))
 
 
@@ -120,11 +121,13 @@ def endpoint_catalogue(flows: DataFrame) -> DataFrame:
     Aliases are numbered by traffic, then address, apart for private and other
     addresses.
     """
-    rows = with_services(flows).select(F.explode(F.array("src_ip", "dst_ip")).alias("endpoint"), "service_family", "service_name", "protocol_label")
-    rows = rows.where(expr.is_present(F.col("endpoint"))).withColumn("endpoint", F.trim("endpoint"))
-    out = rows.groupBy("endpoint").agg(F.count("*").alias("count")).withColumn("is_private", F.coalesce(expr.is_private_v4(F.col("endpoint")), F.lit(False)))
+    # Services are told once for each combination, of which there are far fewer than flows.
+    told = ["requested_server_name", "application_name", "protocol_family"]
+    ends = flows.select(*told, F.explode(F.array("src_ip", "dst_ip")).alias("endpoint")).where(expr.is_present(F.col("endpoint")))
+    rows = materialize(with_services(ends.groupBy(F.trim("endpoint").alias("endpoint"), *told).agg(F.count("*").alias("n"))).drop(*told))
+    out = rows.groupBy("endpoint").agg(F.sum("n").alias("count")).withColumn("is_private", F.coalesce(expr.is_private_v4(F.col("endpoint")), F.lit(False)))
     for value, name in (("service_family", "dominant_family"), ("service_name", "dominant_label"), ("protocol_label", "protocol_label")):
-        out = out.join(most_common(rows, "endpoint", value, f"_{name}"), "endpoint").withColumnRenamed(f"_{name}", name)
+        out = out.join(most_common(rows, "endpoint", value, "n", f"_{name}"), "endpoint").withColumnRenamed(f"_{name}", name)
     keyed = out.withColumn("_o", F.struct(~F.col("is_private"), -F.col("count"), F.col("endpoint")))
     numbered = None
     for private in (True, False):
@@ -143,8 +146,8 @@ def route_label(role: Column, display_name: Column, family: Column) -> Column:
 
 def group_distribution(flows: DataFrame, key: Column, member: Column, limit: int) -> DataFrame:
     """``name, count, share, subtitle``: the commonest keys with their three commonest members; shares are of all rows."""
-    rows = flows.select(expr.clean_text(key).alias("name"), F.when(expr.clean_text(member) != "", expr.clean_text(member)).alias("member"))
-    total = F.lit(rows.count())
+    rows = flows.select(expr.clean_text(key).alias("name"), F.nullif(expr.clean_text(member), F.lit("")).alias("member"))
+    total = F.lit(flows.count())
     groups = rows.where("name <> ''").groupBy("name").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "name").limit(limit)
     tops = top_strings(rows.join(F.broadcast(groups.select("name")), "name", "left_semi"), ["name"], "member", 3, "members")
     return groups.join(tops, "name", "left").select("name", "count", rate("count", total).alias("share"), F.coalesce(F.array_join("members", " · "), F.lit("")).alias("subtitle"))

@@ -7,6 +7,8 @@ notebooks on one machine) does a temporary folder take its place.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,7 +26,9 @@ def scratch_root(spark: SparkSession) -> str:
         return root
     root = spark.conf.get("cipherlake.scratch", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="cipherlake-")
+        folder = tempfile.mkdtemp(prefix="cipherlake-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = f"file://{folder}"
         spark.conf.set("cipherlake.scratch", root)
         spark.sparkContext.setCheckpointDir(root)
     return root

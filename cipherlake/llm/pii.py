@@ -39,8 +39,11 @@ ALPHABETS = ("0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "àáâäèéêëì
 CLASS_OF = {c: a for a in ALPHABETS for c in a}
 HEX = dict.fromkeys("0123456789abcdef", "0123456789abcdef")
 
+#: Characters that are permuted together.
+PIECE = 64
+
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]*[A-Za-z0-9]@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*[A-Za-z0-9]@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "secret": r"(?i:\b(?:api[_-]?key|access[_-]?key|auth|token|secret|passwd|password)\b[\"']?\s*[=:]\s*[\"']?)(?P<secret_value>[A-Za-z0-9_+/=-]{8,})|\b(?=[0-9a-f]*[a-f])[0-9a-f]{32,}\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "card": r"(?<![\w.])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?!\w)",
@@ -87,7 +90,16 @@ class Surrogates:
         return self.shuffle((self.shuffle(x, size, tweak, True) + 1) % size, size, tweak, False)
 
     def shaped(self, value: str, tweak: str, kinds: dict[str, str] = CLASS_OF) -> str:
-        """Letters and digits replaced by others of their kind; everything else, and letter case, stays."""
+        """Letters and digits replaced by others of their kind; everything else, and letter case, stays.
+
+        Long values go piece by piece, each under a key of what came before, which is a permutation too.
+        """
+        if len(value) > PIECE:
+            pieces, before = [], hashlib.blake2b()
+            for a in range(0, len(value), PIECE):
+                pieces.append(self.shaped(value[a : a + PIECE], f"{tweak}:{before.hexdigest()}", kinds))
+                before.update(pieces[-1].encode("utf-8", "surrogatepass"))
+            return "".join(pieces)
         lower = [c.lower() if len(c.lower()) == 1 else c for c in value]
         x, size = 0, 1
         for c in lower:

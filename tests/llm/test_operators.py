@@ -378,6 +378,15 @@ def test_pii(spark):
     assert again[1] != got[1]["text"]
 
 
+def test_pii_is_linear_in_long_runs():
+    import time
+
+    s, began = pii.Surrogates(b"k"), time.time()
+    for run in ("a" * 300_000, "1" * 300_000, "a.b" * 100_000, "A" * 300_000, "x@" * 100_000, "f0" * 150_000, "Ab " * 100_000):
+        s.replaced(f"1@ {run}")
+    assert time.time() - began < 20
+
+
 def test_surrogates_are_permutations():
     s = pii.Surrogates(b"k")
     for size in (2, 3, 10, 97, 1000):

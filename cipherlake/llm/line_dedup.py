@@ -19,10 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cipherlake.llm.text import band_keys, densify, documents_of, lists, mix, slices, tune
+from cipherlake.llm.prefixes import candidates, runs
+from cipherlake.llm.text import band_keys, densify, documents_of, lists, mix, ragged, slices, tune
 from cipherlake.operators.components import connected_components
 from cipherlake.plans.scratch import materialize, small
 
@@ -34,6 +35,8 @@ BINS, BANDS, ROWS = 64, 10, 3
 HOT, RATE, SALTS = 4096, 64, 64
 #: Pairs that differ in more of the 64 one-bit samples aren't compared: five deviations above what 0.8 gives.
 DIFFERENT = 21
+#: Near pairs a node from which a bucket is dense.
+DENSE = 4
 
 
 def canonical(line: str) -> str:
@@ -89,6 +92,53 @@ def jaccard(a: str, b: str, width: int) -> float:
     return len(s & t) / len(s | t)
 
 
+def shingle_hashes(line: str, width: int) -> np.ndarray:
+    """Distinct hashes of a canonical line's shingles."""
+    points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    value = np.zeros(max(1, len(points) - width + 1), np.uint64)
+    for k in range(min(width, len(points))):
+        value = mix(value * np.uint64(0xD6E8FEB86659FD93) + points[k : k + len(value)])
+    return np.unique(value).view(np.int64)
+
+
+def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``src, dst, key`` of the pairs to confirm in each bucket of ``key, node, sketch``; ``key`` only for dense buckets.
+
+    A bucket with at most ``DENSE`` near pairs a node gives them all.  In a
+    dense one every node is near some hub, and each hub meets the whole bucket.
+    """
+    for key, node, sketch in runs(batches):
+        bucket = np.cumsum(np.append(False, key[1:] != key[:-1]))
+        size, many = np.bincount(bucket), np.zeros(bucket[-1] + 1, np.int64)
+        at, step, found = np.arange(len(key)), 0, []
+        while len(at):
+            step += 1
+            at = at[at + step < len(key)]
+            at = at[bucket[at] == bucket[at + step]]
+            hit = at[np.bitwise_count(sketch[at] ^ sketch[at + step]) <= DIFFERENT]
+            np.add.at(many, bucket[hit], 1)
+            found.append((hit, hit + step))
+            # A dense bucket is left to its hubs.
+            if step & step - 1 == 0 or step % 64 == 0:
+                at = at[many[bucket[at]] <= DENSE * size[bucket[at]]]
+        src, dst = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        dense = many > DENSE * size
+        keep = ~dense[bucket[src]] & (node[src] != node[dst])
+        out = [(node[src[keep]], node[dst[keep]], np.zeros(keep.sum(), np.int64), np.ones(keep.sum(), bool))]
+        begins = np.cumsum(size) - size
+        for k in np.flatnonzero(dense).tolist():
+            part = slice(begins[k], begins[k] + size[k])
+            own, bits, free = node[part], sketch[part], np.ones(size[k], bool)
+            while free.any():
+                hub = int(free.argmax())
+                close = np.bitwise_count(bits ^ bits[hub]) <= DIFFERENT
+                free &= ~close
+                other = own[close & (own != own[hub])]
+                out.append((np.full(len(other), own[hub]), other, np.full(len(other), key[part.start]), np.zeros(len(other), bool)))
+        src, dst, of, sparse = (np.concatenate(c) for c in zip(*out, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(of, mask=sparse)], ["src", "dst", "key"])
+
+
 def crowded(lines: DataFrame) -> DataFrame:
     """``key, head`` of the buckets with about ``HOT`` nodes or more, and one node of each, another one in each bucket."""
     some = lines.where(F.pmod(F.xxhash64("node", F.lit(RATE)), F.lit(RATE)) == 0).groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
@@ -100,36 +150,58 @@ def similar_lines(docs: DataFrame, lines: DataFrame, similarity: float = SIMILAR
     """Confirmed links ``(src, dst)`` between different canonical lines.
 
     Lines with the same canonical text are one node.  In each bucket of each
-    band all nodes are linked to one of them, another one in each band.  The
-    nodes of a crowded bucket know theirs beforehand and are dealt over parts.
+    band all pairs with near sketches are compared, or in a dense bucket each
+    node with hubs.  Where confirmed links leave a dense bucket in several
+    components, all pairs of its nodes across components are found by prefix
+    filtering, which loses none.  The nodes of a crowded bucket are dealt over
+    parts that share one hub.
     """
     nodes = lines.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     keyed = nodes.select("node", "sketch", F.explode("bands").alias("key"))
     full = materialize(crowded(lines))
     part = F.xxhash64("key", "salt")
-    heads = full.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(part.alias("key"), "head")
+    heads = full.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(part.alias("key"), "head.node", "head.sketch", F.lit(True).alias("head"))
     salt = F.pmod(F.xxhash64("node", F.lit(SALTS)), F.lit(SALTS)).cast("int")
     dealt = keyed.join(small(full.select("key", F.lit(True).alias("full"))), "key", "left").withColumn("salt", salt)
-    dealt = dealt.select(F.when(F.col("full"), part).otherwise(F.col("key")).alias("key"), "node", "sketch")
-    first = Window.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starred = dealt.withColumn("hub", F.first(F.struct("node", "sketch")).over(first))
-    starred = starred.join(small(materialize(heads)), "key", "left").withColumn("hub", F.coalesce("head", "hub")).where("hub.node <> node")
-    near = starred.where(F.bit_count(F.col("sketch").bitwiseXOR(F.col("hub.sketch"))) <= DIFFERENT)
-    pairs = materialize(near.select(F.least("node", "hub.node").alias("src"), F.greatest("node", "hub.node").alias("dst")).distinct())
-
-    ends = materialize(pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct())
+    dealt = dealt.select(F.when(F.col("full"), part).otherwise(F.col("key")).alias("key"), "node", "sketch", F.lit(False).alias("head")).union(heads)
+    sorted_ = dealt.repartition("key").sortWithinPartitions("key", F.desc("head"), F.xxhash64("node", "key"))
+    near = materialize(sorted_.select("key", "node", "sketch").mapInArrow(compared, "src long, dst long, key long").distinct())
+    pairs = materialize(near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+
+    # Nodes of a split bucket don't all meet, and those of a dense one meet hubs only.
+    split = keyed.join(small(full.select("key")), "key", "left_semi").select("key", "node")
+    dense = materialize(near.where("key is not null").select("key", F.explode(F.array("src", "dst")).alias("node")).union(split).distinct())
+    ends = materialize(pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).union(dense.select("node")).distinct())
     at = lines.join(small(ends), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("at"))
     wanted = materialize(at.groupBy("at.doc_id").agg(F.collect_list(F.struct("at.line", "node")).alias("wanted")))
     texts = docs.join(small(wanted), "doc_id").select(F.explode("wanted").alias("w"), F.split("text", "\n").alias("lines"))
     texts = materialize(texts.select("w.node", F.get("lines", F.col("w.line")).alias("text")).dropDuplicates(["node"]))
-    both = pairs.join(texts.select(F.col("node").alias("src"), F.col("text").alias("a")), "src").join(texts.select(F.col("node").alias("dst"), F.col("text").alias("b")), "dst")
 
     def confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             keep = [jaccard(canonical(a), canonical(b), width) >= similarity for a, b in zip(frame["a"], frame["b"], strict=True)]
             yield frame.loc[keep, ["src", "dst"]]
 
-    return both.select("src", "dst", "a", "b").mapInPandas(confirm, "src long, dst long")
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.select(F.col("node").alias("src"), F.col("text").alias("a")), "src").join(texts.select(F.col("node").alias("dst"), F.col("text").alias("b")), "dst")
+        return both.select("src", "dst", "a", "b").mapInPandas(confirm, "src long, dst long")
+
+    links = materialize(confirmed(pairs))
+    if dense.isEmpty():
+        return links
+    # Where these are left in several components, they are joined exactly.
+    found = dense.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = materialize(found)
+    mixed = found.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
+    left = found.join(mixed, "key", "left_semi").select("node", "component").distinct().join(texts, "node")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(canonical(x), width) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ragged(sets, pa.int64())], ["node", "component", "shingles"])
+
+    sets = left.select("node", "component", "text").mapInArrow(build, "node long, component long, shingles array<long>")
+    return links.union(confirmed(candidates(sets, int(100 * similarity + 1e-9))))
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -118,6 +118,26 @@ def test_fuzzy_lines(spark, docs, monkeypatch):
     assert line_dedup.crowded(signed).count() > 0 and linked(split) == linked(want)
 
 
+def test_fuzzy_lines_of_a_templated_family(spark):
+    """Lines 0.7 alike through one template: all components that brute force finds, though the hubs fail."""
+    rng = random.Random(4)
+    fill = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    head = prose(24, 77)[:108]
+    lines = []
+    for _ in range(500):
+        own = fill(16)
+        lines += [f"{head}{own}", f"{head}{own[:9]}{fill(7)}"]
+    sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in lines]
+    alike = lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    assert 0.65 < len(sets[0] & sets[2]) / len(sets[0] | sets[2]) < 0.8 and alike(0, 1)
+    text = line_dedup.documents_of(frame(spark, enumerate(lines)))
+    signed = line_dedup.line_signatures(text).persist()
+    node = {r["doc_id"]: r["node"] for r in signed.collect()}
+    links = {frozenset((r["src"], r["dst"])) for r in line_dedup.similar_lines(text, signed).collect()}
+    got = groups(range(len(lines)), lambda i, j: frozenset((node[i], node[j])) in links)
+    assert got == groups(range(len(lines)), alike) and len(set(got.values())) > 400
+
+
 def test_repeated_passages(spark, docs):
     passage = prose(60, 77)
     rows = [(1, f"{prose(40, 1)} {passage} {prose(30, 2)}"), (2, f"{passage}\n{prose(90, 3)}"), (3, prose(300, 4)), (4, f"{prose(70, 6)} {changed(passage, 1, 8)}"), (5, None), (6, ""), (7, prose(20, 9)), (8, f"{prose(20, 9)}")]

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cipherlake.llm.prefixes import candidates
 from cipherlake.llm.text import band_keys, densify, documents_of, lists, mix, ragged, shingle_sets, slices, tune
 from cipherlake.operators.components import connected_components
 from cipherlake.plans.scratch import materialize, small
@@ -78,8 +79,9 @@ def components(docs: DataFrame, threshold: int = 75) -> DataFrame:
     members only (stars), never with each other: first to the one that shares
     most buckets with others, which is the likely centre of a group of copies;
     then, where this left one bucket's members in different components, also
-    to the smallest, the largest and a random one.  Every link is confirmed on
-    the full sets.
+    to the smallest, the largest and a random one.  Members of buckets that are
+    still in different components are joined across components by prefix
+    filtering, which loses no pair.  Every link is confirmed on the full sets.
     """
     docs = documents_of(docs)
     rows = materialize(signatures(docs))
@@ -103,7 +105,14 @@ def components(docs: DataFrame, threshold: int = 75) -> DataFrame:
     for end in ("src", "dst"):
         more = more.join(found.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in")), end, "left")
     more = more.where(F.coalesce("src_in", "src") != F.coalesce("dst_in", "dst")).select("src", "dst")
-    links = links.union(verified(more, sets, threshold)).union(copies)
+    links = materialize(links.union(verified(more, sets, threshold)))
+    # Buckets that these hubs leave in several components: all pairs across components, exactly.
+    found = members.where("n > 2").select("key", "node").join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = materialize(found)
+    mixed = found.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
+    left = found.join(mixed, "key", "left_semi").select("node", "component").distinct()
+    left = left.join(sets.withColumnRenamed("doc_id", "node"), "node").select("node", "component", "shingles")
+    links = links.union(verified(candidates(left, threshold), sets, threshold)).union(copies)
     found = connected_components(links).withColumnRenamed("node", "doc_id")
     out = rows.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

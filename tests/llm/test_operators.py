@@ -92,6 +92,24 @@ def test_near_duplicate_fringe_of_a_large_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+@pytest.mark.parametrize("family", ["template", "copies"])
+def test_near_duplicates_that_no_hub_confirms(spark, family):
+    """A family alike through a template, and edited copies without their original, against brute force."""
+    template, rng = prose(120, 31), random.Random(8)
+    if family == "template":
+        texts = []
+        for s in range(150):
+            own = [f"o{s}x{k}" for k in range(22)]
+            texts += [f"{template} {' '.join(own)}", f"{template} {' '.join(own[:8])} " + " ".join(f"q{s}x{k}" for k in range(14))]
+    else:
+        texts = [changed(template, rng.randrange(2, 5), s) for s in range(100, 260)]
+    sets = [shingle_set(t) for t in texts]
+    want = groups(range(len(texts)), lambda i, j: 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]))
+    assert len(set(want.values())) > 1
+    got = near_dup.components(frame(spark, enumerate(texts))).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_fuzzy_lines(spark, docs, monkeypatch):
     long = "a quick brown fox jumps over the lazy dog and then runs away from the angry bear"
     rows = [(5, f"{long}\nunique line of five"), (2, f"{long.upper()}   \n\nother"), (9, long.replace("lazy", "lamy")), (7, None), (8, ""), (6, "\n\n"), (4, "tiny\ntiny\nTiny"), (None, long)]

@@ -51,10 +51,10 @@ PATTERNS = {
     "id": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
 }
 ENTITY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
-TRIGGER = re.compile(r"[0-9@]|(?i:secret|passw|token|key)")
-#: A given name and a family name, or a title and a name.
-PERSON = re.compile(r"\b([^\W\d_a-zß-ÿ][^\W\d_]+) ([^\W\d_a-zß-ÿ][^\W\d_]+)\b")
+TRIGGER = re.compile(r"[0-9@]|(?i:secret|passw|token|key|auth)|[a-f]{32}")
 GIVEN = {name: (script, gender) for (script, gender), names in NAMES.items() for name in names}
+#: A known given name before a word, which is a family name if capitalised and may be a given name itself.
+PERSON = re.compile(rf"\b({'|'.join(sorted(GIVEN, key=len, reverse=True))})(?= ([^\W\d_]{{2,}})\b)")
 
 
 class Surrogates:
@@ -176,7 +176,7 @@ class Surrogates:
                 kind = "secret" if m.lastgroup == "secret_value" else m.lastgroup
                 spans.append((*(m.span("secret_value") if m["secret_value"] else m.span()), kind))
         for m in PERSON.finditer(text):
-            if m[1] in GIVEN:
+            if m[2][0].isupper() or m[2][0].istitle():
                 spans += [(*m.span(1), "given"), (*m.span(2), "family")]
         if not spans:
             return text, []

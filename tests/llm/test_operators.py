@@ -416,6 +416,16 @@ def test_pii(spark):
     assert again[1] != got[1]["text"]
 
 
+def test_names_in_running_text_of_every_script():
+    make = pii.Surrogates(b"k")
+    for text, name in (("Contact Maria Garcia now", "Maria Garcia"), ("Yesterday Anna Schmidt left", "Anna Schmidt"), ("Dr John Smith", "John Smith"), ("вчера Анна Петрова ушла", "Анна Петрова"), ("χθες Μαρία Παππά έφυγε", "Μαρία Παππά"), ("Dear Maria Anna Schmidt", "Maria Anna Schmidt")):
+        new, found = make.replaced(text)
+        assert [x[1] for x in found] == name.split() and name not in new
+    for text in ("Анна пошла домой", "Μαρία έφυγε", "Anna went home"):
+        assert make.replaced(text) == (text, [])
+    assert [x[1] for x in make.replaced("auth: abcdefghij")[1]] == ["abcdefghij"]
+
+
 def test_pii_is_linear_in_long_runs():
     import time
 

@@ -170,6 +170,13 @@ def test_repeated_passages(spark, docs):
     assert substring_dedup.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_repeated_passage_of_one_long_run(spark):
+    """A short period repeated over more than 65,535 windows goes as a whole."""
+    text = " ".join([prose(10, 3)] * 7000)
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.drop_repeated_passages(frame(spark, [(1, text), (2, text)])).collect()}
+    assert got == {1: text, 2: ""}
+
+
 def test_leaks(spark, docs):
     items = [(1, prose(40, 501)), (2, prose(15, 502)), (3, "three little words"), (4, None), (5, ""), (6, prose(50, 503))]
     benchmark = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))

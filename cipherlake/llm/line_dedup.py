@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cipherlake.llm.prefixes import candidates, runs
+from cipherlake.llm.prefixes import links_across, runs
 from cipherlake.llm.text import band_keys, densify, documents_of, lists, mix, ragged, slices, tune
 from cipherlake.operators.components import connected_components
 from cipherlake.plans.scratch import materialize, small
@@ -86,10 +86,10 @@ def line_signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return tune(docs).mapInArrow(sign, "doc_id long, line int, node long, sketch long, bands array<long>")
 
 
-def jaccard(a: str, b: str, width: int) -> float:
-    """Similarity of the sets of character shingles of two canonical lines."""
-    s, t = ({x[i : i + width] for i in range(max(1, len(x) - width + 1))} for x in (a, b))
-    return len(s & t) / len(s | t)
+def alike(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets of distinct hashes."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common)
 
 
 def shingle_hashes(line: str, width: int) -> np.ndarray:
@@ -108,6 +108,7 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     dense one every node is near some hub, and each hub meets the whole bucket.
     """
     for key, node, sketch in runs(batches):
+        sketch = sketch.view(np.uint64)  # bits of negative numbers aren't counted as they stand
         bucket = np.cumsum(np.append(False, key[1:] != key[:-1]))
         size, many = np.bincount(bucket), np.zeros(bucket[-1] + 1, np.int64)
         at, step, found = np.arange(len(key)), 0, []
@@ -172,14 +173,16 @@ def similar_lines(docs: DataFrame, lines: DataFrame, similarity: float = SIMILAR
     split = keyed.join(small(full.select("key")), "key", "left_semi").select("key", "node")
     dense = materialize(near.where("key is not null").select("key", F.explode(F.array("src", "dst")).alias("node")).union(split).distinct())
     ends = materialize(pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).union(dense.select("node")).distinct())
-    at = lines.join(small(ends), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("at"))
-    wanted = materialize(at.groupBy("at.doc_id").agg(F.collect_list(F.struct("at.line", "node")).alias("wanted")))
+    at = lines.join(small(ends), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("sketch").alias("sketch"))
+    wanted = materialize(at.groupBy("at.doc_id").agg(F.collect_list(F.struct("at.line", "node", "sketch")).alias("wanted")))
     texts = docs.join(small(wanted), "doc_id").select(F.explode("wanted").alias("w"), F.split("text", "\n").alias("lines"))
-    texts = materialize(texts.select("w.node", F.get("lines", F.col("w.line")).alias("text")).dropDuplicates(["node"]))
+    texts = materialize(texts.select("w.node", "w.sketch", F.get("lines", F.col("w.line")).alias("text")).dropDuplicates(["node"]))
 
     def confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            keep = [jaccard(canonical(a), canonical(b), width) >= similarity for a, b in zip(frame["a"], frame["b"], strict=True)]
+            # A hub's set is built once a batch.
+            sets = {x: shingle_hashes(canonical(x), width) for x in {*frame["a"], *frame["b"]}}
+            keep = [alike(sets[a], sets[b]) >= similarity for a, b in zip(frame["a"], frame["b"], strict=True)]
             yield frame.loc[keep, ["src", "dst"]]
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -197,11 +200,11 @@ def similar_lines(docs: DataFrame, lines: DataFrame, similarity: float = SIMILAR
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_hashes(canonical(x), width) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ragged(sets, pa.int64())], ["node", "component", "shingles"])
+            sets = [shingle_hashes(canonical(x), width) for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], ragged(sets, pa.int64())], ["node", "component", "sketch", "shingles"])
 
-    sets = left.select("node", "component", "text").mapInArrow(build, "node long, component long, shingles array<long>")
-    return links.union(confirmed(candidates(sets, int(100 * similarity + 1e-9))))
+    sets = left.select("node", "component", "sketch", "text").mapInArrow(build, "node long, component long, sketch long, shingles array<long>")
+    return links.union(links_across(sets, int(100 * similarity + 1e-9), DIFFERENT, confirmed))
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -15,17 +15,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cipherlake.llm.prefixes import candidates
+from cipherlake.llm.prefixes import links_across
 from cipherlake.llm.text import band_keys, densify, documents_of, lists, mix, ragged, shingle_sets, slices, tune
 from cipherlake.operators.components import connected_components
 from cipherlake.plans.scratch import materialize, small
 
 #: Bins of a signature; 32 bands of 4 bins miss a pair of similarity 0.75 with probability 5e-6.
 BINS, BANDS, ROWS = 128, 32, 4
+#: Pairs that differ in more of the 64 one-bit samples aren't compared: five deviations above what 0.75 gives.
+DIFFERENT = 22
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, h1, h2`` and the band keys of each text; (n, h1, h2) stands for the set itself."""
+    """``doc_id, n_shingles, h1, h2, sketch`` and the band keys of each text; (n, h1, h2) stands for the set itself."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = np.uint64(2**64 - 1)
@@ -38,16 +40,18 @@ def signatures(docs: DataFrame) -> DataFrame:
             first = np.flatnonzero(np.diff(cell, prepend=-1))
             table = np.full((len(sets), BINS), empty)
             table.ravel()[cell[first]] = flat[first]
-            keys = band_keys(densify(table, empty), BANDS, ROWS)
+            table = densify(table, empty)
+            keys, bit = band_keys(table, BANDS, ROWS), np.arange(64, dtype=np.uint64)
+            sketch = ((mix(table[:, :64] + bit) & np.uint64(1)) << bit).sum(axis=1, dtype=np.uint64).view(np.int64)
             sums = []
             for salt in (1, 2):
                 total = np.zeros(len(flat) + 1, np.uint64)
                 np.cumsum(mix(flat + np.uint64(salt)), out=total[1:])
                 ends = np.cumsum(sizes)
                 sums.append((total[ends] - total[ends - sizes]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), lists(keys)], ["doc_id", "n_shingles", "h1", "h2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), pa.array(sketch), lists(keys)], ["doc_id", "n_shingles", "h1", "h2", "sketch", "bands"])
 
-    return tune(docs).mapInArrow(sign, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
+    return tune(docs).mapInArrow(sign, "doc_id long, n_shingles long, h1 long, h2 long, sketch long, bands array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -86,7 +90,7 @@ def components(docs: DataFrame, threshold: int = 75) -> DataFrame:
     docs = documents_of(docs)
     rows = materialize(signatures(docs))
     known = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = materialize(known.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
+    classes = materialize(known.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
     copies = known.join(classes.select("h1", "h2", "n_shingles", "node"), ["h1", "h2", "n_shingles"]).where("doc_id <> node").select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
 
     keyed = classes.select("node", F.explode("bands").alias("key"))
@@ -111,8 +115,8 @@ def components(docs: DataFrame, threshold: int = 75) -> DataFrame:
     found = materialize(found)
     mixed = found.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
     left = found.join(mixed, "key", "left_semi").select("node", "component").distinct()
-    left = left.join(sets.withColumnRenamed("doc_id", "node"), "node").select("node", "component", "shingles")
-    links = links.union(verified(candidates(left, threshold), sets, threshold)).union(copies)
+    left = left.join(classes.select("node", "sketch"), "node").join(sets.withColumnRenamed("doc_id", "node"), "node")
+    links = links.union(links_across(left, threshold, DIFFERENT, lambda pairs: verified(pairs, sets, threshold))).union(copies)
     found = connected_components(links).withColumnRenamed("node", "doc_id")
     out = rows.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -1,25 +1,39 @@
-"""Exact set-similarity candidates among a limited number of sets, by prefix filtering.
+"""Exact links between sets of different components, by prefix filtering.
 
-Two sets of which the shorter has ``x`` and the longer ``y`` elements reach
-similarity ``t`` only if one of the first ``x - 2t/(1+t) x + 1`` elements of the
-one is among the first ``y - ty + 1`` of the other, in any common order.  The
-order is rarest first, so what a whole family shares comes last and seldom
-makes a bucket; it decides about time alone, since no pair is ever lost.
+Order all elements rarest first.  Two sets of ``x`` and ``y`` elements with at
+least ``o`` in common share one that stands in either at a place of at most its
+size less ``o`` (from 0), so only the first elements of a set make buckets, and
+only pairs whose places allow the needed overlap are confirmed.  The order
+decides about time alone: no pair is lost.  What a whole family shares comes
+last and seldom makes a bucket.
+
+Of every two components that share buckets the nearest pair is confirmed
+first.  Most components that belong together are one then; the remaining
+candidates across components are all confirmed.
+
+Cases: no sets, or sets of one component, give no link; an empty set is in no
+bucket; repeated elements of a set aren't allowed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cipherlake.plans.scratch import materialize
+from cipherlake.llm.text import mix
+from cipherlake.operators.components import connected_components
+from cipherlake.plans.scratch import drop_table, materialize, small
 
-#: Counters by which elements are ordered, and rows of pairs in a batch.
-COUNTERS, BATCH = 1 << 16, 1 << 16
+#: Most elements whose frequency is sent to the tasks, the most frequent ones; those beyond count as rarer, in order of their hash.
+KNOWN = 1_000_000
+#: Rows of a bucket that meet in one task at once; a larger bucket is cut into parts, and every two parts meet.
+PART = 1 << 14
+#: Rows of pairs in a batch, pairs looked at together, and largest bucket that is compared step by step.
+BATCH, TOGETHER, STEPPED = 1 << 18, 1 << 20, 64
 
 
 def runs(batches: Iterator[pa.RecordBatch], least: int = 1 << 18) -> Iterator[list[np.ndarray]]:
@@ -39,46 +53,141 @@ def runs(batches: Iterator[pa.RecordBatch], least: int = 1 << 18) -> Iterator[li
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
-def candidates(sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs ``(src, dst)`` of ``sets (node, component, shingles)`` that can reach ``threshold`` percent, from different components."""
-    sets = materialize(sets)
-    slot = F.col("t").bitwiseAND(COUNTERS - 1)
-    counted = sets.select(F.explode("shingles").alias("t")).groupBy(slot.cast("int").alias("slot")).count().toArrow()
-    often = np.zeros(COUNTERS, np.int64)
-    often[counted.column("slot").to_numpy()] = counted.column("count").to_numpy()
+def frequencies(sets: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """The elements that stand in ``least`` sets or more, sorted, in how many they stand, and ``least``: a power of two from 2 on."""
+    counted = materialize(sets.select(F.explode("shingles").alias("t")).groupBy("t").agg(F.count("*").alias("n")).where("n > 1"))
+    steps = {r["k"]: r["count"] for r in counted.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).count().collect()}
+    lowest = 1
+    while sum(n for k, n in steps.items() if k >= lowest) > KNOWN:
+        lowest += 1
+    known = counted.where(F.col("n") >= 2**lowest).toArrow()
+    drop_table(counted)
+    t, n = (known.column(k).to_numpy() for k in (0, 1))
+    order = np.argsort(t)
+    return t[order], n[order], 2**lowest
+
+
+def heads(sets: DataFrame, threshold: int) -> DataFrame:
+    """``cell, node, component, n, place, sketch, part``: the bucket rows of each set's first elements."""
+    elements, often, least = frequencies(sets)
+    sent = sets.sparkSession.sparkContext.broadcast((elements, often))
 
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        elements, often = sent.value
         for batch in batches:
-            out = []
-            for node, component, shingles in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), strict=True):
-                values = shingles.values.to_numpy(zero_copy_only=False)
-                n = len(values)
-                first = n + 1 + (-2 * threshold * n // (100 + threshold))
-                reach = max(first, n + 1 + (-threshold * n // 100))
-                values = values[np.lexsort((values, often[values & (COUNTERS - 1)]))[:reach]]
-                out.append((values, np.full(len(values), node), np.full(len(values), component), np.full(len(values), n), np.arange(len(values)) < first))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["t", "node", "component", "n", "short"])
+            offsets = batch.column(3).offsets.to_numpy().astype(np.int64)
+            t = batch.column(3).values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+            size = np.diff(offsets)
+            owner = np.repeat(np.arange(len(size)), size)
+            many = np.ones(len(t), np.int64)
+            if len(elements) and len(t):
+                at = np.minimum(np.searchsorted(elements, t), len(elements) - 1)
+                many = np.where(elements[at] == t, often[at], 1)
+            order = np.lexsort((mix(t.view(np.uint64)), many, owner))
+            t, many = t[order], many[order]
+            place = np.arange(len(t)) - (offsets[:-1] - offsets[0])[owner]
+            # A partner as short as may be leaves this much of the set; where all frequencies are known, an element of one set has no bucket.
+            keep = np.flatnonzero((place <= size[owner] + (-threshold * size[owner] // 100)) & ((many > 1) | (least > 2)))
+            t, many, place, owner = t[keep], many[keep], place[keep], owner[keep]
+            parts = -(-many // PART)
+            node = batch.column(0).to_numpy()[owner]
+            own = (mix(node.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
+            row = np.repeat(np.arange(len(t)), parts)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+            low, high = np.minimum(own[row], other).astype(np.uint64), np.maximum(own[row], other).astype(np.uint64)
+            cell = np.where(parts[row] == 1, t[row], mix(mix(t[row].view(np.uint64) + low) + high).view(np.int64))
+            columns = (cell, node[row], batch.column(1).to_numpy()[owner][row], size[owner][row].astype(np.int32), place[row].astype(np.int32), batch.column(2).to_numpy()[owner][row], own[row].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "node", "component", "n", "place", "sketch", "part"])
+
+    return sets.select("node", "component", "sketch", "shingles").mapInArrow(cut, "cell long, node long, component long, n int, place int, sketch long, part int")
+
+
+def pairs(rows: DataFrame, threshold: int, different: int, nearest: bool) -> DataFrame:
+    """``src, dst, a, b``: candidates of different components ``a < b``; of every two components one nearest pair, or all."""
+
+    def fits(i: np.ndarray, j: np.ndarray, component: np.ndarray, n: np.ndarray, place: np.ndarray, sketch: np.ndarray, part: np.ndarray | None) -> np.ndarray:
+        need = -(-threshold * (n[i] + n[j]) // (100 + threshold))
+        ok = (component[i] != component[j]) & (place[i] <= n[i] - need) & (place[j] <= n[j] - need)
+        ok &= np.bitwise_count(sketch[i] ^ sketch[j]) <= different
+        return ok if part is None else ok & (part[i] != part[j])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, made = [], 0
-        for t, node, component, n, short in runs(batches):
-            begins = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-            ends = np.append(begins[1:], len(t))
-            for a, b in zip(begins[ends - begins > 1].tolist(), ends[ends - begins > 1].tolist(), strict=True):
-                if component[a] == component[b - 1]:
-                    continue
-                for i in (a + np.flatnonzero(short[a:b])).tolist():
-                    longer = (n[a:b] > n[i]) | ((n[a:b] == n[i]) & ((node[a:b] > node[i]) | ~short[a:b]))
-                    other = a + np.flatnonzero(longer & (component[a:b] != component[i]) & (n[a:b] * threshold <= n[i] * 100))
-                    if len(other):
-                        out.append((np.minimum(node[other], node[i]), np.maximum(node[other], node[i])))
-                        made += len(other)
-                    if made >= BATCH:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["src", "dst"])
-                        out, made = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["src", "dst"])
-
-    heads = sets.select("node", "component", "shingles").mapInArrow(prefix, "t long, node long, component long, n long, short boolean")
-    return heads.repartition("t").sortWithinPartitions("t", "component").mapInArrow(join, "src long, dst long").distinct()
+        for cell, node, component, n, place, sketch, part in runs(batches):
+            sketch = sketch.view(np.uint64)  # bits of negative numbers aren't counted as they stand
+            begins = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            mixed = np.minimum.reduceat(component, begins) < np.maximum.reduceat(component, begins)
+            size, split = np.diff(np.append(begins, len(cell))), np.minimum.reduceat(part, begins) < np.maximum.reduceat(part, begins)
+            least = np.zeros((0, 5), np.int64)
+            held: list[np.ndarray] = []
+
+            def merged(more: list[np.ndarray], least: np.ndarray) -> np.ndarray:
+                """The pairs so far as rows (a, b, distance, src, dst), one of a kind."""
+                table = np.concatenate([least, *more])
+                order = np.lexsort(table.T[::-1]) if nearest else np.lexsort((table[:, 4], table[:, 3]))
+                table, kind = table[order], (0, 1) if nearest else (3, 4)
+                fresh = np.ones(len(table), bool)
+                fresh[1:] = (table[1:, kind[0]] != table[:-1, kind[0]]) | (table[1:, kind[1]] != table[:-1, kind[1]])
+                return table[fresh]
+
+            def found(i: np.ndarray, j: np.ndarray, component=component, node=node, sketch=sketch) -> np.ndarray:
+                a, b = component[i], component[j]
+                return np.stack([np.minimum(a, b), np.maximum(a, b), np.bitwise_count(sketch[i] ^ sketch[j]).astype(np.int64), np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1)
+
+            columns = (component, n.astype(np.int64), place, sketch)
+            # Small buckets all at once: each row with the one after it, then with the next but one, and so on.
+            some = np.flatnonzero(mixed & (size <= STEPPED))
+            at = np.concatenate([np.arange(a, a + m) for a, m in zip(begins[some].tolist(), size[some].tolist(), strict=True)] or [np.zeros(0, np.int64)])
+            end, apart = np.repeat(begins[some] + size[some], size[some]), np.repeat(split[some], size[some])
+            for step in range(1, int(size[some].max(initial=1))):
+                inside = at + step < end
+                at, end, apart = at[inside], end[inside], apart[inside]
+                ok = fits(at, at + step, *columns, None) & (~apart | (part[at] != part[at + step]))
+                if ok.any():
+                    held.append(found(at[ok], at[ok] + step))
+                if sum(map(len, held)) >= BATCH:
+                    least, held = merged(held, least), []
+            for k in np.flatnonzero(mixed & (size > STEPPED)).tolist():
+                own = np.arange(begins[k], begins[k] + size[k])
+                # The largest component last, since its rows needn't meet.
+                names, nth, many = np.unique(component[own], return_inverse=True, return_counts=True)
+                own = own[np.lexsort((nth, nth == many.argmax()))]
+                probes = size[k] - many.max()
+                width = max(1, TOGETHER // int(size[k]))
+                for a in range(0, int(probes), width):
+                    i, j = np.meshgrid(np.arange(a, min(a + width, probes)), np.arange(a + 1, size[k]), indexing="ij")
+                    after = j > i
+                    i, j = own[i[after]], own[j[after]]
+                    ok = fits(i, j, *columns, part if split[k] else None)
+                    if ok.any():
+                        held.append(found(i[ok], j[ok]))
+                if sum(map(len, held)) >= BATCH:
+                    least, held = merged(held, least), []
+                    if len(least) >= BATCH:
+                        yield pa.RecordBatch.from_arrays([pa.array(least[:, c]) for c in (3, 4, 0, 1, 2)], ["src", "dst", "a", "b", "far"])
+                        least = least[:0]
+            least = merged(held, least)
+            if len(least):
+                yield pa.RecordBatch.from_arrays([pa.array(least[:, c]) for c in (3, 4, 0, 1, 2)], ["src", "dst", "a", "b", "far"])
+
+    made = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(join, "src long, dst long, a long, b long, far long")
+    if nearest:
+        return made.groupBy("a", "b").agg(F.min(F.struct("far", "src", "dst")).alias("m")).select("m.src", "m.dst", "a", "b")
+    return made.groupBy("src", "dst").agg(F.first("a").alias("a"), F.first("b").alias("b"))
+
+
+def links_across(sets: DataFrame, threshold: int, different: int, confirmed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links ``(src, dst)`` that join all components between whose sets a pair reaches ``threshold`` percent similarity.
+
+    ``sets`` has ``node, component, sketch, shingles``; pairs whose sketches
+    differ in more than ``different`` bits don't reach it.  ``confirmed`` tells
+    which of the candidates ``(src, dst)`` do.
+    """
+    sets = materialize(sets)
+    rows = materialize(heads(sets, threshold))
+    near = materialize(pairs(rows, threshold, different, True))
+    links = materialize(confirmed(near.select("src", "dst")))
+    joined = connected_components(near.join(links, ["src", "dst"]).select("a", "b"), "a", "b")
+    rows = rows.join(small(joined.select(F.col("node").alias("component"), F.col("component").alias("to"))), "component", "left")
+    rows = rows.select("cell", "node", F.coalesce("to", "component").alias("component"), "n", "place", "sketch", "part")
+    rest = materialize(pairs(rows, threshold, different, False).select("src", "dst"))
+    return materialize(links.union(confirmed(rest)))

@@ -17,13 +17,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cipherlake.llm.prefixes import links_across, runs
-from cipherlake.llm.text import band_keys, densify, documents_of, lists, mix, ragged, slices, tune
+from cipherlake.llm.text import band_keys, densify, documents_of, mix, ragged, slices, tune
 from cipherlake.operators.components import connected_components
 from cipherlake.plans.scratch import materialize, small
 
@@ -31,6 +30,7 @@ from cipherlake.plans.scratch import materialize, small
 WIDTH, SIMILARITY = 8, 0.8
 #: 10 bands of 3 of the 64 bins: of pairs just at 0.8 similarity 0.08 % share no bucket, at 0.85 0.007 %.
 BINS, BANDS, ROWS = 64, 10, 3
+KEYS = [f"key{k}" for k in range(BANDS)]
 #: A bucket of about ``HOT`` nodes, told by a sample of one node in ``RATE``, is split into ``SALTS`` parts.
 HOT, RATE, SALTS = 4096, 64, 64
 #: Pairs that differ in more of the 64 one-bit samples aren't compared: five deviations above what 0.8 gives.
@@ -43,12 +43,56 @@ def canonical(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def line_hash(line: str) -> bytes:
+    return hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+
+
+def line_node(line: str) -> int:
+    return int.from_bytes(line_hash(line), "little", signed=True)
+
+
+def line_shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``width`` characters of canonical lines, and the line of each; a shorter line is one run."""
+    step = [np.uint64(pow(0xD6E8FEB86659FD93, 1 << k, 1 << 64)) for k in range(width.bit_length())]
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    sizes = np.array([len(x) for x in lines])
+    begins = np.cumsum(sizes) - sizes
+    # Built from runs of 1, 2, 4, ... characters.
+    whole, covered, power = np.zeros(len(points) + width, np.uint64), 0, np.concatenate([points * np.uint64(0x9E3779B97F4A7C15), np.zeros(width, np.uint64)])
+    for k in range(width.bit_length()):
+        if width >> k & 1:
+            whole[: len(points)] = whole[: len(points)] * step[k] + power[covered : covered + len(points)] if covered else power[: len(points)]
+            covered += 1 << k
+        if 2 << k <= width:
+            power[: len(points)] = power[: len(points)] * step[k] + power[1 << k : (1 << k) + len(points)]
+    owner = np.repeat(np.arange(len(lines)), sizes)
+    # No run begins at a line's last characters.
+    inside = np.ones(len(points), bool)
+    for k in range(1, width):
+        inside[(begins + sizes - k)[sizes >= k]] = False
+    short = np.flatnonzero(sizes < width)
+    single = np.frombuffer(b"".join(line_hash(lines[k]) for k in short), "<u8")
+    return np.concatenate([mix(whole[: len(points)][inside]), mix(single)]), np.concatenate([owner[inside], short])
+
+
+def shingle_rows(lines: list[str], width: int) -> list[np.ndarray]:
+    """Of each canonical line the sorted distinct hashes of its shingles."""
+    value, owner = line_shingles(lines, width)
+    # Shorter lines come last, so a line's hashes stand together.
+    order = np.argsort(owner, kind="stable") if len(owner) and (owner[1:] < owner[:-1]).any() else slice(None)
+    value, owner, out = value[order], owner[order], []
+    ends = np.searchsorted(owner, np.arange(len(lines) + 1))
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        row = np.sort(value[a:b])
+        out.append(row[np.append(True, row[1:] != row[:-1])])
+    return out
+
+
 def line_signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``doc_id, line, node, sketch, bands`` of every line that isn't blank; ``node`` hashes the canonical line."""
+    """``doc_id, line, node, sketch`` and a key of each band of every line that isn't blank; ``node`` hashes the canonical line."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty, one = np.uint64(2**64 - 1), np.uint64(1)
-        step = [np.uint64(pow(0xD6E8FEB86659FD93, 1 << k, 1 << 64)) for k in range(width.bit_length())]
         for batch in slices(batches, 1 << 18):
             docs_, numbers, lines = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -60,45 +104,32 @@ def line_signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                             lines.append(line)
             if not lines:
                 continue
-            nodes = np.frombuffer(b"".join(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest() for x in lines), "<i8")
-            points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-            sizes = np.array([len(x) for x in lines])
-            begins = np.cumsum(sizes) - sizes
-            # Hash of each run of `width` characters, built from runs of 1, 2, 4, ... characters.
-            whole, covered, power = np.zeros(len(points) + width, np.uint64), 0, np.concatenate([mix(points), np.zeros(width, np.uint64)])
-            for k in range(width.bit_length()):
-                if width >> k & 1:
-                    whole[: len(points)] = whole[: len(points)] * step[k] + power[covered : covered + len(points)]
-                    covered += 1 << k
-                power[: len(points)] = power[: len(points)] * step[k] + power[1 << k : (1 << k) + len(points)] if (1 << k) < width else power[: len(points)]
-            owner = np.repeat(np.arange(len(lines)), sizes)
-            inside = np.arange(len(points)) - begins[owner] <= sizes[owner] - width
-            value, owner = mix(whole[: len(points)][inside]), owner[inside]
-            short = np.flatnonzero(sizes < width)
-            value, owner = np.concatenate([value, mix(nodes[short].view(np.uint64))]), np.concatenate([owner, short])
+            nodes = np.frombuffer(b"".join(map(line_hash, lines)), "<i8")
+            value, owner = line_shingles(lines, width)
             cells = np.full(len(lines) * BINS, empty)
             np.minimum.at(cells, owner * BINS + (value >> np.uint64(58)).astype(np.int64), value & np.uint64(2**58 - 1))
             cells = densify(cells.reshape(-1, BINS), empty)
             keys = band_keys(cells, BANDS, ROWS)
             sketch = ((mix(cells + np.arange(BINS, dtype=np.uint64)) & one) << np.arange(BINS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(numbers, pa.int32()), pa.array(nodes), pa.array(sketch), lists(keys)], ["doc_id", "line", "node", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(numbers, pa.int32()), pa.array(nodes), pa.array(sketch), *(pa.array(k) for k in np.ascontiguousarray(keys.T))], ["doc_id", "line", "node", "sketch", *KEYS])
 
-    return tune(docs).mapInArrow(sign, "doc_id long, line int, node long, sketch long, bands array<long>")
+    return tune(docs).mapInArrow(sign, "doc_id long, line int, node long, sketch long, " + ", ".join(f"{k} long" for k in KEYS))
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sets of distinct hashes."""
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / (len(a) + len(b) - common)
+def one_each(lines: DataFrame) -> DataFrame:
+    """``node, sketch`` and the band keys, once for each node."""
+    return lines.groupBy("node").agg(F.first("sketch").alias("sketch"), *(F.first(k).alias(k) for k in KEYS))
 
 
-def shingle_hashes(line: str, width: int) -> np.ndarray:
-    """Distinct hashes of a canonical line's shingles."""
-    points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    value = np.zeros(max(1, len(points) - width + 1), np.uint64)
-    for k in range(min(width, len(points))):
-        value = mix(value * np.uint64(0xD6E8FEB86659FD93) + points[k : k + len(value)])
-    return np.unique(value).view(np.int64)
+def exploded(nodes: DataFrame) -> DataFrame:
+    """``node, sketch, key`` for each band."""
+    return nodes.select("node", "sketch", F.explode(F.array(*KEYS)).alias("key"))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets of sorted distinct hashes."""
+    common = np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)
+    return common / (len(a) + len(b) - common)
 
 
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +173,8 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def crowded(lines: DataFrame) -> DataFrame:
     """``key, head`` of the buckets with about ``HOT`` nodes or more, and one node of each, another one in each bucket."""
-    some = lines.where(F.pmod(F.xxhash64("node", F.lit(RATE)), F.lit(RATE)) == 0).groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    counted = some.select("node", "sketch", F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key").alias("order"), "node", "sketch")).alias("head"))
+    some = one_each(lines.where(F.pmod(F.xxhash64("node", F.lit(RATE)), F.lit(RATE)) == 0))
+    counted = exploded(some).groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key").alias("order"), "node", "sketch")).alias("head"))
     return counted.where(F.col("n") >= HOT // RATE).select("key", F.struct("head.node", "head.sketch").alias("head"))
 
 
@@ -157,8 +188,7 @@ def similar_lines(docs: DataFrame, lines: DataFrame, similarity: float = SIMILAR
     filtering, which loses none.  The nodes of a crowded bucket are dealt over
     parts that share one hub.
     """
-    nodes = lines.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    keyed = nodes.select("node", "sketch", F.explode("bands").alias("key"))
+    keyed = exploded(one_each(lines))
     full = materialize(crowded(lines))
     part = F.xxhash64("key", "salt")
     heads = full.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(part.alias("key"), "head.node", "head.sketch", F.lit(True).alias("head"))
@@ -170,24 +200,37 @@ def similar_lines(docs: DataFrame, lines: DataFrame, similarity: float = SIMILAR
     pairs = materialize(near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
 
     # Nodes of a split bucket don't all meet, and those of a dense one meet hubs only.
-    split = keyed.join(small(full.select("key")), "key", "left_semi").select("key", "node")
+    split = exploded(lines).join(small(full.select("key")), "key", "left_semi").select("key", "node")
     dense = materialize(near.where("key is not null").select("key", F.explode(F.array("src", "dst")).alias("node")).union(split).distinct())
     ends = materialize(pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).union(dense.select("node")).distinct())
     at = lines.join(small(ends), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("sketch").alias("sketch"))
     wanted = materialize(at.groupBy("at.doc_id").agg(F.collect_list(F.struct("at.line", "node", "sketch")).alias("wanted")))
-    texts = docs.join(small(wanted), "doc_id").select(F.explode("wanted").alias("w"), F.split("text", "\n").alias("lines"))
-    texts = materialize(texts.select("w.node", "w.sketch", F.get("lines", F.col("w.line")).alias("text")).dropDuplicates(["node"]))
 
-    def confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            # A hub's set is built once a batch.
-            sets = {x: shingle_hashes(canonical(x), width) for x in {*frame["a"], *frame["b"]}}
-            keep = [alike(sets[a], sets[b]) >= similarity for a, b in zip(frame["a"], frame["b"], strict=True)]
-            yield frame.loc[keep, ["src", "dst"]]
+    def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = []
+            for text, rows in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                parts = (text or "").split("\n")
+                # Of rows that share an id the one with the line counts, whichever it is.
+                found += [(r["node"], r["sketch"], parts[r["line"]]) for r in rows if r["line"] < len(parts) and line_node(canonical(parts[r["line"]])) == r["node"]]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["node", "sketch", "text"])
+
+    texts = tune(docs.join(small(wanted), "doc_id").select("doc_id", "text", "wanted")).mapInArrow(lookup, "node long, sketch long, text string")
+    texts = materialize(texts.dropDuplicates(["node"]))
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [c.to_pylist() for c in batch.columns[2:]]
+            # A line's set is built once a batch.
+            names = list({*texts[0], *texts[1]})
+            sets = dict(zip(names, shingle_rows([canonical(x) for x in names], width), strict=True))
+            keep = [alike(sets[a], sets[b]) >= similarity for a, b in zip(*texts, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("node").alias("src"), F.col("text").alias("a")), "src").join(texts.select(F.col("node").alias("dst"), F.col("text").alias("b")), "dst")
-        return both.select("src", "dst", "a", "b").mapInPandas(confirm, "src long, dst long")
+        return both.select("src", "dst", "a", "b").mapInArrow(confirm, "src long, dst long")
 
     links = materialize(confirmed(pairs))
     if dense.isEmpty():
@@ -200,8 +243,8 @@ def similar_lines(docs: DataFrame, lines: DataFrame, similarity: float = SIMILAR
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_hashes(canonical(x), width) for x in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], ragged(sets, pa.int64())], ["node", "component", "sketch", "shingles"])
+            sets = shingle_rows([canonical(x) for x in batch.column(3).to_pylist()], width)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], ragged([x.view(np.int64) for x in sets], pa.int64())], ["node", "component", "sketch", "shingles"])
 
     sets = left.select("node", "component", "sketch", "text").mapInArrow(build, "node long, component long, sketch long, shingles array<long>")
     return links.union(links_across(sets, int(100 * similarity + 1e-9), DIFFERENT, confirmed))
@@ -214,7 +257,8 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     joined = connected_components(similar_lines(docs, lines, similarity))
     first = lines.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("keep"))
     first = materialize(first.join(joined, "node", "left").where("n > 1 or component is not null"))
-    least = first.where("component is not null").groupBy("component").agg(F.min("keep").alias("least"))
+    # A table of its own, so that the join may split a large component.
+    least = materialize(first.where("component is not null").groupBy("component").agg(F.min("keep").alias("least")))
     first = materialize(first.join(least, "component", "left").select("node", F.coalesce("least", "keep").alias("keep")))
     gone = lines.select("doc_id", "line", "node").join(first, "node").where("doc_id <> keep.doc_id or line <> keep.line")
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))

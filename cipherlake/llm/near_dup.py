@@ -95,6 +95,8 @@ def components(docs: DataFrame, threshold: int = 75) -> DataFrame:
 
     keyed = classes.select("node", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    # A table of its own, so that the join may split a crowded bucket.
+    buckets = materialize(buckets)
     members = materialize(keyed.join(buckets, "key"))
     weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
     ranked = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("centre"), F.max(F.struct(F.xxhash64("key", "node"), F.col("node")))["node"].alias("other"))

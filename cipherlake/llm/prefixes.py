@@ -8,8 +8,9 @@ decides about time alone: no pair is lost.  What a whole family shares comes
 last and seldom makes a bucket.
 
 Of every two components that share buckets the nearest pair is confirmed
-first.  Most components that belong together are one then; the remaining
-candidates across components are all confirmed.
+first, again and again while this joins many.  Most components that belong
+together are one then; the remaining candidates across components are all
+confirmed.
 
 Cases: no sets, or sets of one component, give no link; an empty set is in no
 bucket; repeated elements of a set aren't allowed.
@@ -34,6 +35,8 @@ KNOWN = 1_000_000
 PART = 1 << 14
 #: Rows of pairs in a batch, pairs looked at together, and largest bucket that is compared step by step.
 BATCH, TOGETHER, STEPPED = 1 << 18, 1 << 20, 64
+#: Share of nearest pairs that must be confirmed for another round of them.
+SETTLED = 0.1
 
 
 def runs(batches: Iterator[pa.RecordBatch], least: int = 1 << 18) -> Iterator[list[np.ndarray]]:
@@ -184,10 +187,17 @@ def links_across(sets: DataFrame, threshold: int, different: int, confirmed: Cal
     """
     sets = materialize(sets)
     rows = materialize(heads(sets, threshold))
-    near = materialize(pairs(rows, threshold, different, True))
-    links = materialize(confirmed(near.select("src", "dst")))
-    joined = connected_components(near.join(links, ["src", "dst"]).select("a", "b"), "a", "b")
-    rows = rows.join(small(joined.select(F.col("node").alias("component"), F.col("component").alias("to"))), "component", "left")
-    rows = rows.select("cell", "node", F.coalesce("to", "component").alias("component"), "n", "place", "sketch", "part")
+    links = None
+    while True:
+        near = materialize(pairs(rows, threshold, different, True))
+        told = materialize(near.join(confirmed(near.select("src", "dst")), ["src", "dst"]))
+        links = told.select("src", "dst") if links is None else links.union(told.select("src", "dst"))
+        asked, joined = near.count(), told.count()
+        if joined:
+            to = connected_components(told, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("to"))
+            rows = rows.join(small(to), "component", "left").withColumn("component", F.coalesce("to", "component")).drop("to")
+            rows = rows.select("cell", "node", "component", "n", "place", "sketch", "part")
+        if joined < SETTLED * asked or not joined:
+            break
     rest = materialize(pairs(rows, threshold, different, False).select("src", "dst"))
     return materialize(links.union(confirmed(rest)))

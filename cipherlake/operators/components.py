@@ -84,10 +84,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         later = label.select(F.col("node").alias("to"), F.col("to").alias("end"))
         label = earlier.join(later, "to", "left").select("node", F.coalesce("end", "to").alias("to"))
     label = materialize(label)
-    least = label.groupBy("to").agg(F.min("node").alias("component"))
+    # A table of its own, so that the join may split a large component.
+    least = materialize(label.groupBy("to").agg(F.min("node").alias("component")))
     out = label.join(least, "to").select("node", "component")
     alone = loops.join(label.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
     out = materialize(out.union(alone))
-    for table in [*spent, *maps, label]:
+    for table in [*spent, *maps, label, least]:
         drop_table(table)
     return out

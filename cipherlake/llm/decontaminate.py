@@ -1,13 +1,18 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact check.
 
 Every document is compared with every benchmark item at every word position.
-A window can only be similar to an item if they share a shingle, so windows
-are laid where a shingle of an item occurs, aligned with its place in the item;
-no other window can match.  Each such window gets a 64-bit SimHash.  The index
-splits fingerprints into ``RADIUS + 1`` blocks: two fingerprints within the
-radius agree in one block at least, so the lookup misses none of them.  What
-it finds is decided by the exact similarity of the shingle multisets,
-sum of least counts over sum of largest counts.
+Two multisets of ``g`` and ``h`` shingles reach the least similarity ``s`` only
+with ``s (g + h) / (1 + s)`` shingles in common, so only windows with that many
+shingles of the benchmark can match; each of these gets a 64-bit SimHash.  The
+index splits fingerprints into ``RADIUS + 1`` blocks: two fingerprints within
+the radius agree in one block at least, so the lookup misses none of them.
+What it finds is decided by the exact similarity of the shingle multisets, sum
+of least counts over sum of largest counts.
+
+Fingerprints of texts just at similarity 0.75 differ in a sixth of their bits
+and more, so the radius that misses none of them leaves blocks of two or three
+bits, which nearly all items of a size share; the distance over all 64 bits
+then leaves one in forty unrelated items.
 
 Cases: null or wordless texts and items match nothing; an item or text of
 fewer words than a shingle is one shingle; a document shorter than an item is
@@ -19,20 +24,25 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from cipherlake.llm.text import documents_of, lower_ascii, mix, shingles, slices, text_bytes, tune, word_hashes, word_spans
-from cipherlake.plans.scratch import materialize, small
+from cipherlake.plans.scratch import materialize
 
 WIDTH, SIMILARITY = 5, 0.75
 #: At similarity 0.75 fingerprints differ in 11 of 64 bits on average, with a deviation of 3.
 RADIUS = 24
 #: Items that one pass over the documents handles; a larger benchmark takes more passes.
 BLOCK = 20_000
+#: Bits of the bitmap over shingle hashes, and windows whose fingerprints are made at once.
+BITMAP, STRETCH = 22, 4096
 
 
 def gram(words: np.ndarray, width: int) -> np.ndarray:
@@ -46,10 +56,10 @@ def fingerprint(values: np.ndarray) -> int:
     return int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(values)).tobytes(), "big")
 
 
-def blocks(code: int) -> list[tuple[int, int]]:
-    """The fingerprint's ``RADIUS + 1`` blocks of bits, numbered."""
+def blocks(codes: np.ndarray) -> np.ndarray:
+    """The ``RADIUS + 1`` blocks of bits of each fingerprint, a row for each block."""
     edges = [64 * k // (RADIUS + 1) for k in range(RADIUS + 2)]
-    return [(k, code >> a & (1 << b - a) - 1) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+    return np.stack([codes >> np.uint64(a) & np.uint64((1 << b - a) - 1) for a, b in zip(edges, edges[1:], strict=False)])
 
 
 class Items:
@@ -57,101 +67,155 @@ class Items:
 
     def __init__(self, rows: list[tuple]):
         self.ids = [r[0] for r in rows]
-        self.sizes: list[int] = []
-        self.bags: list[Counter] = []
-        self.codes: list[int] = []
-        self.index: dict[tuple[int, int, int], list[int]] = defaultdict(list)
-        at: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        self.grams: list[np.ndarray] = []
+        self.codes = np.zeros(len(rows), np.uint64)
+        of_size: dict[int, list[int]] = defaultdict(list)
+        of_width: dict[int, list[np.ndarray]] = defaultdict(list)
         for item, (_, text) in enumerate(rows):
-            data = lower_ascii(np.frombuffer((text or "").encode(), np.uint8))
+            data = lower_ascii(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8))
             words = word_hashes(data, *word_spans(data, np.zeros(1, np.int64))) if len(data) else np.zeros(0, np.uint64)
-            own = gram(words, min(WIDTH, len(words))) if len(words) else words
-            self.sizes.append(len(words))
-            self.bags.append(Counter(own.tolist()))
-            self.codes.append(fingerprint(own) if len(own) else 0)
-            if len(own):
-                for key in blocks(self.codes[-1]):
-                    self.index[(len(words), *key)].append(item)
-                for offset, value in enumerate(own.tolist()):
-                    at[min(WIDTH, len(words))][value].append((len(words), offset))
-        #: By shingle width: a bitmap over 20 bits of the hash, and where in items of which size each shingle stands.
-        self.at = {}
-        for width, where in at.items():
-            seen = np.zeros(1 << 20, bool)
-            seen[(np.fromiter(where, np.uint64, len(where)) & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.at[width] = seen, {value: sorted(set(places)) for value, places in where.items()}
-
-    def candidates(self, size: int, code: int) -> list[tuple[int, int]]:
-        found = {item for key in blocks(code) for item in self.index.get((size, *key), ())}
-        return [(item, d) for item in sorted(found) if (d := (self.codes[item] ^ code).bit_count()) <= RADIUS]
-
-    def hits(self, words: np.ndarray) -> dict[int, tuple]:
+            self.grams.append(np.sort(gram(words, min(WIDTH, len(words)))) if len(words) else words)
+            if len(words):
+                self.codes[item] = fingerprint(self.grams[item])
+                of_size[len(words)].append(item)
+                of_width[min(WIDTH, len(words))].append(self.grams[item])
+        #: By shingle width: all shingles of items, sorted, and a bitmap over bits of the hash.
+        self.known = {}
+        for width, grams in of_width.items():
+            values, seen = np.unique(np.concatenate(grams)), np.zeros(1 << BITMAP, bool)
+            seen[(values & np.uint64((1 << BITMAP) - 1)).astype(np.int64)] = True
+            self.known[width] = values, seen
+        #: Of each item size its items and, for each block, their order by the block's value.
+        self.sizes = {}
+        for size, items in sorted(of_size.items()):
+            own = np.array(items)
+            parts = blocks(self.codes[own])
+            order = np.argsort(parts, axis=1, kind="stable")
+            self.sizes[size] = own, order, np.take_along_axis(parts, order, axis=1)
+
+    def marked(self, words: np.ndarray) -> dict[int, np.ndarray]:
+        """By shingle width, at which words a shingle of an item begins."""
+        out = {}
+        for width, (values, seen) in self.known.items():
+            own = gram(words, width)
+            some = np.flatnonzero(seen[(own & np.uint64((1 << BITMAP) - 1)).astype(np.int64)])
+            out[width] = some[values[np.minimum(np.searchsorted(values, own[some]), len(values) - 1)] == own[some]]
+        return out
+
+    def candidates(self, size: int, code: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """Items of a size whose fingerprints share a block with ``code`` and lie within the radius, and how far."""
+        own, order, values = self.sizes[size]
+        found = [order[k, np.searchsorted(values[k], v) : np.searchsorted(values[k], v, "right")] for k, v in enumerate(blocks(np.array([code]))[:, 0])]
+        near = own[np.unique(np.concatenate(found))]
+        far = np.bitwise_count(self.codes[near] ^ code)
+        return near[far <= RADIUS], far[far <= RADIUS]
+
+    def hits(self, words: np.ndarray, marked: dict[int, np.ndarray]) -> dict[int, tuple]:
         """Of each matching item its best window: (similarity, -start, words, Hamming distance)."""
         best: dict[int, tuple] = {}
-        windows = set()
-        for width, (seen, where) in self.at.items():
-            values = gram(words, width)
-            for p in np.flatnonzero(seen[(values & np.uint64((1 << 20) - 1)).astype(np.int64)]).tolist():
-                for size, offset in where.get(int(values[p]), ()):
-                    windows.add((size, max(0, min(p - offset, len(words) - size))))
-        for size, start in windows:
-            part = words[start : start + size]
-            own = gram(part, min(WIDTH, len(part)))
-            bag = None
-            for item, distance in self.candidates(size, fingerprint(own)):
-                bag = bag or Counter(own.tolist())
-                similarity = (bag & self.bags[item]).total() / (bag | self.bags[item]).total()
-                if similarity >= SIMILARITY:
-                    best[item] = max(best.get(item, (-1,)), (similarity, -start, len(part), distance))
+        for size in self.sizes:
+            width, length = min(WIDTH, size), min(size, len(words))
+            mine = length - width + 1
+            need = SIMILARITY * (mine + size - width + 1) / (1 + SIMILARITY)
+            at = marked[width]
+            if mine < 1 or len(at) < need - 1e-9:
+                continue
+            # Windows are tried in stretches of marked words, so that a very long text is never unfolded whole.
+            edges = np.flatnonzero(np.diff(at) > size) + 1
+            for run in np.split(at, edges):
+                for a in range(max(0, int(run[0]) - mine + 1), int(run[-1]) + 1, STRETCH):
+                    starts = np.arange(a, min(a + STRETCH, int(run[-1]) + 1, len(words) - length + 1))
+                    inside = np.searchsorted(run, starts + mine) - np.searchsorted(run, starts)
+                    starts = starts[inside >= need - 1e-9]
+                    if len(starts):
+                        self.compare(words, size, length, starts, best)
         return best
 
+    def compare(self, words: np.ndarray, size: int, length: int, starts: np.ndarray, best: dict[int, tuple]) -> None:
+        width = min(WIDTH, size)
+        first, mine = int(starts[0]), length - width + 1
+        own = gram(words[first : int(starts[-1]) + length], width)
+        counted = np.zeros((len(own) + 1, 64), np.int32)
+        np.cumsum(np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1), axis=0, out=counted[1:])
+        bits = (counted[starts - first + mine] - counted[starts - first]) * 2 > mine
+        codes = np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64)
+        for start, code in zip(starts.tolist(), codes, strict=True):
+            items, far = self.candidates(size, code)
+            if len(items):
+                part = Counter(own[start - first : start - first + mine].tolist())
+                for item, distance in zip(items.tolist(), far.tolist(), strict=True):
+                    its = Counter(self.grams[item].tolist())
+                    similarity = (part & its).total() / (part | its).total()
+                    if similarity >= SIMILARITY:
+                        best[item] = max(best.get(item, (-1,)), (similarity, -start, length, distance))
+
+
+def found_in(known: Items, batch: pa.RecordBatch) -> list[tuple[int, dict[int, tuple]]]:
+    """The rows of a batch whose second column holds items, and what they hold."""
+    data, at = text_bytes(batch.column(1))
+    data = lower_ascii(data)
+    begins, ends = word_spans(data, at[:-1])
+    words, cut = word_hashes(data, begins, ends), np.searchsorted(begins, at)
+    # Marked words anywhere in the slice, before any document is looked at on its own.
+    marked = known.marked(words)
+    rows = np.unique(np.concatenate([np.searchsorted(cut, at, "right") - 1 for at in marked.values()] or [np.zeros(0, np.int64)]))
+    out = []
+    for i in rows.tolist():
+        a, b = int(cut[i]), int(cut[i + 1])
+        own = {width: at[np.searchsorted(at, a) : np.searchsorted(at, b - width + 1)] - a for width, at in marked.items()}
+        if hits := known.hits(words[a:b], own):
+            out.append((i, hits))
+    return out
+
+
+def item_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[Items]:
+    """The benchmark in blocks of about ``BLOCK`` items, each of bounded size on the driver."""
+    items = benchmark.select(F.col(item).alias("item_id"), F.col(text).cast("string").alias("text"))
+    passes = max(1, -(-items.count() // BLOCK))
+    for k in range(passes):
+        yield Items([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()])
+
 
 def leaks(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """``doc_id, item_id, start_word, n_words, similarity, hamming``: each contaminated document with each item it holds."""
     docs = documents_of(docs)
-    items = benchmark.select(F.col(item).alias("item_id"), F.col(text).cast("string").alias("text"))
-    kind = items.schema["item_id"].dataType
-    passes = max(1, -(-items.count() // BLOCK))
+    kind = benchmark.select(item).schema[0].dataType
+    arrow = to_arrow_schema(StructType([StructField("doc_id", LongType()), StructField("item_id", kind), StructField("start_word", IntegerType()), StructField("n_words", IntegerType()), StructField("similarity", DoubleType()), StructField("hamming", IntegerType())]))
     schema = f"doc_id long, item_id {kind.simpleString()}, start_word int, n_words int, similarity double, hamming int"
 
     def one_pass(known: Items) -> DataFrame:
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                data, at = text_bytes(batch.column(1))
-                data = lower_ascii(data)
-                begins, ends = word_spans(data, at[:-1])
-                words, cut = word_hashes(data, begins, ends), np.searchsorted(begins, at)
-                out = []
-                # A hit anywhere in the slice, before any document is looked at on its own.
-                some = np.zeros(len(words) + 1, np.int64)
-                for width, (seen, _) in known.at.items():
-                    values = gram(words, width)
-                    some[1 : len(values) + 1] += seen[(values & np.uint64((1 << 20) - 1)).astype(np.int64)]
-                some = np.cumsum(some)
                 ids = batch.column(0).to_pylist()
-                for i in np.flatnonzero(some[cut[1:]] > some[cut[:-1]]).tolist():
-                    out += [(ids[i], known.ids[k], -s, n, sim, d) for k, (sim, s, n, d) in sorted(known.hits(words[cut[i] : cut[i + 1]]).items())]
+                out = [(ids[i], known.ids[k], -s, n, sim, d) for i, hits in found_in(known, batch) for k, (sim, s, n, d) in sorted(hits.items())]
                 if out:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=arrow)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
 
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string
-
-        names = ["doc_id", "item_id", "start_word", "n_words", "similarity", "hamming"]
-        arrow = to_arrow_schema(_parse_datatype_string(schema))
         return tune(docs).mapInArrow(search, schema)
 
-    found = None
-    for k in range(passes):
-        rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()]
-        part = one_pass(Items(rows))
-        if passes > 1:
-            part = materialize(part)
-        found = part if found is None else found.union(part)
-    return found
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose documents hold no benchmark item; all columns stay."""
-    found = materialize(leaks(docs, benchmark).select(F.col("doc_id").alias("__leaked")).distinct())
-    return docs.join(small(found), docs["doc_id"].cast("long") == F.col("__leaked"), "left_anti")
+    found = [one_pass(known) for known in item_blocks(benchmark, item, text)]
+    if len(found) == 1:
+        return found[0]
+    return reduce(DataFrame.union, [materialize(part) for part in found])
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text holds no benchmark item, whatever their ``doc_id``; all columns stay."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def one_pass(docs: DataFrame, known: Items) -> DataFrame:
+        # The text comes second, where `slices` looks for it.
+        plain = docs.select(F.lit(0).alias("__none"), F.col("text").cast("string").alias("__text"), *docs.columns)
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                clean = np.ones(batch.num_rows, bool)
+                clean[[i for i, _ in found_in(known, batch)]] = False
+                kept = batch.filter(pa.array(clean))
+                yield pa.RecordBatch.from_arrays(kept.columns[2:], kept.schema.names[2:])
+
+        return tune(plain).mapInArrow(keep, schema)
+
+    for known in item_blocks(benchmark, item, text):
+        docs = one_pass(docs, known)
+    return docs

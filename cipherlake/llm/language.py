@@ -14,7 +14,6 @@ empty table gives an empty result; further columns take no part.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,8 @@ from cipherlake.plans.scratch import materialize
 STRETCH, HIDDEN = 128, 8
 #: Training texts of a language, stretches of one text, stretches of a step, steps.
 DOCUMENTS, EACH, BATCH, STEPS, RATE = 400, 8, 256, 300, 0.02
-LETTER = re.compile(r"[^\W\d_]")
+#: What makes a letter, for training and prediction alike: Unicode category L.
+LETTER = r"\p{L}"
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -132,7 +132,7 @@ def cut(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def fit(docs: DataFrame, usable: Column) -> tuple[list[str], dict[str, np.ndarray]] | None:
     """The languages of ``docs (doc_id, text, lang)`` and the network's parameters; None without training rows."""
-    known = docs.where(usable & F.col("text").rlike(r"\p{L}") & (F.col("lang") != ""))
+    known = docs.where(usable & F.col("text").rlike(LETTER) & (F.col("lang") != ""))
     of = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not of:
         return None
@@ -162,14 +162,17 @@ def fit(docs: DataFrame, usable: Column) -> tuple[list[str], dict[str, np.ndarra
     return languages, {k: np.frombuffer(got[k], np.float32).reshape(v.shape) for k, v in start(len(languages)).items()}
 
 
-def predict(docs: DataFrame, held_out: Column) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` for every row of ``docs (doc_id, text, lang)``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    model = fit(docs, ~F.coalesce(held_out, F.lit(False)))
+def identified(docs: DataFrame, held_out: Column) -> DataFrame:
+    """Every row of ``docs`` with all its columns, and ``__lettered, __lang, __score``: whether it has a letter, its language and that one's probability."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    model = fit(named, ~F.coalesce(held_out, F.lit(False)))
+    # The text comes second, where `slices` looks for it.
+    plain = docs.select(F.coalesce(F.col("text").cast("string").rlike(LETTER), F.lit(False)).alias("__lettered"), F.col("text").cast("string").alias("__text"), *docs.columns)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __lettered boolean, __lang string, __score double"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 18):
-            lettered = np.array([t is not None and LETTER.search(t) is not None for t in batch.column(1).to_pylist()])
+            lettered = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
             names, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             if model and lettered.any():
                 languages, p = model
@@ -184,7 +187,24 @@ def predict(docs: DataFrame, held_out: Column) -> DataFrame:
                 best = total.argmax(axis=1)
                 names = [languages[k] if ok else "und" for k, ok in zip(best, lettered, strict=True)]
                 score = np.where(lettered, np.minimum(total.max(axis=1), 1.0), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], batch.column(0), pa.array(names), pa.array(score)], [*batch.schema.names[2:], "__lettered", "__lang", "__score"])
+
+    return tune(plain).mapInArrow(apply, schema)
+
+
+def predict(docs: DataFrame, held_out: Column) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` for every row of ``docs (doc_id, text, lang)``."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    found = identified(named, held_out)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
+def drop_unidentified(docs: DataFrame, held_out: Column, sure: float) -> DataFrame:
+    """The rows of ``docs`` whose language is told with probability ``sure``; all columns stay.
 
-    found = tune(docs.select("doc_id", "text")).mapInArrow(apply, "doc_id long, lang_pred string, score double")
-    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    Each row is decided on its own text, whatever its ``doc_id``.  Texts without
+    a letter go; where nothing is labelled, so that no language is known, all
+    others stay.
+    """
+    found = identified(docs, held_out)
+    return found.where(F.col("__lettered") & ((F.col("__lang") == "und") | (F.col("__score") >= sure))).select(*docs.columns)

@@ -13,6 +13,7 @@ along; an empty table gives an empty result; further columns take no part.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 import struct
@@ -22,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,8 +47,10 @@ class Encoder:
     Byte-pair merges never cross the words that the tokenizer splits a text
     into, so each distinct word is encoded once and remembered.  Words are
     merged by tiktoken over the same vocabulary (``ranks``), which takes a
-    quarter of the time; a text with other characters than ``LATIN`` and
-    printable ASCII goes through the tokenizer file itself.
+    quarter of the time.  Both give the same ids for texts of printable ASCII,
+    tab, line feed, return and ``LATIN``, since there the split rule below is the
+    tokenizer's own; a text with another character, or with the content of one
+    of the tokenizer's added tokens, goes through the tokenizer file itself.
     """
 
     def __init__(self, path: str, ranks: str):
@@ -58,7 +60,10 @@ class Encoder:
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.path, self.model = path, None
-        self.merge = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        with open(path, encoding="utf-8") as file:
+            added = [token["content"] for token in json.load(file).get("added_tokens", [])]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.plain = re.compile(rf"[\t\n\r -~{LATIN}]*")
         self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+")
         self.known: dict[str, bytes] = {}
@@ -68,11 +73,10 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.model = Tokenizer.from_file(self.path)
-            self.model.encode_special_tokens = True
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [self.words.findall(t) if self.plain.fullmatch(t) else None for t in texts]
+        split = [self.words.findall(t) if self.plain.fullmatch(t) and not self.added.search(t) else None for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         for word in set().union(*(s for s in split if s)) - self.known.keys():
@@ -141,9 +145,16 @@ def minimum_bin_slack(counts: dict[int, int], capacity: int) -> list[tuple[dict[
     return plan
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file, where that package is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """All pieces of ``docs (doc_id, text)`` with ``sequence_id`` and ``offset`` in their sequence."""
-    cut = materialize(pieces(docs, tokenizer or public_tokenizers.path(TOKENIZER), ranks or public_tokenizers.path(RANKS), capacity, end_id))
+    cut = materialize(pieces(docs, tokenizer or vocabulary(TOKENIZER), ranks or vocabulary(RANKS), capacity, end_id))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places: dict[int, list[tuple[int, ...]]] = defaultdict(list)  # of a length: (number of its first piece, first sequence, copies in a bin, offset of the first copy)
     used: dict[int, int] = defaultdict(int)

@@ -62,13 +62,13 @@ class ImpactIndex:
         self.ids, self.vectors = ids, vectors
         impact = np.frexp(np.abs(vectors))[1]
         self.segments, self.rest = [], []
+        kind = np.float32 if np.abs(vectors).max(initial=0) < 2**24 else np.float64
         left = vectors.copy()
         for level in sorted({int(x) for x in np.unique(impact)} - {0}, reverse=True):
             segment = np.where(impact == level, vectors, 0)
             left -= segment
-            self.segments.append(np.ascontiguousarray(segment.T, np.float32))
+            self.segments.append(np.ascontiguousarray(segment.T, kind))
             self.rest.append(np.sqrt((left**2).sum(axis=1)))
-        #: Sums of products up to this are exact in single precision.
         self.largest = float(np.sqrt((vectors**2).sum(axis=1)).max(initial=0))
 
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,25 +76,26 @@ class ImpactIndex:
         norms = np.sqrt((queries**2).sum(axis=1))
         n = len(self.ids)
         alive = np.ones((len(ids), n), bool)
-        if self.largest * norms.max(initial=0) < 2**24:
-            scores = np.zeros((len(ids), n), np.float32)
-            small = queries.astype(np.float32)
-            for segment, rest in zip(self.segments, self.rest, strict=True):
-                scores += small @ segment
-                slack = norms[:, None] * rest[None, :] + 1
-                sure = floor
-                if n > k:
-                    sure = np.maximum(floor, np.partition(scores - slack, n - k - 1, axis=1)[:, n - k - 1])
-                alive = scores + slack >= sure[:, None]
-                if alive.mean() <= FEW:
-                    break
+        # Sums of integer products are exact in single precision up to 2**24 and in double up to 2**53; beyond, rounding widens the bounds.
+        most = self.largest * norms.max(initial=0)
+        kind = np.float32 if most < 2**24 else np.float64
+        scores, mine = np.zeros((len(ids), n), kind), queries.astype(kind)
+        for segment, rest in zip(self.segments, self.rest, strict=True):
+            scores += mine @ segment.astype(kind, copy=False)
+            slack = norms[:, None] * rest[None, :] + 1 + most * 2.0**-40
+            sure = floor
+            if n > k:
+                sure = np.maximum(floor, np.partition(scores - slack, n - k - 1, axis=1)[:, n - k - 1])
+            alive = scores + slack >= sure[:, None]
+            if alive.mean() <= FEW:
+                break
         q, v = np.nonzero(alive)
         other = ids[q] != self.ids[v]
         q, v = q[other], v[other]
         exact = np.empty(len(q), np.int64)
-        whole, mine = self.vectors.astype(np.int64), queries.astype(np.int64)
+        whole, asked = self.vectors.astype(np.int64), queries.astype(np.int64)
         for a in range(0, len(q), 1 << 16):
-            exact[a : a + (1 << 16)] = np.einsum("ij,ij->i", mine[q[a : a + (1 << 16)]], whole[v[a : a + (1 << 16)]])
+            exact[a : a + (1 << 16)] = np.einsum("ij,ij->i", asked[q[a : a + (1 << 16)]], whole[v[a : a + (1 << 16)]])
         return q, v, exact
 
 

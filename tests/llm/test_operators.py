@@ -209,7 +209,42 @@ def test_hamming_blocks_miss_nothing_within_the_radius():
         other = code
         for bit in rng.sample(range(64), decontaminate.RADIUS):
             other ^= 1 << bit
-        assert set(decontaminate.blocks(code)) & set(decontaminate.blocks(other))
+        both = decontaminate.blocks(np.array([code, other], np.uint64))
+        assert (both[:, 0] == both[:, 1]).any()
+
+
+def test_leaks_against_every_window(spark):
+    """Each document with each item at each word position, on edited copies about the least similarity."""
+    rng = random.Random(21)
+    items = [(k, prose(rng.randrange(3, 40), 800 + k)) for k in range(14)] + [(20, " ".join([prose(3, 1)] * 6)), (20, prose(12, 5))]
+    texts = []
+    for k, (_, item) in enumerate(items * 6):
+        words = item.split()
+        edits = rng.randrange(0, 1 + len(words) // 6)
+        inner = changed(item, edits, k) if k % 3 else " ".join(words[rng.randrange(2) : len(words) - rng.randrange(2)])
+        texts.append(f"{prose(rng.randrange(0, 30), k)} {inner} {prose(rng.randrange(0, 30), 99 + k)}")
+    texts += [items[3][1][: len(items[3][1]) * 9 // 10], " ".join(w for _, w in items), f"{prose(30_000, 7)} {items[5][1]} {prose(30_000, 8)} {items[5][1]}", None, "", "x"]
+    rows = list(enumerate(texts)) + [(0, texts[0]), (None, items[6][1])]
+    bag = lambda words: Counter(tuple(words[i : i + min(5, len(words))]) for i in range(max(1, len(words) - 4)))
+    want = Counter()
+    for doc, text in rows:
+        words = (text or "").lower().split()
+        for item, its in items:
+            its, best = its.lower().split(), None
+            size, theirs = min(len(its), len(words)), bag(its)
+            shared = {i for i in range(len(words)) if any(tuple(words[i : i + w]) in theirs for w in {min(5, len(its)), min(5, len(words))})} if words else set()
+            for start in sorted({max(0, min(i - k, len(words) - size)) for i in shared for k in range(size + 1)}):
+                own = bag(words[start : start + size])
+                similarity = (own & theirs).total() / (own | theirs).total()
+                best = max(best or (0, 0), (similarity, -start))
+            if best and best[0] >= decontaminate.SIMILARITY:
+                want[doc, item, -best[1], size, round(best[0], 9)] += 1
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.leaks(frame(spark, rows), benchmark).collect()
+    assert Counter((r["doc_id"], r["item_id"], r["start_word"], r["n_words"], round(r["similarity"], 9)) for r in got) == want
+    assert len({k[:2] for k in want}) > 60 and any(k[4] < 0.85 for k in want)
+    clean = Counter(r["doc_id"] for r in decontaminate.decontaminate(frame(spark, rows), benchmark).collect())
+    assert clean == Counter(d for d, _ in rows) - Counter({d: 2 if d == 0 else 1 for d in {k[0] for k in want}})
 
 
 def test_packing(spark, docs):
@@ -217,7 +252,6 @@ def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    model.encode_special_tokens = True
     want = Counter()
     for doc, text in [(r["doc_id"], r["text"]) for r in docs.collect()]:
         ids = [*model.encode(text or "", add_special_tokens=False).ids, packing.END_ID]
@@ -243,8 +277,12 @@ def test_token_words_agree_with_the_tokenizer():
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    model.encode_special_tokens = True
     encoder = packing.Encoder(public_tokenizers.path(packing.TOKENIZER), public_tokenizers.path(packing.RANKS))
+    assert encoder.ids(["a <|endoftext|> b"]) == [np.array([64, 220, 50256, 275], "<u4").tobytes()]
+    rng = random.Random(12)
+    letters = [chr(c) for a, b in ((32, 127), (0xC0, 0x250)) for c in range(a, b)] + list("\t\n\r    '’") + list("Жα中ß½²①")
+    drawn = ["".join(rng.choice(letters[: rng.choice((100, 480, len(letters)))]) for _ in range(rng.randrange(1, 60))) for _ in range(4000)]
+    assert encoder.ids(drawn) == [np.array(model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in drawn]
     texts = ["<|endoftext|> hi", "  a  b\n\n c ", "I'm he'll  don't ² ½ x y", "日本語 text ÷ × ñ\x85z", "0123 4a5b --- ...", "a\t\t b\r\n", "", "Über çà va ŐȀ", "!!?? %%", "x" * 3000]
     assert encoder.ids(texts) == [np.array(model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
@@ -282,6 +320,21 @@ def test_top_k(spark):
     assert topk.top_k(two, two).count() == 2
 
 
+@pytest.mark.parametrize("scale", [1e3, 1e6, 1e8])
+def test_top_k_of_large_components(scale):
+    """Beyond single precision the segments are still what finds the members."""
+    rng = np.random.default_rng(9)
+    vectors = np.floor(rng.normal(0, scale, (500, 16)) * np.exp(rng.normal(0, 1, (500, 1))))
+    index = topk.ImpactIndex(np.arange(500), vectors)
+    q, v, score = index.search(np.arange(0, 500, 50), vectors[::50], 6, np.full(10, -np.inf))
+    assert len(q) < 0.5 * 10 * 500
+    whole = vectors.astype(np.int64)
+    for k in range(10):
+        want = sorted(((-int(whole[50 * k] @ whole[i]), i) for i in range(500) if i != 50 * k))[:5]
+        got = sorted((-int(s), int(i)) for a, i, s in zip(q, v, score, strict=True) if a == k)[:5]
+        assert got == want
+
+
 def test_top_k_passes_and_blocks(spark, monkeypatch):
     rng = np.random.default_rng(5)
     df = spark.createDataFrame([(i, rng.normal(0, 1, 8).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
@@ -339,7 +392,7 @@ def test_language(spark, docs, monkeypatch):
     alphabets = {"aa": "abcde ", "bb": "vwxyz ", "cc": "жшщыэ "}
     rng = random.Random(6)
     rows = [(i, "".join(rng.choice(alphabets[k]) for _ in range(rng.randrange(20, 400))), k) for i, k in enumerate(rng.choice(list(alphabets)) for _ in range(200))]
-    table = spark.createDataFrame([*rows, (900, None, "aa"), (901, "123 ...", "bb"), (902, "", None), (903, "abcabc" * 3000, None), (None, "vwx", "bb")], "doc_id long, text string, lang string").withColumn("score", F.lit("s"))
+    table = spark.createDataFrame([*rows, (900, None, "aa"), (901, "123 ... ½ ² ① Ⅷ", "bb"), (902, "", None), (903, "abcabc" * 3000, None), (None, "vwx", "bb")], "doc_id long, text string, lang string").withColumn("score", F.lit("s"))
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     got = {r["doc_id"]: r for r in language.predict(table, held).collect()}
     truth = {i: k for i, _, k in rows}
@@ -456,6 +509,26 @@ def test_surrogates_are_permutations():
     assert len({s.card(f"41111111111{k:05d}") for k in range(2000)}) == 2000
 
 
+def test_pipeline_without_labels_or_ids(spark, tmp_path):
+    """Unlabelled texts stay, rows without id or with a repeated one are decided on their own, an empty table goes through."""
+    import corpus_pipeline
+
+    leak = prose(40, 3333)
+    texts = [(i, prose(60, 500 + i)) for i in range(20)] + [(None, prose(60, 700)), (None, None), (None, f"{prose(20, 1)} {leak}"), (3, None), (50, prose(60, 750)), (50, prose(60, 750))]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, score string, node string, __gone2 long"
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, rows in (("some", texts), ("none", [])):
+        table = spark.createDataFrame([(i, t, None, "s", len(t or ""), "x", "n", 1) for i, t in rows], schema)
+        for at, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            after = stage(spark, table, str(tmp_path))
+            assert after.columns == table.columns
+            after.write.parquet(str(tmp_path / f"{name}{at}"))
+            table = spark.read.parquet(str(tmp_path / f"{name}{at}"))
+        left = Counter(r["doc_id"] for r in table.collect())
+        assert left == (Counter({None: 1, 50: 2} | dict.fromkeys(range(20), 1)) if rows else Counter())
+        assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, table, str(tmp_path)).collect()} == set(left)
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 

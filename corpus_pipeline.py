@@ -2,6 +2,14 @@
 
 Each stage is a function of (spark, docs, sf_dir).  All but the last return the
 columns of ``documents``; the last returns the packed pieces.
+
+Cases: the language stage drops null, empty and letterless texts, and keeps all
+others of a corpus without any label; it and decontamination decide on each row
+by its text, so rows without ``doc_id`` or with a repeated one don't share a
+fate there.  The line and near-duplicate stages take rows that share a
+``doc_id`` for one document, and leave rows without one as they are.  An empty
+table goes through all stages and gives no piece.  Further columns are kept by
+all stages but the last.
 """
 
 from __future__ import annotations
@@ -13,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cipherlake.llm import decontaminate, language, line_dedup, near_dup, packing
 from cipherlake.llm.queries import remainder, table
-from cipherlake.plans.scratch import materialize, small
+from cipherlake.plans.scratch import materialize
 
 #: Least probability with which the language stage keeps a document.
 SURE = 0.4
@@ -21,9 +29,7 @@ SURE = 0.4
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with some certainty; texts without a letter go."""
-    found = materialize(language.predict(docs, remainder(3, 1)).where((F.col("lang_pred") == "und") | (F.col("score") < SURE)))
-    gone = found.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(small(materialize(gone)), docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    return language.drop_unidentified(docs, remainder(3, 1), SURE)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

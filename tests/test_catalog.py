@@ -45,8 +45,9 @@ def test_query_runs(spark, name):
     assert catalog.queries()[name](spark, DATA).count() > 0
 
 
-def test_entry_imports_without_llm(tmp_path):
-    """The entry module works when the llm folders and the pipeline are gone."""
+@pytest.mark.parametrize("leftover", [False, True])
+def test_entry_imports_without_llm(tmp_path, leftover):
+    """The entry module works when the llm folders and the pipeline are gone, also if caches or the pipeline stay behind."""
     import shutil
     import subprocess
     import sys
@@ -54,6 +55,10 @@ def test_entry_imports_without_llm(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(f"{root}/cipherlake", tmp_path / "cipherlake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    if leftover:
+        (tmp_path / "cipherlake" / "llm" / "__pycache__").mkdir(parents=True)
+        if os.path.exists(f"{root}/corpus_pipeline.py"):
+            shutil.copy(f"{root}/corpus_pipeline.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
     assert said.returncode == 0, said.stderr
     assert said.stdout.split()[-2:] == [str(len(catalog.queries())), str(len(catalog.oracle_sql()))]

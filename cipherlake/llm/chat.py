@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cipherlake.llm.text import slices
 from cipherlake.plans.scratch import scratch_root
 
 ROLES = ("system", "user", "assistant")
@@ -37,8 +38,8 @@ FOLLOWS = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT
 MERGE, RELABEL, INSERT = 1.0, 2.0, 3.0
 #: What it costs to end in a state, and the empty turns that are put behind it.
 ENDING = {START: (2 * INSERT, (USER, ASSISTANT)), SYSTEM: (2 * INSERT, (USER, ASSISTANT)), USER: (INSERT, (ASSISTANT,)), ASSISTANT: (0.0, ())}
-#: Rows of a partition, about.
-ROWS = 50_000
+#: Rows and bytes of text of a partition, about; and bytes of text that are rendered at once.
+ROWS, BYTES, SLICE = 50_000, 1 << 25, 1 << 20
 
 
 def moves() -> tuple[np.ndarray, dict]:
@@ -101,8 +102,9 @@ def repaired(turns: DataFrame) -> DataFrame:
     """
     spark = turns.sparkSession
     scratch_root(spark)
-    names = turns.select("conv_id", "turn", "role", "text")
-    number = max(spark.sparkContext.defaultParallelism, 1 + names.count() // ROWS)
+    names = turns.select("conv_id", "turn", "role", F.col("text").cast("string").alias("text"))
+    total = names.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(F.col("text").cast("string")).cast("long")), F.lit(0)).alias("bytes")).first()
+    number = max(spark.sparkContext.defaultParallelism, 1 + total["rows"] // ROWS, 1 + total["bytes"] // BYTES)
     kind = names.schema["conv_id"].dataType.simpleString()
     # The last key tells equal rows apart, so that any number of them can be split.
     order = ["conv_id", "turn", "role", F.xxhash64("text"), "__row"]
@@ -111,8 +113,8 @@ def repaired(turns: DataFrame) -> DataFrame:
     cost, how = moves()
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches))
-        if rows.num_rows:
+        rows = pa.Table.from_batches(held) if (held := list(batches)) else None
+        if rows is not None and rows.num_rows:
             found = runs(rows.column(0).to_pylist())
             codes = [role_code(r) for r in rows.column(1).to_pylist()]
             edge = sorted({0, len(found) - 1})
@@ -145,33 +147,42 @@ def repaired(turns: DataFrame) -> DataFrame:
             before += row["n"]
         i = j
 
+    kinds = (pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.float64(), pa.string())
+    columns = ["conv_id", "turn", "role", "position", "new_role", "merged", "inserted", "cost", "rendered"]
+
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches))
-        if not rows.num_rows:
+        # The roles of a partition are looked at together; its texts stay in Arrow's form but for a slice.
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
             return
         part = TaskContext.get().partitionId()
-        convs, texts, roles = (rows.column(c).to_pylist() for c in ("conv_id", "text", "role"))
-        codes, found = [role_code(r) for r in roles], runs(convs)
-        out: list[list] = [[] for _ in range(6)]
+        codes = [role_code(r) for batch in held for r in batch.column(2).to_pylist()]
+        found = runs([c for batch in held for c in batch.column(0).to_pylist()])
+        # Of each row: its place, role, whether it is merged, the empty turn before it, cost, and the conversation's end.
+        decided: list[tuple] = []
         for k, (a, b) in enumerate(found):
             mine = codes[a:b]
             if k == 0 or k == len(found) - 1:
-                start, end, before, closes = plan[part, k == 0]
+                state, end, before, closes = plan[part, k == 0]
             else:
-                start, before, closes = START, 0, True
+                state, before, closes = START, 0, True
                 end = int((stretch(mine, cost)[START] + np.array([ENDING[s][0] for s in range(4)])).argmin())
-            state = start
-            for n, (code, after) in enumerate(zip(mine, path(mine, start, end, cost), strict=True)):
+            for n, (code, after) in enumerate(zip(mine, path(mine, state, end, cost), strict=True)):
                 merged, gap = how[code, state, after]
-                text = (texts[a + n] or "").replace("<|", "< |")
-                piece = "\n" + text if merged else ("<|end|>\n" if state != START else "") + (f"<|{ROLES[gap - 1]}|>\n<|end|>\n" if gap else "") + f"<|{ROLES[after - 1]}|>\n{text}"
-                if closes and a + n == b - 1:
-                    piece += "<|end|>\n" + "".join(f"<|{ROLES[s - 1]}|>\n<|end|>\n" for s in ENDING[after][1])
-                for column, value in zip(out, (before + n, ROLES[after - 1], merged, ROLES[gap - 1] if gap else None, float(cost[code, state, after]), piece), strict=True):
-                    column.append(value)
+                decided.append((before + n, state, after, merged, gap, float(cost[code, state, after]), closes and n == b - a - 1))
                 state = after
-        kinds = (pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.float64(), pa.string())
-        table = pa.table([rows.column(0), rows.column(1), rows.column(2), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], ["conv_id", "turn", "role", "position", "new_role", "merged", "inserted", "cost", "rendered"])
-        yield from table.combine_chunks().to_batches()
+        done = 0
+        for batch in held:
+            for rows in slices(iter([batch.select([0, 3, 1, 2])]), SLICE):
+                out: list[tuple] = []
+                for text, (place, state, after, merged, gap, price, last) in zip(rows.column(1).to_pylist(), decided[done : done + rows.num_rows], strict=True):
+                    text = (text or "").replace("<|", "< |")
+                    piece = "\n" + text if merged else ("<|end|>\n" if state != START else "") + (f"<|{ROLES[gap - 1]}|>\n<|end|>\n" if gap else "") + f"<|{ROLES[after - 1]}|>\n{text}"
+                    if last:
+                        piece += "<|end|>\n" + "".join(f"<|{ROLES[s - 1]}|>\n<|end|>\n" for s in ENDING[after][1])
+                    out.append((place, ROLES[after - 1], merged, ROLES[gap - 1] if gap else None, price, piece))
+                done += rows.num_rows
+                kept = [rows.column(0), rows.column(2), rows.column(3)]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], columns)
 
     return ordered.mapInArrow(repair, f"conv_id {kind}, turn long, role string, position long, new_role string, merged boolean, inserted string, cost double, rendered string")

@@ -3,7 +3,7 @@
 Every document is compared with every benchmark item at every word position.
 Two multisets of ``g`` and ``h`` shingles reach the least similarity ``s`` only
 with ``s (g + h) / (1 + s)`` shingles in common, so only windows with that many
-shingles of the benchmark can match; each of these gets a 64-bit SimHash.  The
+shingles of one item of their size can match; each gets a 64-bit SimHash.  The
 index splits fingerprints into ``RADIUS + 1`` blocks: two fingerprints within
 the radius agree in one block at least, so the lookup misses none of them.
 What it finds is decided by the exact similarity of the shingle multisets, sum
@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +71,7 @@ class Items:
         self.grams: list[np.ndarray] = []
         self.codes = np.zeros(len(rows), np.uint64)
         of_size: dict[int, list[int]] = defaultdict(list)
-        of_width: dict[int, list[np.ndarray]] = defaultdict(list)
+        of_width: dict[int, list[int]] = defaultdict(list)
         for item, (_, text) in enumerate(rows):
             data = lower_ascii(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8))
             words = word_hashes(data, *word_spans(data, np.zeros(1, np.int64))) if len(data) else np.zeros(0, np.uint64)
@@ -78,13 +79,18 @@ class Items:
             if len(words):
                 self.codes[item] = fingerprint(self.grams[item])
                 of_size[len(words)].append(item)
-                of_width[min(WIDTH, len(words))].append(self.grams[item])
-        #: By shingle width: all shingles of items, sorted, and a bitmap over bits of the hash.
+                of_width[min(WIDTH, len(words))].append(item)
+        self.words = np.zeros(len(rows), np.int64)
+        for size, items in of_size.items():
+            self.words[items] = size
+        #: By shingle width: all shingles of items, sorted, in which items each stands, and a bitmap over bits of the hash.
         self.known = {}
-        for width, grams in of_width.items():
-            values, seen = np.unique(np.concatenate(grams)), np.zeros(1 << BITMAP, bool)
+        for width, items in of_width.items():
+            pairs = np.unique(np.array([(g, item) for item in items for g in self.grams[item].tolist()], np.uint64), axis=0)
+            values, first = np.unique(pairs[:, 0], return_index=True)
+            seen = np.zeros(1 << BITMAP, bool)
             seen[(values & np.uint64((1 << BITMAP) - 1)).astype(np.int64)] = True
-            self.known[width] = values, seen
+            self.known[width] = values, seen, np.append(first, len(pairs)), pairs[:, 1].astype(np.int64)
         #: Of each item size its items and, for each block, their order by the block's value.
         self.sizes = {}
         for size, items in sorted(of_size.items()):
@@ -93,13 +99,15 @@ class Items:
             order = np.argsort(parts, axis=1, kind="stable")
             self.sizes[size] = own, order, np.take_along_axis(parts, order, axis=1)
 
-    def marked(self, words: np.ndarray) -> dict[int, np.ndarray]:
-        """By shingle width, at which words a shingle of an item begins."""
+    def marked(self, words: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By shingle width, at which words a shingle of an item begins, and which one."""
         out = {}
-        for width, (values, seen) in self.known.items():
+        for width, (values, seen, _, _) in self.known.items():
             own = gram(words, width)
             some = np.flatnonzero(seen[(own & np.uint64((1 << BITMAP) - 1)).astype(np.int64)])
-            out[width] = some[values[np.minimum(np.searchsorted(values, own[some]), len(values) - 1)] == own[some]]
+            which = np.minimum(np.searchsorted(values, own[some]), len(values) - 1)
+            ok = values[which] == own[some]
+            out[width] = some[ok], which[ok]
         return out
 
     def candidates(self, size: int, code: np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -110,25 +118,38 @@ class Items:
         far = np.bitwise_count(self.codes[near] ^ code)
         return near[far <= RADIUS], far[far <= RADIUS]
 
-    def hits(self, words: np.ndarray, marked: dict[int, np.ndarray]) -> dict[int, tuple]:
+    def hits(self, words: np.ndarray, marked: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, tuple]:
         """Of each matching item its best window: (similarity, -start, words, Hamming distance)."""
         best: dict[int, tuple] = {}
-        for size in self.sizes:
-            width, length = min(WIDTH, size), min(size, len(words))
-            mine = length - width + 1
-            need = SIMILARITY * (mine + size - width + 1) / (1 + SIMILARITY)
-            at = marked[width]
-            if mine < 1 or len(at) < need - 1e-9:
-                continue
-            # Windows are tried in stretches of marked words, so that a very long text is never unfolded whole.
-            edges = np.flatnonzero(np.diff(at) > size) + 1
-            for run in np.split(at, edges):
-                for a in range(max(0, int(run[0]) - mine + 1), int(run[-1]) + 1, STRETCH):
-                    starts = np.arange(a, min(a + STRETCH, int(run[-1]) + 1, len(words) - length + 1))
-                    inside = np.searchsorted(run, starts + mine) - np.searchsorted(run, starts)
-                    starts = starts[inside >= need - 1e-9]
-                    if len(starts):
-                        self.compare(words, size, length, starts, best)
+        starts: dict[int, list[np.ndarray]] = defaultdict(list)
+        for width, (at, which) in marked.items():
+            _, _, first, items = self.known[width]
+            many = first[which + 1] - first[which]
+            nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            item, place = items[np.repeat(first[which], many) + nth], np.repeat(at, many)
+            order = np.lexsort((place, item))
+            item, place = item[order], place[order]
+            edges = [0, *(np.flatnonzero(np.diff(item)) + 1).tolist(), len(item)] if len(item) else []
+            for a, b in pairwise(edges):
+                size = int(self.words[item[a]])
+                length = min(size, len(words))
+                mine = length - width + 1
+                need = SIMILARITY * (mine + size - width + 1) / (1 + SIMILARITY) - 1e-9
+                if mine < 1 or b - a < need:
+                    continue
+                # A window with enough of the item's shingles begins at most a window before one of them.
+                own = place[a:b]
+                enough = max(1, int(np.ceil(need)))
+                ends = own[enough - 1 :]
+                low = np.maximum(ends - mine + 1, 0)
+                high = np.minimum(own[: len(own) - enough + 1], len(words) - length)
+                for x, y in zip(low[low <= high].tolist(), high[low <= high].tolist(), strict=True):
+                    starts[size].append(np.arange(x, y + 1))
+        for size, some in starts.items():
+            some = np.unique(np.concatenate(some))
+            for part in np.split(some, np.flatnonzero(np.diff(some) > size) + 1):
+                for a in range(0, len(part), STRETCH):
+                    self.compare(words, size, min(size, len(words)), part[a : a + STRETCH], best)
         return best
 
     def compare(self, words: np.ndarray, size: int, length: int, starts: np.ndarray, best: dict[int, tuple]) -> None:
@@ -158,11 +179,12 @@ def found_in(known: Items, batch: pa.RecordBatch) -> list[tuple[int, dict[int, t
     words, cut = word_hashes(data, begins, ends), np.searchsorted(begins, at)
     # Marked words anywhere in the slice, before any document is looked at on its own.
     marked = known.marked(words)
-    rows = np.unique(np.concatenate([np.searchsorted(cut, at, "right") - 1 for at in marked.values()] or [np.zeros(0, np.int64)]))
+    rows = np.unique(np.concatenate([np.searchsorted(cut, at, "right") - 1 for at, _ in marked.values()] or [np.zeros(0, np.int64)]))
     out = []
     for i in rows.tolist():
         a, b = int(cut[i]), int(cut[i + 1])
-        own = {width: at[np.searchsorted(at, a) : np.searchsorted(at, b - width + 1)] - a for width, at in marked.items()}
+        inside = {width: slice(np.searchsorted(at, a), np.searchsorted(at, b - width + 1)) for width, (at, _) in marked.items()}
+        own = {width: (at[inside[width]] - a, which[inside[width]]) for width, (at, which) in marked.items()}
         if hits := known.hits(words[a:b], own):
             out.append((i, hits))
     return out

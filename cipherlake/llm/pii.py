@@ -1,21 +1,31 @@
 """Surrogates for personal data: keyed, of the same type, script, gender and format.
 
-Detected are e-mail and IPv4 addresses, payment cards, telephone numbers,
-secrets and personal names.  A surrogate is a keyed permutation of the values
+Detected are e-mail, IPv4 and IPv6 addresses, payment cards, bank account
+numbers (IBAN), telephone and identity numbers, names of persons, and secrets
+such as passwords and keys.  A surrogate is a keyed permutation of the values
 of the entity's own shape, so by construction different entities never share
 one, the same entity gets the same one in every document, and none is its own
-surrogate; nothing has to be gathered to know it, and :func:`collisions` checks
-it on the corpus.
+surrogate.  A surrogate may be the value of another entity, which is replaced
+as well, so it still stands for one entity only; :func:`collisions` checks this
+on the corpus.
+
+A person is a known given name, in any letter case, with the capitalised words
+behind it, or a capitalised word behind a title.  A family name found so is
+replaced wherever else the text has it.  A given name that is a common word or
+a place too isn't taken for a person on its own, and none is before the name of
+a square, school and the like.  Cyrillic and Greek family names keep their
+gendered endings, and a couple's names stay alike.
 
 Cases: null, empty and clean texts come back unchanged; entities that differ
 only in letter case are the same one, and the surrogate takes over the case;
 repeated rows get the same result; an empty table gives an empty result;
-further columns stay as they are.
+further columns stay as they are, but a column ``entities`` is replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -24,16 +34,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cipherlake.llm.text import slices, tune
+from cipherlake.plans.scratch import materialize
 
 # Given names by script and gender.
 NAMES = {
-    ("latin", "f"): "Alice Amelia Anna Barbara Camille Carmen Charlotte Elena Elizabeth Emma Greta Hannah Isabel Jennifer Julia Laura Linda Maria Mary Olivia Patricia Sarah Sophie Susan".split(),
-    ("latin", "m"): "Adam Albert Andreas Antonio Carlos Daniel David Felix George Hans Henry Jack James Jean John Karl Louis Martin Michael Paul Peter Robert Thomas William".split(),
+    ("latin", "f"): "Aisha Alice Amelia Anna Barbara Camille Carmen Charlotte Chloe Elena Elizabeth Emily Emma Fatima Greta Hannah Ingrid Isabel Jennifer Jessica Julia Karen Laura Leila Linda Lucia Margaret Maria Marie Mary Mei Nadia Nancy Olivia Patricia Priya Rebecca Sarah Sophie Susan Teresa Yasmin".split(),
+    ("latin", "m"): "Adam Ahmed Albert Ali Andreas Andrew Antonio Brian Carlos Charles Daniel David Edward Felix George Hans Henry Hiroshi Ivan Jack James Jean Jose John Juan Karl Klaus Louis Luis Martin Michael Mohammed Omar Pablo Paul Peter Pierre Rajesh Richard Robert Stefan Thomas William Yusuf".split(),
     ("cyrillic", "f"): "Анна Вера Галина Елена Ирина Мария Надежда Наталья Ольга Светлана Татьяна Юлия".split(),
     ("cyrillic", "m"): "Александр Алексей Борис Виктор Дмитрий Иван Михаил Николай Павел Пётр Сергей Юрий".split(),
     ("greek", "f"): "Αθηνά Άννα Βασιλική Γεωργία Ελένη Ειρήνη Κατερίνα Μαρία Σοφία Χριστίνα".split(),
     ("greek", "m"): "Αλέξανδρος Ανδρέας Βασίλης Γιώργος Δημήτρης Κώστας Μιχάλης Νίκος Παύλος Πέτρος".split(),
 }
+# Frequent family names by script, those of Cyrillic and Greek without their gendered endings.
+FAMILIES = (
+    "Anderson Bauer Bernard Brown Chen Clark Davis Dubois Evans Fischer Garcia Gonzalez Hall Hill Hoffmann Johnson Jones Khan King Klein Kumar Lee Lefebvre Lewis Lopez Martinez Meyer Miller Moore Moreau Nguyen Patel Perez Petit Roberts Robinson Rodriguez Rossi Sanchez Schmidt Schneider Scott Singh Smith Taylor Tanaka Thompson Torres Wagner Walker Weber White Wilson Wright Young".split(),
+    "Васил Волк Иван Козл Кузнец Лебед Мороз Новик Павл Петр Поп Семён Смирн Сокол Фёдор".split(),
+)
+# Gendered endings of family names, the man's and the woman's.
+ENDINGS = "ский ская|цкий цкая|ов ова|ев ева|ёв ёва|ин ина|ын ына|όπουλος οπούλου|ίδης ίδου|άκης άκη|άδης άδου".split("|")
+# Given names that are common words or places too; words behind a name that isn't a person's; titles.
+COMMON = {"carmen", "charlotte", "jack", "jean", "mei", "ali", "mary", "вера", "надежда", "σοφία"}
+PLACES = "Airport Avenue Award Bay Bridge Building Center Centre College County Hall Hospital House Institute Island Library Museum Park Prize River Road School Square Stadium Station Street Theatre Tower University Village".split()
+TITLES = "Mr Mrs Ms Miss Mister Dr Prof Professor Sir Madam Herr Frau Monsieur Madame Mme Mlle Señor Señora Señorita Sr Sra Don Doña господин госпожа г-н г-жа κύριος κυρία".split()
 # Letters that stand in for each other.
 ALPHABETS = ("0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "àáâäèéêëìíîïòóôöùúûü", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ")
 CLASS_OF = {c: a for a in ALPHABETS for c in a}
@@ -46,15 +68,40 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*[A-Za-z0-9]@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "secret": r"(?i:\b(?:api[_-]?key|access[_-]?key|auth|token|secret|passwd|password)\b[\"']?\s*[=:]\s*[\"']?)(?P<secret_value>[A-Za-z0-9_+/=-]{8,})|\b(?=[0-9a-f]*[a-f])[0-9a-f]{32,}\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
+    "ip6": r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?=[0-9A-Fa-f:]{3,39}(?![\w:]))[0-9A-Fa-f:]*[0-9A-Fa-f]?::[0-9A-Fa-f:]*)(?![\w:])",
+    "iban": r"\b[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b",
     "card": r"(?<![\w.])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?!\w)",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{3,4}(?!\w)",
     "id": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
 }
 ENTITY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
-TRIGGER = re.compile(r"[0-9@]|(?i:secret|passw|token|key|auth)|[a-f]{32}")
-GIVEN = {name: (script, gender) for (script, gender), names in NAMES.items() for name in names}
-#: A known given name before a word, which is a family name if capitalised and may be a given name itself.
-PERSON = re.compile(rf"\b({'|'.join(sorted(GIVEN, key=len, reverse=True))})(?= ([^\W\d_]{{2,}})\b)")
+TRIGGER = re.compile(r"[0-9@]|::|(?i:secret|passw|token|key|auth)|[a-f]{32}")
+GIVEN = {name.lower(): (group, names.index(name)) for group, names in NAMES.items() for name in names}
+LISTED = {name.lower(): names for names in FAMILIES for name in names}
+#: Ending and the other gender's, longest first.
+ENDS = sorted(((end, pair.split()) for pair in ENDINGS for end in pair.split()), key=lambda e: -len(e[0]))
+_names = sorted((name for names in NAMES.values() for name in names), key=len, reverse=True)
+PERSON = re.compile(rf"\b(?:{'|'.join(_names)}|{'|'.join(n.upper() for n in _names)})\b")
+TITLE = re.compile(rf"\b(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? (?=[^\W\d_])")
+NEXT, PLACE = re.compile(r" ([^\W\d_]{2,})\b"), re.compile(rf" (?:{'|'.join(PLACES)})\b")
+#: What is replaced if nothing else is asked for.
+PERSONAL = ("email", "secret", "ip", "ip6", "iban", "card", "phone", "id", "given", "family")
+
+
+def capitalised(word: str) -> bool:
+    return word[0].isupper() or word[0].istitle()
+
+
+def valid(kind: str, value: str) -> bool:
+    if kind == "iban":
+        plain = value.replace(" ", "")
+        return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    if kind == "ip6":
+        try:
+            return len(value) > 3 and bool(ipaddress.IPv6Address(value))
+        except ValueError:
+            return False
+    return True
 
 
 class Surrogates:
@@ -155,29 +202,95 @@ class Surrogates:
     def secret(self, value: str) -> str:
         return self.shaped(value, "secret", HEX if re.fullmatch("[0-9a-f]+", value) else CLASS_OF)
 
+    def ip6(self, value: str) -> str:
+        """Hexadecimal digits permuted; where zeros are left out stays."""
+        return self.shaped(value, "ip6", HEX)
+
+    def iban(self, value: str) -> str:
+        """Country and grouping stay, the account is permuted, the check digits follow from it."""
+        plain = value.replace(" ", "")
+        account = self.shaped(plain[4:].lower(), f"iban:{plain[:2]}").upper()
+        check = 98 - int("".join(str(int(c, 36)) for c in f"{account}{plain[:2]}00")) % 97
+        new = iter(f"{plain[:2]}{check:02d}{account}")
+        return "".join(" " if c == " " else next(new) for c in value)
+
     def given(self, value: str) -> str:
         """Another name of the same script and gender, each used once."""
-        names = NAMES[GIVEN[value]]
-        return names[self.moved(names.index(value), len(names), f"given:{GIVEN[value]}")]
+        group, at = GIVEN[value.lower()]
+        new = NAMES[group][self.moved(at, len(NAMES[group]), f"given:{group}")]
+        return new.upper() if value.isupper() and len(value) > 1 else new
+
+    def family(self, value: str) -> str:
+        """A listed name becomes another one of its list, any other one letters of its shape; gendered endings stay."""
+        lower = value.lower()
+        end = next((e for e, _ in ENDS if lower.endswith(e) and len(lower) > len(e) + 1), "")
+        stem = value[: len(value) - len(end)] if end else value
+        if names := LISTED.get(stem.lower()):
+            at = next(k for k, name in enumerate(names) if name.lower() == stem.lower())
+            new = names[self.moved(at, len(names), f"family:{names[0]}")]
+            new = new.upper() if stem.isupper() else new if capitalised(stem) else new.lower()
+        else:
+            # Walked on until outside the lists, so that it stays a permutation; both genders' stems go the same way.
+            new = self.shaped(stem, "family")
+            while new.lower() in LISTED:
+                new = self.shaped(new, "family")
+        return new + value[len(value) - len(end) :] if end else new
 
     def of(self, kind: str, value: str) -> str:
         if (found := self.known.get((kind, value))) is None:
             if len(self.known) > 100_000:
                 self.known.clear()
-            make = {"email": self.email, "ip": self.ip, "card": self.card, "phone": self.phone, "secret": self.secret, "given": self.given}.get(kind)
+            make = {"email": self.email, "ip": self.ip, "card": self.card, "phone": self.phone, "secret": self.secret, "given": self.given, "family": self.family, "ip6": self.ip6, "iban": self.iban}.get(kind)
             found = self.known[kind, value] = make(value) if make else self.shaped(value, kind)
         return found
 
-    def replaced(self, text: str) -> tuple[str, list[tuple[str, str, str]]]:
+    def persons(self, text: str) -> list[tuple[int, int, str]]:
+        """Places of given and family names."""
+        spans: dict[tuple[int, int], str] = {}
+        done, taken = 0, False
+        for m in PERSON.finditer(text):
+            if m.start() < done:
+                # A further given name of the one before.
+                if taken:
+                    spans[m.span()] = "given"
+                continue
+            at, family, place = m.end(), None, False
+            # Behind a given name: further given names, then a family name.
+            while (word := NEXT.match(text, at)) and capitalised(word[1]):
+                place = PLACE.match(text, at) is not None or PLACE.match(text, word.end()) is not None
+                if word[1].lower() not in GIVEN:
+                    family = word.span(1)
+                    break
+                at = word.end()
+            done, taken = at, not place and (family is not None or at > m.end() or m[0].lower() not in COMMON)
+            if taken:
+                spans[m.span()] = "given"
+                if family:
+                    spans[family] = "family"
+        for m in TITLE.finditer(text):
+            if (word := NEXT.match(text, m.end() - 1)) and capitalised(word[1]) and not PLACE.match(text, word.end()):
+                if word[1].lower() not in GIVEN:
+                    spans.setdefault(word.span(1), "family")
+                elif (after := NEXT.match(text, word.end())) is None or not capitalised(after[1]):
+                    spans.setdefault(word.span(1), "given")
+        # Family names once found, wherever they stand.
+        families = {text[a:b] for (a, b), kind in spans.items() if kind == "family"}
+        if families:
+            for m in re.finditer(rf"\b(?:{'|'.join(map(re.escape, sorted(families, key=len, reverse=True)))})\b", text):
+                if not PLACE.match(text, m.end()):
+                    spans.setdefault(m.span(), "family")
+        return [(a, b, kind) for (a, b), kind in spans.items()]
+
+    def replaced(self, text: str, kinds: tuple[str, ...] = PERSONAL) -> tuple[str, list[tuple[str, str, str]]]:
         """The text with surrogates, and (type, entity, surrogate) in order of place."""
         spans = []
         if TRIGGER.search(text):
             for m in ENTITY.finditer(text):
                 kind = "secret" if m.lastgroup == "secret_value" else m.lastgroup
-                spans.append((*(m.span("secret_value") if m["secret_value"] else m.span()), kind))
-        for m in PERSON.finditer(text):
-            if m[2][0].isupper() or m[2][0].istitle():
-                spans += [(*m.span(1), "given"), (*m.span(2), "family")]
+                if kind in kinds and valid(kind, m.group()):
+                    spans.append((*(m.span("secret_value") if m["secret_value"] else m.span()), kind))
+        if "given" in kinds or "family" in kinds:
+            spans += [span for span in self.persons(text) if span[2] in kinds]
         if not spans:
             return text, []
         out, found, at = [], [], 0
@@ -190,8 +303,8 @@ class Surrogates:
         return "".join([*out, text[at:]]), found
 
 
-def surrogates(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with surrogates in ``text`` and their list in ``entities (kind, entity, surrogate)``."""
+def surrogates(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text", kinds: tuple[str, ...] = PERSONAL) -> DataFrame:
+    """``docs`` with surrogates in ``text`` for entities of ``kinds``, and their list in ``entities (kind, entity, surrogate)``."""
     kind = "array<struct<kind:string,entity:string,surrogate:string>>"
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("entity", pa.string()), ("surrogate", pa.string())]))
     others = [c for c in docs.columns if c not in (doc_id, text, "entities")]
@@ -201,13 +314,21 @@ def surrogates(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str =
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Surrogates(key)
         for batch in slices(batches):
-            done = [(None, []) if t is None else make.replaced(t) for t in batch.column(1).to_pylist()]
+            done = [(None, []) if t is None else make.replaced(t, kinds) for t in batch.column(1).to_pylist()]
             listed = pa.array([[dict(zip(("kind", "entity", "surrogate"), e, strict=True)) for e in found] for _, found in done], arrow)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in done], pa.string()), *batch.columns[2:], listed], [*batch.schema.names, "entities"])
 
     return tune(plain).mapInArrow(replace, schema)
 
 
+def checked_surrogates(docs: DataFrame, key: bytes, **options: object) -> DataFrame:
+    """:func:`surrogates`, written once and checked on the whole corpus: raises where distinctness or coreference doesn't hold."""
+    done = materialize(surrogates(docs, key, **options))
+    if wrong := collisions(done).take(5):
+        raise ValueError(f"surrogates that don't stand for one entity: {wrong}")
+    return done
+
+
 def collisions(replaced: DataFrame) -> DataFrame:
     """Surrogates that stand for more than one entity, or entities with more than one surrogate; none is expected."""
     each = replaced.select(F.explode("entities").alias("e")).select("e.kind", F.lower("e.entity").alias("entity"), F.lower("e.surrogate").alias("surrogate")).distinct()

@@ -61,7 +61,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return pii.checked_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

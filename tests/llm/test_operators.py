@@ -486,13 +486,13 @@ def test_pii(spark):
     kinds = Counter(e["kind"] for e in got[1]["entities"])
     assert kinds == {"given": 3, "family": 3, "email": 1, "ip": 1, "card": 1, "phone": 1, "secret": 1, "id": 1}
     for e in got[1]["entities"]:
-        assert e["entity"] != e["surrogate"] and len(e["entity"]) == len(e["surrogate"]) or e["kind"] == "given"
+        assert e["entity"] != e["surrogate"] and len(e["entity"]) == len(e["surrogate"]) or e["kind"] in ("given", "family")
         assert e["entity"] not in got[1]["text"]
     new = {e["kind"]: e["surrogate"] for e in got[1]["entities"]}
     digits = [int(c) for c in new["card"] if c.isdigit()]
     assert sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(reversed(digits))) % 10 == 0 and new["card"][0] == "4"
     assert new["phone"].startswith("+1 (") and re.fullmatch(r"\d{3}\.\d{3}\.\d\.\d{2}", new["ip"]) and re.fullmatch("[0-9a-f]+", new["secret"])
-    assert got[2]["entities"][0]["surrogate"].lower() == new["email"].lower()
+    assert [e["kind"] for e in got[2]["entities"]] == ["given", "email"] and got[2]["entities"][1]["surrogate"].lower() == new["email"].lower()
     people = [e["surrogate"] for e in got[1]["entities"] if e["kind"] == "given"]
     assert people[0] == people[2] and people[0] in pii.NAMES["latin", "m"] and people[1] in pii.NAMES["latin", "f"]
     assert got[6]["entities"][0]["surrogate"] in pii.NAMES["cyrillic", "f"]
@@ -507,16 +507,67 @@ def test_names_in_running_text_of_every_script():
     for text, name in (("Contact Maria Garcia now", "Maria Garcia"), ("Yesterday Anna Schmidt left", "Anna Schmidt"), ("Dr John Smith", "John Smith"), ("вчера Анна Петрова ушла", "Анна Петрова"), ("χθες Μαρία Παππά έφυγε", "Μαρία Παππά"), ("Dear Maria Anna Schmidt", "Maria Anna Schmidt")):
         new, found = make.replaced(text)
         assert [x[1] for x in found] == name.split() and name not in new
-    for text in ("Анна пошла домой", "Μαρία έφυγε", "Anna went home"):
+    for text, names in (("Fatima Khan left", "Fatima Khan"), ("Dr. Smith came, Smith went", "Smith Smith"), ("Mr. Jones", "Jones"), ("JOHN SMITH", "JOHN SMITH"), ("Maria said hello", "Maria"), ("Анна пошла домой", "Анна"), ("Μαρία έφυγε", "Μαρία")):
+        new, found = make.replaced(text)
+        assert [x[1] for x in found] == names.split() and new.isupper() == text.isupper()
+    for text in ("Jack London Square", "Вера в людей", "Maria Theresa College", "Dear Jack, hi", "Mr. and", "a Mary"):
+        assert make.replaced(text) == (text, [])
+    for text in ("at fe80::1 or", "2001:db8::8a2e:370:7334", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"):
+        (kind, entity, new), = make.replaced(text)[1]
+        assert kind in ("ip6", "iban") and pii.valid(kind, entity) and pii.valid(kind, new) and entity != new
+    for text in ("12:30:45", "std::vector", "GB82 WEST 1234 5698 7654 33", "::"):
         assert make.replaced(text) == (text, [])
+    # Endings keep gender, kinship stays, and listed names stay apart from shaped ones.
+    names = [f"{stem}{end}" for stem in ("Петр", "Иван", "Жук", "Достоев") for pair in pii.ENDINGS for end in pair.split()] + [n for n in pii.FAMILIES[0]] + [f"Zo{a}{b}el" for a in "abc" for b in "xyz"]
+    moved = [make.of("family", n) for n in names]
+    assert len(set(moved)) == len(set(names)) and all(a != b for a, b in zip(names, moved, strict=True))
+    assert make.of("family", "Жукова") == make.of("family", "Жуков") + "а"
     assert [x[1] for x in make.replaced("auth: abcdefghij")[1]] == ["abcdefghij"]
 
 
+def test_pii_finds_what_was_planted(spark):
+    """Entities of every kind in random prose: all of them, nothing else, one surrogate each, and all else unchanged."""
+    rng = random.Random(31)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    make = {
+        "email": lambda: f"{rng.choice(VOCABULARY)}.{digits(2)}@{rng.choice(VOCABULARY)}.example.org",
+        "ip": lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4)),
+        "ip6": lambda: ":".join(f"{rng.randrange(1, 1 << 16):x}" for _ in range(8)),
+        "card": lambda: f"4{digits(15)}",
+        "phone": lambda: f"+{rng.randrange(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}",
+        "id": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        "iban": lambda: (lambda a: f"DE{98 - int(a + '131400') % 97:02d}{a}")(digits(18)),
+        "given": lambda: rng.choice([n for g in pii.NAMES.values() for n in g if n.lower() not in pii.COMMON]),
+    }
+    rows, planted = [], {}
+    for doc in range(300):
+        parts, planted[doc] = [], []
+        for _ in range(rng.randrange(0, 6)):
+            kind = rng.choice(list(make))
+            planted[doc].append((kind, make[kind]()))
+            parts += [prose(rng.randrange(1, 9), rng.randrange(999)), planted[doc][-1][1]]
+        rows.append((doc, " ".join([*parts, prose(5, doc)])))
+    got = pii.checked_surrogates(frame(spark, rows), b"key").collect()
+    seen = {}
+    for r in got:
+        assert [(e["kind"], e["entity"]) for e in r["entities"]] == planted[r["doc_id"]]
+        text = rows[r["doc_id"]][1]
+        for e in r["entities"]:
+            assert seen.setdefault((e["kind"], e["entity"]), e["surrogate"]) == e["surrogate"] != e["entity"]
+        at, new = 0, []
+        for e in r["entities"]:
+            to = text.index(e["entity"], at)
+            new += [text[at:to], e["surrogate"]]
+            at = to + len(e["entity"])
+        assert r["text"] == "".join([*new, text[at:]])
+    assert len({(k, s) for (k, _), s in seen.items()}) == len(seen)
+
+
 def test_pii_is_linear_in_long_runs():
     import time
 
     s, began = pii.Surrogates(b"k"), time.time()
-    for run in ("a" * 300_000, "1" * 300_000, "a.b" * 100_000, "A" * 300_000, "x@" * 100_000, "f0" * 150_000, "Ab " * 100_000):
+    for run in ("a" * 300_000, "1" * 300_000, "a.b" * 100_000, "A" * 300_000, "x@" * 100_000, "f0" * 150_000, "Ab " * 100_000, "Anna " * 60_000, "a:" * 150_000, "::" * 150_000, "DE12 " * 60_000):
         s.replaced(f"1@ {run}")
     assert time.time() - began < 20
 

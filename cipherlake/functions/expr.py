@@ -160,6 +160,19 @@ def is_private_v4(column: Column) -> Column:
     return F.when(valid, private | special)
 
 
+def is_private_v6(column: Column) -> Column:
+    """Whether an IPv6 address, written the usual short way, is in a range that isn't public; null if it is no IPv6 address."""
+    text = F.lower(column)
+    mapped = is_private_v4(F.regexp_extract(text, r"^::ffff:([\d.]+)$", 1))
+    special = r"^(::1?$|64:ff9b:1:|100::|2001:db8:|2002:|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|2001:(?!3:|[23][0-9a-f]:|4:112:)(:|[0-9a-f]{1,2}:|1[0-9a-f]{2}:))"
+    return F.coalesce(mapped, F.when(text.rlike(r"^(?=.*:.*:)(?!.*::.*::)[0-9a-f]{0,4}(:[0-9a-f]{0,4}){2,7}$"), text.rlike(special)))
+
+
+def is_private_address(column: Column) -> Column:
+    """Whether an address of either kind isn't public, by built-in expressions; null if it is no address."""
+    return F.coalesce(is_private_v4(column), is_private_v6(column))
+
+
 @F.pandas_udf(T.BooleanType())
 def is_private(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The same for IPv4 and IPv6, by the registry that Python ships; null for invalid addresses."""
@@ -177,7 +190,7 @@ def is_private(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def title_case(column: Column) -> Column:
     """First letter of each run of letters upper, the others lower."""
-    return F.array_join(F.transform(F.split(F.lower(column), "-"), F.initcap), "-")
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(column), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1)), F.initcap), "")
 
 
 def service_match(text: Column) -> Column:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cipherlake.functions.expr import endpoints, is_private_v4
+from cipherlake.functions.expr import endpoints, is_private_address
 from cipherlake.operators.components import connected_components
 from cipherlake.operators.detect import top_strings
 from cipherlake.operators.ranking import dense_numbers
@@ -59,7 +59,7 @@ def nodes(edge_table: DataFrame, labels: DataFrame) -> DataFrame:
         F.max("max_consensus_score").alias("max_incident_score"),
         F.sum("mean_consensus_score").alias("risk_mass"),
     )
-    return out.join(labels, "endpoint", "left").withColumn("is_private", is_private_v4(F.col("endpoint")))
+    return out.join(labels, "endpoint", "left").withColumn("is_private", is_private_address(F.col("endpoint")))
 
 
 def label_flows(flows: DataFrame, labels: DataFrame) -> DataFrame:

@@ -101,9 +101,10 @@ def reachable(links: DataFrame, start: DataFrame, rounds: int = 100) -> DataFram
 
 def dated_datasets(pages: DataFrame, base: str, text: str = "text", since: str | None = None, limit: int | None = None) -> DataFrame:
     """``date, url`` of dated data set addresses in texts, oldest first, each once."""
-    pattern = r"(\d{4}-\d{2}-\d{2}[^\n]*?" + "https?://[^\\s\"<]+)"
-    found = pages.select(F.explode(F.regexp_extract_all(text, F.lit(pattern), 1)).alias("m"))
-    rows = found.select(F.substring("m", 1, 10).alias("date"), F.concat(F.rtrim(F.regexp_extract("m", r"(https?://\S+)$", 1), F.lit("/")), F.lit("/")).alias("url"))
+    # A line may hold other addresses before the one that counts.
+    address = rf"\Q{base.rstrip('/')}\E[^\s\"<]*"
+    found = pages.select(F.explode(F.regexp_extract_all(text, F.lit(rf"(\d{{4}}-\d{{2}}-\d{{2}}[^\n]*?{address})"), 1)).alias("m"))
+    rows = found.select(F.substring("m", 1, 10).alias("date"), F.concat(F.rtrim(F.regexp_extract("m", rf"({address})$", 1), F.lit("/")), F.lit("/")).alias("url"))
     rows = rows.where(F.col("url").startswith(base)).groupBy("url").agg(F.min("date").alias("date"))
     rows = rows.where(F.col("date") >= since) if since else rows
     rows = rows.orderBy("date", "url")

@@ -81,10 +81,10 @@ def cumulated(rows: DataFrame, y: str, score: str, groups: int = 256) -> DataFra
 
 
 def ranking_metrics(rows: DataFrame, y: str, score: str) -> DataFrame:
-    """``roc_auc`` (ties count half) and ``average_precision`` (a step sum)."""
+    """``roc_auc`` (ties count half; null for one class) and ``average_precision`` (a step sum)."""
     points = cumulated(rows, y, score)
     sums = points.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"), F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)).alias("won"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("steps"))
-    return sums.select(ratio(F.col("won"), F.col("all_p") * F.col("all_n")).alias("roc_auc"), ratio(F.col("steps"), F.col("all_p")).alias("average_precision"))
+    return sums.select(F.when((F.col("all_p") > 0) & (F.col("all_n") > 0), F.col("won") / (F.col("all_p") * F.col("all_n"))).alias("roc_auc"), ratio(F.col("steps"), F.col("all_p")).alias("average_precision"))
 
 
 def curves(rows: DataFrame, y: str, score: str) -> DataFrame:

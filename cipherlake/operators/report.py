@@ -125,7 +125,7 @@ def endpoint_catalogue(flows: DataFrame) -> DataFrame:
     told = ["requested_server_name", "application_name", "protocol_family"]
     ends = flows.select(*told, F.explode(F.array("src_ip", "dst_ip")).alias("endpoint")).where(expr.is_present(F.col("endpoint")))
     rows = materialize(with_services(ends.groupBy(F.trim("endpoint").alias("endpoint"), *told).agg(F.count("*").alias("n"))).drop(*told))
-    out = rows.groupBy("endpoint").agg(F.sum("n").alias("count")).withColumn("is_private", F.coalesce(expr.is_private_v4(F.col("endpoint")), F.lit(False)))
+    out = rows.groupBy("endpoint").agg(F.sum("n").alias("count")).withColumn("is_private", F.coalesce(expr.is_private_address(F.col("endpoint")), F.lit(False)))
     for value, name in (("service_family", "dominant_family"), ("service_name", "dominant_label"), ("protocol_label", "protocol_label")):
         out = out.join(most_common(rows, "endpoint", value, "n", f"_{name}"), "endpoint").withColumnRenamed(f"_{name}", name)
     keyed = out.withColumn("_o", F.struct(~F.col("is_private"), -F.col("count"), F.col("endpoint")))

@@ -91,7 +91,7 @@ left join (select cluster_id, count(*) as endpoint_count, count_if(is_private) a
     "served": f"""
 select *, case when host = '' and app = '' then 'Encrypted Session' when host = '' then app_family
    when known_host is not null then known_host
-   else case when len(parts) >= 2 then upper(parts[-2][1]) || lower(parts[-2][2:]) when len(parts) = 1 then upper(parts[1][1]) || lower(parts[1][2:]) else 'Encrypted Service' end end as service_family,
+   else case when len(parts) >= 2 then array_to_string(list_transform(regexp_extract_all(parts[-2], '\\p{{L}}+|\\P{{L}}+'), lambda y: upper(y[1]) || lower(y[2:])), '') when len(parts) = 1 then array_to_string(list_transform(regexp_extract_all(parts[1], '\\p{{L}}+|\\P{{L}}+'), lambda y: upper(y[1]) || lower(y[2:])), '') else 'Encrypted Service' end end as service_family,
  case when host <> '' then case host when 'mail.google.com' then 'Google Mail' when 'static.qiwi.com' then 'Qiwi Static Services' else host end when app <> '' then app_family else 'Encrypted Session' end as service_name
 from (select *, case when app = '' then '' when upper(app) = 'TLS' then 'Encrypted Session' when upper(app) = 'QUIC' then 'QUIC Session'
      when lower(app) like '%google%' then 'Google' when lower(app) like '%youtube%' then 'YouTube' else app end as app_family,
@@ -732,7 +732,7 @@ def capture_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [*NUMBERS, "lasted"]
     flows = view(spark, sf_dir, "flows").withColumn("lasted", F.col("bidirectional_last_seen_ms") - F.col("bidirectional_first_seen_ms"))
     rows = train.impute(flows, train.medians(flows, names))
-    fitted = {name: train.fit(rows, "label_id", names, make()) for name, make in train.estimators(**FAST).items()}
+    fitted = {name: train.fit(rows, "label_id", names, make()) for name, make in train.estimators().items()}
     scorer = {name: lambda d, m=m: train.probability(m, d) for name, m in fitted.items()}
     made = ways.score_capture(rows.drop("label_id"), "events", "capture", ORDER, scorer.pop("gaussian_nb"), 0.3, scorer, detect.Rules())
     return made["scored"].select("event_id", "record_id", "window_id", "tier1_probability", "random_forest_probability", "tier2_pass", "alert_level")
@@ -746,14 +746,13 @@ def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRAINED = [*NUMBERS, "tier1_probability", "random_forest_probability", "slot"]
-FAST = {"trees": 40, "rounds": 20}
 
 
 def trained(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = train.stratified_split(numbered(spark, sf_dir), "label_id", "event_id").persist()
     part = rows.where("split = 'train'")
     values = train.medians(part, TRAINED)
-    model = train.fit(train.impute(part, values), "label_id", TRAINED, train.estimators(**FAST)[name]())
+    model = train.fit(train.impute(part, values), "label_id", TRAINED, train.estimators()[name]())
     return train.evaluate(train.impute(rows.where("split = 'test'"), values), model, "label_id", "event_id", 0.5)["predictions"]
 
 

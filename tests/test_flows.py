@@ -30,6 +30,11 @@ def test_private_addresses_agree_with_the_registry(spark):
     df = spark.createDataFrame([(a,) for a in addresses], "a string")
     got = df.select(expr.is_private_v4(F.col("a")).alias("native"), expr.is_private(F.col("a")).alias("registry")).collect()
     assert [r["native"] for r in got] == [r["registry"] for r in got]
+    texts = "::1 :: fe80::1 fd00::1 fc00:1::2 2001:db8::1 2001:4860:4860::8888 2a00:1450::5 2002:1::1 2001::1 2001:20::1 2001:3::1 2001:1ff::1 2001:200::1 64:ff9b:1::1 64:ff9b::1 100::1 3ffe::1 ::ffff:10.0.0.1 ::ffff:8.8.8.8 ff02::1 1.2.3.4 10.0.0.1 12:30 x a::b::c 2600::".split()
+    both = spark.createDataFrame([(x,) for x in texts], "a string").select("a", expr.is_private_address(F.col("a")).alias("native"), expr.is_private("a").alias("registry")).collect()
+    assert all(r["native"] == r["registry"] for r in both)
+    names = spark.createDataFrame([("s3media",), ("foo_bar",), ("web2print",), ("a-b",)], "a string").select(expr.title_case(F.col("a"))).collect()
+    assert [r[0] for r in names] == ["S3Media", "Foo_Bar", "Web2Print", "A-B"]
     six = spark.createDataFrame([("fe80::1",), ("2606:4700::1",)], "a string").select(expr.is_private("a")).collect()
     assert [r[0] for r in six] == [True, False]
 
@@ -253,7 +258,7 @@ def test_links(spark):
     manifest = spark.createDataFrame([("http://h/1", "d/x.pcap", "/data/x.pcap", 0), ("http://h/2", "e/x.pcap", "/other/x.pcap", 1)], "url string, rel_path string, local_path string, row int")
     captures = spark.createDataFrame([("/tmp/x.pcap",), ("/none",)], "path string")
     assert rows(links.manifest_match(captures, manifest).select("path", "url"), "path") == [("/none", None), ("/tmp/x.pcap", "http://h/1")]
-    dated = spark.createDataFrame([("2020-01-02 see https://h/b/ and\n2019-05-05 x https://h/a",)], "text string")
+    dated = spark.createDataFrame([("2020-01-02 from https://other/x see https://h/b/ and\n2019-05-05 x https://h/a",)], "text string")
     assert rows(links.dated_datasets(dated, "https://h/"), "date") == [("2019-05-05", "https://h/a/"), ("2020-01-02", "https://h/b/")]
 
 

@@ -1,8 +1,9 @@
 """Lineage cuts and size-checked joins.
 
 Intermediate tables go to the folder named by ``spark.checkpoint.dir``, which
-all machines of a cluster share.  Only where that setting is missing (tests,
-notebooks on one machine) does a temporary folder take its place.
+all machines of a cluster share.  Only where that setting is missing on a local
+master (tests, notebooks on one machine) does a temporary folder take its
+place; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ def scratch_root(spark: SparkSession) -> str:
         return root
     root = spark.conf.get("cipherlake.scratch", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="cipherlake-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         root = f"file://{folder}"

@@ -6,11 +6,12 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cipherlake.functions.expr import numeric, protocol_family, quality_status, record_id
-from cipherlake.operators.ranking import range_number
+from cipherlake.operators.ranking import dense_numbers
+from cipherlake.plans.scratch import materialize, small
 
 # The canonical metadata columns in their order, and the labels.
 METADATA = (
@@ -66,10 +67,10 @@ class Source:
 def anchored_windows(flows: DataFrame, start: str, window_ms: int, source: Sequence[str], capture: str = "capture_id") -> DataFrame:
     """Adds ``window_id, window_start_ms, window_end_ms``: windows of fixed size from each source's first start.
 
-    The anchors are a small aggregate joined back, not a window over a whole
-    source.  A null start gives ``wunknown``; a source without any start ``w000000``.
+    The anchors, a number for each source, are joined back, broadcast if there
+    are few; a window over a whole source would be one task.  A null start gives ``wunknown``; a source without any start ``w000000``.
     """
-    anchors = flows.groupBy(*source).agg(F.min(start).alias("_anchor"))
+    anchors = small(materialize(flows.groupBy(*source).agg(F.min(start).alias("_anchor"))))
     keyed = reduce(lambda a, b: a & b, (F.col(f"f.{c}").eqNullSafe(F.col(f"a.{c}")) for c in source))
     joined = flows.alias("f").join(anchors.alias("a"), keyed, "left").select("f.*", "a._anchor")
     index = F.floor((F.col(start) - F.col("_anchor")) / window_ms).cast("long")
@@ -78,17 +79,9 @@ def anchored_windows(flows: DataFrame, start: str, window_ms: int, source: Seque
     return joined.withColumns({"window_id": F.concat(F.col(capture), F.lit(":w"), number), "window_start_ms": first, "window_end_ms": first + (window_ms - 1)}).drop("_anchor")
 
 
-def row_index(rows: DataFrame, order: Sequence[str], name: str = "source_row_index", groups: int = 64) -> DataFrame:
-    """Adds the number of each row (from 0) in the given order, whose last column should be unique.
-
-    Rows are dealt by ranges of the order; each range is numbered on its own
-    and starts after the rows of the ranges before it, so no task sees all rows.
-    """
-    dealt = rows.withColumn("_g", range_number(rows, order[0], groups))
-    before = dealt.groupBy("_g").agg(F.count("*").alias("_c"))
-    before = before.select(F.col("_g"), F.coalesce(F.sum("_c").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_g").orderBy(*order)
-    return dealt.withColumn("_n", F.row_number().over(within)).join(F.broadcast(before), "_g").withColumn(name, (F.col("_n") - 1 + F.col("_before")).cast("long")).drop("_g", "_n", "_before")
+def row_index(rows: DataFrame, order: Sequence[str], name: str = "source_row_index") -> DataFrame:
+    """Adds the number of each row (from 0) in the given order, whose columns together should be unique."""
+    return dense_numbers(rows, order, name)
 
 
 def canonical_source(flows: DataFrame, source: Source, order: Sequence[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from cipherlake.functions.expr import endpoints, is_private_address
 from cipherlake.operators.components import connected_components
 from cipherlake.operators.detect import top_strings
 from cipherlake.operators.ranking import dense_numbers
+from cipherlake.plans.scratch import materialize, small
 
 TOP = 5
 
@@ -42,7 +43,7 @@ def clusters_of(edge_table: DataFrame) -> DataFrame:
     """``endpoint, cluster_id``: components of the graph, numbered by their smallest address."""
     found = connected_components(edge_table, "endpoint_a", "endpoint_b")
     heads = found.select("component").distinct()
-    numbered = dense_numbers(heads, "component", "_n")
+    numbered = dense_numbers(heads, ["component"], "_n")
     label = F.concat(F.lit("cluster_"), F.when(F.col("_n") < 10_000, F.lpad(F.col("_n").cast("string"), 4, "0")).otherwise(F.col("_n").cast("string")))
     return found.join(numbered.select("component", label.alias("cluster_id")), "component").select(F.col("node").alias("endpoint"), "cluster_id")
 
@@ -96,9 +97,10 @@ def backfill(labelled: DataFrame, clusters: DataFrame, node_table: DataFrame) ->
 
 def build(flows: DataFrame, least: int = 1) -> dict[str, DataFrame]:
     """All graph tables of suspicious flows; empty flows give empty tables with their columns."""
-    edge_table = edges(flows, least)
-    labels = clusters_of(edge_table)
-    node_table = nodes(edge_table, labels)
+    edge_table = materialize(edges(flows, least))
+    # Both tables hold a row an address; while small they are broadcast, so that flows of a hub don't meet in one task.
+    labels = small(materialize(clusters_of(edge_table)))
+    node_table = small(materialize(nodes(edge_table, labels)))
     labelled = label_flows(flows, labels)
     clusters = cluster_table(labelled, edge_table, node_table, labels)
     with_cluster = edge_table.join(labels.withColumnRenamed("endpoint", "endpoint_a"), "endpoint_a", "left").select(*edge_table.columns, "cluster_id")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cipherlake.operators.ranking import sums_before
 from cipherlake.plans.scratch import materialize
 
 # Endings of capture files.
@@ -111,18 +112,12 @@ def dated_datasets(pages: DataFrame, base: str, text: str = "text", since: str |
     return (rows.limit(limit) if limit else rows).select("date", "url")
 
 
-def byte_budget(files: DataFrame, size: str, order: str, budget: int, groups: int = 256) -> DataFrame:
-    """Files in order until their bytes reach the budget; the one that crosses it is kept.
+def byte_budget(files: DataFrame, size: str, order: str, budget: int) -> DataFrame:
+    """Files in a unique order until their bytes reach the budget; the one that crosses it is kept.
 
-    Adds ``bytes_before``.  Ranges of the order are summed on their own, so no
-    task sees all files.
+    Adds ``bytes_before``, summed by ranges of the order.
     """
-    cut = materialize(files.repartitionByRange(groups, order).withColumn("_p", F.spark_partition_id()))
-    sums = cut.groupBy("_p").agg(F.sum(size).alias("_s"))
-    before = sums.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    within = Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = cut.withColumn("_w", F.coalesce(F.sum(size).over(within), F.lit(0))).join(F.broadcast(before), "_p")
-    return out.withColumn("bytes_before", F.col("_w") + F.col("_b")).where(F.col("bytes_before") < budget).drop("_p", "_w", "_b")
+    return sums_before(files, order, {"bytes_before": size}).where(F.col("bytes_before") < budget)
 
 
 def base_name(path: Column) -> Column:

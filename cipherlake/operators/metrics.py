@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cipherlake.operators.ranking import range_number
+from cipherlake.operators.ranking import sums_before
 
 #: Steps of the threshold sweep.
 STEPS = 200
@@ -65,19 +65,10 @@ def best_threshold(sweep: DataFrame, metric: str = "f1") -> DataFrame:
     return sweep.orderBy(*order).limit(1).select("threshold", F.lit(metric).alias("metric"), F.col(metric).alias("metric_value"), "precision", "recall", "f1", "balanced_accuracy")
 
 
-def cumulated(rows: DataFrame, y: str, score: str, groups: int = 256) -> DataFrame:
-    """``score, p, n, tp, fp`` at each distinct score, cumulated from the highest.
-
-    Scores are dealt into ranges, each range is summed on its own and starts
-    from the sum of the ranges above it, so no task sees all scores.
-    """
+def cumulated(rows: DataFrame, y: str, score: str) -> DataFrame:
+    """``score, p, n, tp, fp`` at each distinct score, cumulated from the highest, by ranges of the score."""
     counts = rows.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) != 1).alias("n"))
-    dealt = counts.withColumn("_g", range_number(counts, "score", groups))
-    higher = Window.orderBy(F.desc("_g")).rowsBetween(Window.unboundedPreceding, -1)
-    base = dealt.groupBy("_g").agg(F.sum("p").alias("gp"), F.sum("n").alias("gn"))
-    base = base.select("_g", F.coalesce(F.sum("gp").over(higher), F.lit(0)).alias("bp"), F.coalesce(F.sum("gn").over(higher), F.lit(0)).alias("bn"))
-    within = Window.partitionBy("_g").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return dealt.withColumns({"tp": F.sum("p").over(within), "fp": F.sum("n").over(within)}).join(F.broadcast(base), "_g").select("score", "p", "n", (F.col("tp") + F.col("bp")).alias("tp"), (F.col("fp") + F.col("bn")).alias("fp"))
+    return sums_before(counts, F.desc("score"), {"_tp": "p", "_fp": "n"}).select("score", "p", "n", (F.col("p") + F.col("_tp")).alias("tp"), (F.col("n") + F.col("_fp")).alias("fp"))
 
 
 def ranking_metrics(rows: DataFrame, y: str, score: str) -> DataFrame:

@@ -109,10 +109,12 @@ def with_services(flows: DataFrame) -> DataFrame:
     return flows.withColumns({"service_family": expr.service_family(domain, application), "service_name": expr.display_service(domain, application), "protocol_label": expr.protocol_label(F.col("protocol_family"))})
 
 
-def most_common(rows: DataFrame, key: str, value: str, weight: str, name: str) -> DataFrame:
-    """The value of most weight per key; ties by value."""
-    counts = rows.groupBy(key, value).agg(F.sum(weight).alias("_c"))
-    return counts.groupBy(key).agg(F.min_by(value, F.struct(-F.col("_c"), F.col(value))).alias(name))
+def most_common(rows: DataFrame, key: str, values: Mapping[str, str], weight: str) -> DataFrame:
+    """``key, count`` and, under each name, the value of most weight of a column; ties by value."""
+    kinds = F.explode(F.array(*(F.struct(F.lit(name).alias("kind"), F.col(c).alias("value")) for name, c in values.items())))
+    counts = rows.select(key, weight, kinds.alias("x")).groupBy(key, "x.kind", "x.value").agg(F.sum(weight).alias("c"))
+    best = lambda name: F.min(F.when(F.col("kind") == name, F.struct(-F.col("c"), F.col("value"))))["value"].alias(name)
+    return counts.groupBy(key).agg(F.sum(F.when(F.col("kind") == next(iter(values)), F.col("c"))).alias("count"), *map(best, values))
 
 
 def endpoint_catalogue(flows: DataFrame) -> DataFrame:
@@ -125,13 +127,12 @@ def endpoint_catalogue(flows: DataFrame) -> DataFrame:
     told = ["requested_server_name", "application_name", "protocol_family"]
     ends = flows.select(*told, F.explode(F.array("src_ip", "dst_ip")).alias("endpoint")).where(expr.is_present(F.col("endpoint")))
     rows = materialize(with_services(ends.groupBy(F.trim("endpoint").alias("endpoint"), *told).agg(F.count("*").alias("n"))).drop(*told))
-    out = rows.groupBy("endpoint").agg(F.sum("n").alias("count")).withColumn("is_private", F.coalesce(expr.is_private_address(F.col("endpoint")), F.lit(False)))
-    for value, name in (("service_family", "dominant_family"), ("service_name", "dominant_label"), ("protocol_label", "protocol_label")):
-        out = out.join(most_common(rows, "endpoint", value, "n", f"_{name}"), "endpoint").withColumnRenamed(f"_{name}", name)
+    out = most_common(rows, "endpoint", {"dominant_family": "service_family", "dominant_label": "service_name", "protocol_label": "protocol_label"}, "n")
+    out = out.withColumn("is_private", F.coalesce(expr.is_private_address(F.col("endpoint")), F.lit(False)))
     keyed = out.withColumn("_o", F.struct(~F.col("is_private"), -F.col("count"), F.col("endpoint")))
     numbered = None
     for private in (True, False):
-        one = dense_numbers(keyed.where(F.col("is_private") == private), "_o", "_n")
+        one = dense_numbers(keyed.where(F.col("is_private") == private), ["_o"], "_n")
         numbered = one if numbered is None else numbered.unionByName(one)
     two = lambda c: F.when(c < 100, F.lpad(c.cast("string"), 2, "0")).otherwise(c.cast("string"))
     greek = F.coalesce(F.get(F.array(*map(F.lit, GREEK)), F.col("_n").cast("int")), F.concat(F.lit("Node "), two(F.col("_n") + 1)))

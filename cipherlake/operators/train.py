@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cipherlake.operators import metrics
+from cipherlake.operators.ranking import dense_numbers
 
 SEED, TEST_SHARE, FOLDS = 42, 0.2, 5
 PERMUTATION_ROWS, REPEATS = 4_000, 5
@@ -22,18 +23,14 @@ def draw(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
 
 
-def class_ranks(rows: DataFrame, label: str, key: str, seed: int, groups: int = 256) -> DataFrame:
-    """Adds ``_rank`` (from 0) of each row in its class in random order, and ``_size`` of the class.
+def class_ranks(rows: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    """Adds ``_rank`` (from 0) of each row in its class in random order, and ``_size`` of the class; rows without a class go.
 
-    The order's first two hex digits deal a class over ranges, so no task ranks
-    a whole class.
+    All rows are numbered by class and order, so no task ranks a whole class.
     """
-    keyed = rows.withColumn("_d", draw(key, seed)).withColumn("_g", F.substring("_d", 1, 2))
-    counts = keyed.groupBy(label, "_g").agg(F.count("*").alias("_c"))
-    own = Window.partitionBy(label)
-    counts = counts.select(F.col(label), "_g", F.coalesce(F.sum("_c").over(own.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"), F.sum("_c").over(own).alias("_size"))
-    within = Window.partitionBy(label, "_g").orderBy("_d", key)
-    return keyed.withColumn("_r", F.row_number().over(within)).join(F.broadcast(counts), [label, "_g"]).withColumn("_rank", F.col("_r") - 1 + F.col("_b")).drop("_d", "_g", "_r", "_b")
+    numbered = dense_numbers(rows.where(F.col(label).isNotNull()).withColumn("_d", draw(key, seed)), [label, "_d", key], "_n")
+    classes = numbered.groupBy(label).agg(F.min("_n").alias("_b"), F.count("*").alias("_size"))
+    return numbered.join(F.broadcast(classes), label).withColumn("_rank", F.col("_n") - F.col("_b")).drop("_d", "_n", "_b")
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cipherlake.functions import expr
 from cipherlake.operators import asof, canonical, detect, features, gates, graph, links, metrics, report, train
 from cipherlake.operators.components import connected_components
+from cipherlake.operators.ranking import sums_before
 
 
 def rows(df, *order):
@@ -130,6 +131,24 @@ def test_row_index_is_dense_over_ranges(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x"))
     got = {r["x"]: r["source_row_index"] for r in canonical.row_index(df, ["x"]).collect()}
     assert got == {i: i for i in range(1000)}
+    # Ties and nulls in the first column are told apart by the second.
+    tied = spark.range(600).select(F.when(F.col("id") >= 200, F.lit(5)).alias("t"), "id")
+    got = {r["id"]: r["source_row_index"] for r in canonical.row_index(tied.repartition(7), ["t", "id"]).collect()}
+    assert got == {i: i for i in range(600)}
+
+
+def test_running_sums_over_ranges(spark):
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("x"), F.lit(2).alias("n"))
+    assert {r["x"]: r["s"] for r in sums_before(df, "x", {"s": "n"}).collect()} == {i: 2 * i for i in range(500)}
+    assert {r["x"]: r["s"] for r in sums_before(df, F.desc("x"), {"s": "n"}).collect()} == {i: 2 * (499 - i) for i in range(500)}
+    assert sums_before(df.limit(0), "x", {"s": "n"}).count() == 0
+
+
+def test_class_ranks_leave_out_rows_without_a_class(spark):
+    df = spark.range(300).select("id", F.when(F.col("id") < 290, F.col("id") % 3).alias("y"))
+    got = train.class_ranks(df, "y", "id", 1).collect()
+    assert len(got) == 290 and {(r["y"], r["_size"]) for r in got} == {(0, 97), (1, 97), (2, 96)}
+    assert all(sorted(r["_rank"] for r in got if r["y"] == y) == list(range(n)) for y, n in ((0, 97), (1, 97), (2, 96)))
 
 
 def test_features_and_roles(spark):
@@ -254,7 +273,7 @@ def test_links(spark):
     start = pages.select("url").limit(1)
     assert links.reachable(found, start).count() == 5
     files = spark.createDataFrame([("a", 5), ("b", 5), ("c", 5)], "f string, n long")
-    assert [r["f"] for r in links.byte_budget(files, "n", "f", 8, 4).orderBy("f").collect()] == ["a", "b"]
+    assert [r["f"] for r in links.byte_budget(files, "n", "f", 8).orderBy("f").collect()] == ["a", "b"]
     manifest = spark.createDataFrame([("http://h/1", "d/x.pcap", "/data/x.pcap", 0), ("http://h/2", "e/x.pcap", "/other/x.pcap", 1)], "url string, rel_path string, local_path string, row int")
     captures = spark.createDataFrame([("/tmp/x.pcap",), ("/none",)], "path string")
     assert rows(links.manifest_match(captures, manifest).select("path", "url"), "path") == [("/none", None), ("/tmp/x.pcap", "http://h/1")]

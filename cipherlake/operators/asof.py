@@ -42,31 +42,31 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ti
     Adds ``right_id`` and ``right_time``, null beyond ``tolerance`` (inclusive).
     Of two at the same distance the earlier wins; of several at one time the
     last is taken from before and the first from after.  Null keys and times
-    match nothing.
+    match nothing; rows that share ``left_id`` are matched each for itself.
 
     Rows are dealt by keys and by time buckets of ``bucket``, at least twice
     the tolerance: rows of ``right`` go to each bucket whose tolerance zone they
     are in, so a key with any share of the rows is split, and the windows of a
-    task stay small.
+    task stay small.  The left rows go whole through that one exchange and one
+    sort; nothing is joined back.
     """
     bucket = max(bucket or 64 * tolerance, 2 * tolerance, 1)
     named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    usable = " and ".join([*(f"_k{i} is not null" for i in range(len(keys))), "_t is not null"])
-    l_all = left.select(*named, F.col(left_time).cast("long").alias("_t"), F.col(left_id).alias("_l"))
-    l_rows = l_all.where(usable).select("*", F.floor(F.col("_t") / bucket).alias("_b"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[right_id].dataType).alias("_r"))
-    r_rows = right.select(*named, F.col(right_time).cast("long").alias("_t"), F.lit(None).cast(left.schema[left_id].dataType).alias("_l"), F.lit(0).alias("_side"), F.col(right_id).alias("_r")).where(usable)
+    usable = F.expr(" and ".join([*(f"_k{i} is not null" for i in range(len(keys))), "_t is not null"]))
+    l_rows = left.select(*named, F.col(left_time).cast("long").alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[right_id].dataType).alias("_r"), F.struct("*").alias("_row"))
+    # Rows that can't match are spread by their ids.
+    l_rows = l_rows.withColumn("_b", F.when(usable, F.floor(F.col("_t") / bucket)).otherwise(F.xxhash64(f"_row.{left_id}", "_t")))
+    r_rows = right.select(*named, F.col(right_time).cast("long").alias("_t"), F.lit(0).alias("_side"), F.col(right_id).alias("_r"), F.lit(None).cast(l_rows.schema["_row"].dataType).alias("_row")).where(usable)
     zone = F.sequence(F.floor((F.col("_t") - tolerance) / bucket), F.floor((F.col("_t") + tolerance) / bucket))
-    u = l_rows.unionByName(r_rows.withColumn("_b", F.explode(zone)))
-    own = Window.partitionBy(*(f"_k{i}" for i in range(len(keys))), "_b")
-    seen = F.when(F.col("_side") == 0, F.struct("_t", "_r"))
-    before = F.last(seen, ignorenulls=True).over(own.orderBy("_t", "_side", "_r", "_l").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(seen, ignorenulls=True).over(own.orderBy("_t", F.desc("_side"), "_r", "_l").rowsBetween(0, Window.unboundedFollowing))
+    u = l_rows.unionByName(r_rows.withColumn("_b", F.explode(zone))).withColumn("_seen", F.when(F.col("_side") == 0, F.struct("_t", "_r")))
+    own = f"(partition by {', '.join(f'_k{i}' for i in range(len(keys)))}, _b order by _t, _side, _r)"
+    # A row of the same time is found from before, so one order serves both sides.
+    before, after = F.expr(f"last_value(_seen) ignore nulls over {own}"), F.expr(f"lead(_seen) ignore nulls over {own}")
     near = u.withColumns({"_p": before, "_n": after}).where("_side = 1")
     back, ahead = F.col("_t") - F.col("_p._t"), F.col("_n._t") - F.col("_t")
     pick = F.when(F.col("_p").isNotNull() & (F.col("_n").isNull() | (back <= ahead)), F.col("_p")).otherwise(F.col("_n"))
-    near = near.withColumn("_m", pick).where(F.abs(F.col("_m._t") - F.col("_t")) <= tolerance)
-    found = near.select(F.col("_l").alias(left_id), F.col("_m._r").alias(right_id), F.col("_m._t").alias(right_time))
-    return left.join(found, left_id, "left")
+    near = near.withColumn("_m", pick).withColumn("_m", F.when(F.abs(F.col("_m._t") - F.col("_t")) <= tolerance, F.col("_m")))
+    return near.select("_row.*", F.col("_m._r").alias(right_id), F.col("_m._t").alias(right_time))
 
 
 def match_connections(flows: DataFrame, conn: DataFrame, tolerance_ms: int = 2000, flow_id: str = "event_id") -> DataFrame:

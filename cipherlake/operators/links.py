@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cipherlake.operators.ranking import sums_before
-from cipherlake.plans.scratch import materialize
+from cipherlake.operators.ranking import dense_numbers, sums_before
+from cipherlake.plans.scratch import materialize, small
 
 # Endings of capture files.
 CAPTURE_ENDS = (
@@ -45,9 +45,9 @@ def absolute(page: Column, href: Column) -> Column:
 
 
 def page_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """``key, page_url, href, link`` of every anchor, without links to the parent folder or within the page."""
+    """``key, page_url, pos, href, link`` of every anchor with its place in the page, without links to the parent folder or within the page."""
     hrefs = F.regexp_extract_all(html, F.lit(r"""<a\s[^>]*?href="([^"]*)\""""), 1)
-    out = pages.select(key, F.col(url).alias("page_url"), F.explode(hrefs).alias("href")).where(~F.col("href").isin("", "../", "./") & ~F.col("href").startswith("#"))
+    out = pages.select(key, F.col(url).alias("page_url"), F.posexplode(hrefs).alias("pos", "href")).where(~F.col("href").isin("", "../", "./") & ~F.col("href").startswith("#"))
     return out.withColumn("link", absolute(F.col("page_url"), F.col("href")))
 
 
@@ -58,7 +58,7 @@ def is_within(link: Column, base: str) -> Column:
 
 def relative_path(link: Column, base: str) -> Column:
     """Path under ``base``, decoded, without query."""
-    rest = F.substring(link, len(base) + 1, 1_000_000)
+    rest = F.substr(link, F.lit(len(base) + 1))
     return F.ltrim(F.url_decode(F.replace(F.regexp_replace(rest, r"[?#].*$", ""), F.lit("+"), F.lit("%2B"))), F.lit("/"))
 
 
@@ -88,18 +88,53 @@ def capture_links(links: DataFrame, base: str) -> DataFrame:
     return in_scope(links, base).where(is_capture(F.col("link"))).groupBy("link").agg(F.min("rel_path").alias("rel_path"))
 
 
-def reachable(links: DataFrame, start: DataFrame, rounds: int = 100) -> DataFrame:
-    """``url, depth`` of the pages reached from ``start (url)`` over the table's links, breadth first."""
+def reachable(links: DataFrame, start: DataFrame) -> DataFrame:
+    """``url, depth`` of the pages reached from ``start (url)`` over the table's links, breadth first, until no page is new."""
     edges = materialize(links.select(F.col("page_url").alias("url"), F.col("link").alias("to")).distinct())
     seen = front = materialize(start.select("url").distinct().withColumn("depth", F.lit(0)))
-    for depth in range(1, rounds + 1):
+    depth = 0
+    while not front.isEmpty():
+        depth += 1
         front = materialize(front.join(edges, "url").select(F.col("to").alias("url")).distinct().join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
-            break
         seen = seen.union(front)
     return seen
 
 
+def frontier(links: DataFrame, base: str, include: str | None = None, exclude: str | None = None, max_pages: int | None = None) -> DataFrame:
+    """``url, depth, place``: the folders that a crawl from ``base`` visits over ``links (page_url, pos, link)``, in its order.
+
+    A crawl keeps a queue: it visits pages by depth, pages of one depth in the
+    order of the pages that led there, and links of one page by their ``pos``; a
+    page's first mention counts.  It stays under ``base``, takes only folders
+    that pass the filters, and ends after ``max_pages`` visits.  A folder that
+    isn't in the table is visited and leads nowhere.
+
+    Each depth is one join of the pages just found with the links, and a
+    numbering of what is new; pages found are sent to the links while they are
+    few.  The number of rounds is the depth of the links, without a bound.
+    """
+    edges = in_scope(links, base, include, exclude).where(F.col("link").endswith("/"))
+    edges = materialize(edges.select(F.col("page_url").alias("url"), "pos", F.col("link").alias("to")))
+    spark = links.sparkSession
+    seen = front = materialize(spark.createDataFrame([(base, 0, 0)], "url string, depth int, place long"))
+    count = depth = 0
+    new = 1
+    while new and (max_pages is None or count + new < max_pages):
+        count, depth = count + new, depth + 1
+        led = edges.join(small(front.select("url", "place")), "url").groupBy("to").agg(F.min(F.struct("place", "pos")).alias("by"))
+        found = led.select(F.col("to").alias("url"), "by.*").join(seen.select("url"), "url", "left_anti")
+        front = dense_numbers(found.select("url", "place", "pos"), ["place", "pos", "url"], "n").select("url", F.lit(depth).alias("depth"), (F.col("n") + count).alias("place"))
+        front = materialize(front if max_pages is None else front.where(F.col("place") < max_pages))
+        new = front.count()
+        seen = seen.union(front)
+    return seen if max_pages is None else seen.where(F.col("place") < max_pages)
+
+
+def crawled_captures(links: DataFrame, visited: DataFrame, base: str) -> DataFrame:
+    """``link, rel_path`` of the capture files under ``base`` that the pages ``visited (url)`` link to, each once."""
+    return capture_links(links.join(visited.select(F.col("url").alias("page_url")), "page_url", "left_semi"), base)
+
+
 def dated_datasets(pages: DataFrame, base: str, text: str = "text", since: str | None = None, limit: int | None = None) -> DataFrame:
     """``date, url`` of dated data set addresses in texts, oldest first, each once."""
     # A line may hold other addresses before the one that counts.

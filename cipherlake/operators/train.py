@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -16,6 +17,8 @@ from cipherlake.operators.ranking import dense_numbers
 
 SEED, TEST_SHARE, FOLDS = 42, 0.2, 5
 PERMUTATION_ROWS, REPEATS = 4_000, 5
+#: Bins of a pass over values, and rows from which on the rest is counted by value.
+BINS, FINISH = 1024, 50_000
 
 
 def draw(key: str, seed: int) -> Column:
@@ -50,10 +53,65 @@ def uninformative(rows: DataFrame, features: Sequence[str]) -> list[str]:
     return [c for i, c in enumerate(features) if stats[f"n_{i}"] == 0 or (stats[f"n_{i}"] == stats["all"] and stats[f"lo_{i}"] == stats[f"hi_{i}"])]
 
 
+def position(kind: str, value: Column, least: Column, most: Column) -> Column:
+    """Place from 0 to 1 of a value between two others, evenly by size or by logarithm."""
+    # Halves, so that no difference overflows.
+    value, least, most = (F.signum(x) * F.log1p(F.abs(x)) if kind == "log" else x / 2 for x in (value, least, most))
+    return F.coalesce(F.try_divide(value - least, most - least), F.lit(0.0))
+
+
+def bins(value: Column, least: Column, most: Column, kind: str) -> Column:
+    """Number of a value's bin, growing with the value: infinities and NaN have their own, at both ends."""
+    inner = F.least(F.floor(position(kind, value, least, most) * BINS), F.lit(BINS - 1))
+    return F.when(F.isnan(value), BINS + 1).when(value == float("inf"), BINS).when(value == float("-inf"), -1).otherwise(inner).cast("int")
+
+
 def medians(rows: DataFrame, features: Sequence[str]) -> dict[str, float]:
-    """Exact medians, nulls left out."""
-    found = rows.agg(*(F.median(F.col(c).cast("double")).alias(c) for c in features)).first().asDict()
-    return {c: v if v is not None else 0.0 for c, v in found.items()}
+    """Exact medians, nulls left out, NaN above all numbers; 0 for a column of nulls.
+
+    All columns are narrowed together: one pass counts their values by bins
+    between the least and largest that may be the median, and keeps the bins
+    that hold the middle ranks.  Passes cut ranges by size and by logarithm in
+    turn.  What is left is counted by value once it has at most ``FINISH`` rows,
+    so neither a task nor the driver ever holds all values.
+    """
+    cells = F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(features)))
+    values = rows.select(F.explode(cells).alias("x")).select("x.c", "x.v").where("v is not null")
+    finite = F.when(~F.isnan("v") & (F.abs("v") < float("inf")), F.col("v"))
+    first = {r["c"]: r for r in values.groupBy("c").agg(F.count("*").alias("n"), F.min(finite).alias("least"), F.max(finite).alias("most")).collect()}
+    out = {c: 0.0 for c in features}
+    # Of each open column: rows below its range, rows within, and the range.
+    open_ = {i: (0, r["n"], r["least"] if r["least"] is not None else 0.0, r["most"] if r["most"] is not None else 0.0) for i, r in first.items()}
+    unbounded = set(open_)
+    kind = "log"
+    spark = rows.sparkSession
+    while open_:
+        ranges = F.broadcast(spark.createDataFrame([(i, least, most, i in unbounded) for i, (_, _, least, most) in open_.items()], "c int, least double, most double, whole boolean"))
+        inside = values.join(ranges, "c").where("whole or v between least and most")
+        finish = sum(n for _, n, _, _ in open_.values()) <= FINISH
+        by = F.col("v") if finish else bins(F.col("v"), F.col("least"), F.col("most"), kind)
+        counts: dict[int, list] = {}
+        for r in inside.groupBy("c", by.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
+            counts.setdefault(r["c"], []).append(r)
+        for i, (below, _, *_) in list(open_.items()):
+            ends = []
+            for rank in ((first[i]["n"] - 1) // 2, first[i]["n"] // 2):
+                at = below
+                for r in sorted(counts[i], key=lambda r: (math.isnan(r["hi"]), r["hi"])):
+                    if rank < at + r["n"]:
+                        ends.append((at, r))
+                        break
+                    at += r["n"]
+            (at, a), (_, b) = ends
+            if a is b and a["lo"] != a["hi"] and not math.isnan(a["hi"]):
+                open_[i] = (at, a["n"], a["lo"], a["hi"])
+            else:
+                # Both ranks have one value, or the lower ends a bin and the upper begins the next.
+                out[features[i]] = a["hi"] if a is b else a["hi"] / 2 + b["lo"] / 2
+                del open_[i]
+        unbounded.clear()
+        kind = "even" if kind == "log" else "log"
+    return out
 
 
 def impute(rows: DataFrame, values: Mapping[str, float]) -> DataFrame:

@@ -5,6 +5,7 @@ Means and other computed doubles are rounded, since engines add in different ord
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from cipherlake.operators import asof, canonical, detect, features, gates, graph
 from cipherlake.plans import flows as ways
 from cipherlake.plans.scratch import materialize, scratch_root
 from cipherlake.plans.views import table, view, with_views
+from cipherlake.sources import logs
 from cipherlake.streaming import flows as streams
 
 WINDOW_MS = 3_600_000
@@ -203,6 +205,13 @@ def asof_nearest_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.asof_nearest(events.where("event_type = 'click'"), others, ["user_id"], "t", "other_ms", "event_id", "other_id", 1_800_000).select("event_id", "other_id", "other_ms")
 
 
+@query("select event_id % 100 as slot, bidirectional_first_seen_ms, src_port, uid, ts_ms from matched", "conn", "matched")
+def asof_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that share an id, or have none, are matched each for itself."""
+    flows = view(spark, sf_dir, "flows").withColumn("slot", F.col("event_id") % 100)
+    return asof.match_connections(flows, view(spark, sf_dir, "conn"), flow_id="slot").select("slot", "bidirectional_first_seen_ms", "src_port", "uid", "ts_ms")
+
+
 @query("select count(*) as rows, count(uid) as matched, round(count(uid) / count(*), 6) as match_rate from matched", "conn", "matched")
 def match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.match_rate(matched(spark, sf_dir)).withColumn("match_rate", r("match_rate"))
@@ -469,6 +478,29 @@ def median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.impute(scored, train.medians(scored, ["random_forest_probability"])).select("event_id", "random_forest_probability")
 
 
+MEDIANS = ("random_forest_probability", "gradient_boosting_probability", "tier1_probability", "bidirectional_first_seen_ms", "bidirectional_packets", "src_port", "label_id")
+
+
+@query(" union all ".join(f"select '{c}' as feature, cast(median({c}) as double) as median from scored" for c in MEDIANS), "scored")
+def feature_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = train.medians(view(spark, sf_dir, "scored"), MEDIANS)
+    return spark.createDataFrame(list(found.items()), "feature string, median double")
+
+
+# Logs
+
+
+@query("select uid, cast(ts_ms as varchar) as ts_ms, orig_h, cast(resp_p as varchar) as resp_p, case when ts_ms % 3 <> 0 then proto end as proto, case when ts_ms % 3 = 1 then resp_h end as resp_h from conn", "conn")
+def rotated_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A connection log over many files of three kinds of header, read as one."""
+    conn = view(spark, sf_dir, "conn")
+    folder = f"{scratch_root(spark).rstrip('/')}/logs-{uuid.uuid4().hex}"
+    logs.write_log(conn.where("ts_ms % 3 = 0").select("ts_ms", "uid", "orig_h", "resp_p"), folder, "conn")
+    logs.write_log(conn.where("ts_ms % 3 = 1").select("uid", "resp_h", "resp_p", "proto", "orig_h", "ts_ms"), folder, "conn")
+    logs.write_log(conn.where("ts_ms % 3 = 2").select("uid", "ts_ms", "proto", "orig_h", "resp_p"), folder, "conn", "json")
+    return logs.read_logs(spark, folder)["conn"].select("uid", "ts_ms", "orig_h", "resp_p", "proto", "resp_h")
+
+
 # Graph
 
 
@@ -672,7 +704,7 @@ from (select page_id, url, unnest(regexp_extract_all(html, '<a\s[^>]*?href="([^"
 
 @query(LINKS)
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.page_links(table(spark, sf_dir, "pages"))
+    return links.page_links(table(spark, sf_dir, "pages")).drop("pos")
 
 
 @query(f"select link, ltrim(min(substr(link, 8)), '/') as rel_path from ({LINKS}) where link like 'http://%' and regexp_matches(lower(link), '[.](pcap|pcapng|cap)$') group by link")
@@ -697,10 +729,56 @@ def capture_manifest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.manifest_match(pages.select("page_id", F.col("url").alias("path")), manifest).select("page_id", "path", F.col("url").alias("manifest_url"))
 
 
-@query()
+@query(f"select url, 0 as depth from (select distinct url from pages) union all select distinct link, 1 from ({LINKS}) where link not in (select url from pages where url is not null)")
 def link_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return links.reachable(links.page_links(pages), pages.select("url"), 5)
+    return links.reachable(links.page_links(pages), pages.select("url"))
+
+
+ARCHIVE = "http://archive.example/"
+
+
+def archive_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index listings of an archive: regions, nations, and customers in chains of ten, with links back and the orders' captures."""
+    nations, customers, orders = (table(spark, sf_dir, name) for name in ("nation", "customer", "orders"))
+    url = lambda *parts: F.concat(F.lit(ARCHIVE), *parts)
+    region, nation, customer = (lambda c: F.concat(F.lit("r"), c, F.lit("/"))), (lambda c: F.concat(F.lit("n"), c, F.lit("/"))), (lambda c: F.concat(F.lit("c"), c, F.lit("/")))
+    row = lambda page, pos, link: (page.alias("page_url"), pos.cast("long").alias("pos"), link.alias("link"))
+    top = nations.select("n_regionkey").distinct().select(*row(F.lit(ARCHIVE), F.col("n_regionkey"), url(region("n_regionkey"))))
+    middle = nations.select(*row(url(region("n_regionkey")), F.col("n_nationkey"), url(region("n_regionkey"), nation("n_nationkey"))))
+    placed = customers.join(nations, customers["c_nationkey"] == nations["n_nationkey"])
+    first = placed.where("c_custkey % 10 = 0").select(*row(url(region("n_regionkey"), nation("n_nationkey")), F.col("c_custkey"), url(customer("c_custkey"))))
+    up = placed.select(*row(url(customer("c_custkey")), F.lit(0), url(region("n_regionkey"))))
+    chain = customers.where("c_custkey % 10 <> 9").select(*row(url(customer("c_custkey")), F.lit(1), url(customer(F.col("c_custkey") + 1))))
+    files = orders.select(*row(url(customer("o_custkey")), F.col("o_orderkey") + 2, url(customer("o_custkey"), F.col("o_orderkey"), F.lit(".pcap"))))
+    return top.union(middle).union(first).union(up).union(chain).union(files)
+
+
+ARCHIVED = f"""archive as (
+  select distinct '{ARCHIVE}' as page_url, cast(n_regionkey as bigint) as pos, '{ARCHIVE}r' || n_regionkey || '/' as link from nation
+  union all select '{ARCHIVE}r' || n_regionkey || '/', n_nationkey, '{ARCHIVE}r' || n_regionkey || '/n' || n_nationkey || '/' from nation
+  union all select '{ARCHIVE}r' || n_regionkey || '/n' || n_nationkey || '/', c_custkey, '{ARCHIVE}c' || c_custkey || '/' from customer join nation on c_nationkey = n_nationkey where c_custkey % 10 = 0
+  union all select '{ARCHIVE}c' || c_custkey || '/', 0, '{ARCHIVE}r' || n_regionkey || '/' from customer join nation on c_nationkey = n_nationkey
+  union all select '{ARCHIVE}c' || c_custkey || '/', 1, '{ARCHIVE}c' || (c_custkey + 1) || '/' from customer where c_custkey % 10 <> 9
+  union all select '{ARCHIVE}c' || o_custkey || '/', o_orderkey + 2, '{ARCHIVE}c' || o_custkey || '/' || o_orderkey || '.pcap' from orders),
+folders as (select *, split_part(substr(link, {len(ARCHIVE) + 1}), '/', 1) as top from archive where link like '%/'),
+walk(url, depth, path) as (
+  select '{ARCHIVE}', 0, cast([] as bigint[])
+  union select link, depth + 1, min(list_append(path, pos)) from walk join folders on page_url = url where depth < 14 and top <> 'r3' group by link, depth),
+visited as (
+  select url, depth, row_number() over (order by depth, path) - 1 as place
+  from (select *, row_number() over (partition by url order by depth, path) as k from walk) where k = 1)"""
+
+
+@query(f"with recursive {ARCHIVED} select url, depth, place from visited where place < 1000")
+def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.frontier(archive_links(spark, sf_dir), ARCHIVE, exclude="^r3$", max_pages=1000)
+
+
+@query(f"with recursive {ARCHIVED} select distinct link, substr(link, {len(ARCHIVE) + 1}) as rel_path from archive join visited on page_url = url where place < 1000 and link like '%.pcap'")
+def crawl_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = archive_links(spark, sf_dir)
+    return links.crawled_captures(listed, links.frontier(listed, ARCHIVE, exclude="^r3$", max_pages=1000), ARCHIVE)
 
 
 @query("select distinct label_id, case label_id when 1 then 'malicious' else 'benign' end as label from flows", "flows")

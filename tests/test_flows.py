@@ -1,6 +1,7 @@
 """Operators on small tables with known results."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +80,47 @@ def test_asof_matches_brute_force(spark):
         assert got[lid] == best, lid
 
 
+def test_asof_keeps_rows_that_share_an_id(spark):
+    """Repeated and missing ids, times and keys: every row stays once, with its own match; the left table is exchanged once."""
+    rng = random.Random(17)
+    left = [(rng.choice([None, 1, 2, 3]), rng.choice(["a", "b", None]), rng.choice([None, *range(0, 500, 7)]), i) for i in range(200)]
+    right = [(i, rng.choice("ab"), rng.randrange(0, 500)) for i in range(60)]
+    l_rows, r_rows = spark.createDataFrame(left, "lid long, k string, t long, rid0 long"), spark.createDataFrame(right, "rid long, k string, rt long")
+    made = asof.asof_nearest(l_rows, r_rows, ["k"], "t", "rt", "lid", "rid", 6)
+    assert made.columns == ["lid", "k", "t", "rid0", "rid", "rt"]
+    got = {r["rid0"]: (r["lid"], r["rid"], r["rt"]) for r in made.collect()}
+    assert made.count() == len(left) == len(got)
+    for lid, k, t, own in left:
+        near = [(abs(rt - t), rt, rid) for rid, rk, rt in right if rk == k and abs(rt - t) <= 6] if t is not None else []
+        best = min(near)[1] if near else None
+        same = [rid for _, rt, rid in near if rt == best]
+        assert got[own] == (lid, (max(same) if best <= t else min(same)) if near else None, best)
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == plan.count("Sort [") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("finish", [0, 50_000])
+def test_medians(spark, monkeypatch, finish):
+    """Ties, nulls, even and odd numbers, infinities, NaN and very large and small numbers, narrowed or counted at once."""
+    monkeypatch.setattr(train, "FINISH", finish)
+    rng = random.Random(3)
+    inf, nan = float("inf"), float("nan")
+    for n in (1, 2, 7, 400):
+        columns = {
+            "ties": [rng.choice([None, 1.0, 2.0, 3.0]) for _ in range(n)],
+            "wide": [rng.gauss(0, 1) * 10.0 ** rng.randrange(-300, 300) for _ in range(n)],
+            "odd": [rng.choice([inf, -inf, nan, 1e308, -1e308, 5e-324, 0.0]) for _ in range(n)],
+            "none": [None] * n,
+            "even": [float(i) for i in range(n)],
+        }
+        df = spark.createDataFrame(list(zip(*columns.values(), strict=True)), ", ".join(f"{c} double" for c in columns)).repartition(3)
+        got = train.medians(df, list(columns))
+        for c, values in columns.items():
+            known = sorted((v for v in values if v is not None), key=lambda v: (v != v, v))
+            want = known[(len(known) - 1) // 2] / 2 + known[len(known) // 2] / 2 if known else 0.0
+            assert got[c] == pytest.approx(want, rel=1e-15, nan_ok=True), (n, c)
+
+
 def test_log_joins(spark):
     certs = spark.createDataFrame([("u", "2048", "CN=a"), ("u", "n/a", None), (None, "1", "x")], "uid string, key_length string, subject string")
     made = asof.certificate_features(certs).first()
@@ -297,3 +339,55 @@ def test_training_round_trip(spark, tmp_path):
     model = train.fit(train.impute(df, values), "y", ["a", "b", "c"], train.estimators()["gaussian_nb"]())
     importance = {r["feature"]: r["importance_mean"] for r in train.permutation_importance(model, train.impute(df, values), "y", "id", ["a", "b", "c"], 2).collect()}
     assert importance["a"] > importance["b"]
+
+
+def crawl(listed, base, include=None, exclude=None, max_pages=None):
+    """A crawl with a queue, as the frontier stands for."""
+    queue, visited, depth = [base], {}, {base: 0}
+    while queue:
+        page = queue.pop(0)
+        if page in visited:
+            continue
+        if max_pages is not None and len(visited) >= max_pages:
+            break
+        visited[page] = (depth[page], len(visited))
+        for _, to in sorted(listed.get(page, [])):
+            top = to[len(base) :].split("/")[0] if to.startswith(base) else ""
+            if not to.startswith(base) or not to.endswith("/") or (top and ((include and not re.search(include, top)) or (exclude and re.search(exclude, top)))):
+                continue
+            depth.setdefault(to, depth[page] + 1)
+            queue.append(to)
+    return visited
+
+
+@pytest.mark.parametrize("filters", [{}, {"max_pages": 7}, {"max_pages": 1}, {"exclude": "^b"}, {"include": "^[ab]", "max_pages": 12}])
+def test_frontier_visits_in_the_order_of_a_queue(spark, filters):
+    rng = random.Random(5)
+    base = "http://h.example/x/"
+    folders = [base, *(f"{base}{rng.choice('abc')}{i}/" for i in range(40)), *(f"{base}a1/deep{i}/" for i in range(5))]
+    rows = []
+    for page in folders[:-3]:
+        for pos in range(rng.randrange(0, 4)):
+            rows.append((page, pos, rng.choice([*folders, base + "a1/f.pcap", "http://other.example/x/", "http://h.example/up/"])))
+    rows += [(f"{base}a1/", 9, base + "a1/f.pcap"), (base, 10, folders[1]), (base, 11, folders[2]), (None, 1, base), (base, 12, None)]
+    rows += rows[:2]
+    listed = {}
+    for page, pos, to in rows:
+        if to is not None:
+            listed.setdefault(page, []).append((pos, to))
+    table = spark.createDataFrame(rows, "page_url string, pos long, link string")
+    made = links.frontier(table, base, **filters)
+    assert {r["url"]: (r["depth"], r["place"]) for r in made.collect()} == crawl(listed, base, **filters)
+    assert made.count() <= filters.get("max_pages", 1000)
+
+
+def test_scope_of_links(spark):
+    base = "http://h.example/x/"
+    rows = [(base + p,) for p in ("a/", "b/c/", "a/f.pcap", "f.cap?x=1", "", "a%20b/")] + [("http://h.example/y/",), (base + "d/" + "z" * 1_100_000 + ".pcap",)]
+    df = spark.createDataFrame(rows, "link string")
+    path = lambda made: {r["rel_path"] for r in made.collect() if len(r["rel_path"]) < 100}
+    assert path(links.in_scope(df, base)) == {"a/", "b/c/", "a/f.pcap", "f.cap", "", "a b/"}
+    assert path(links.in_scope(df, base, include="^a$")) == {"a/", "a/f.pcap", "f.cap", ""}
+    assert path(links.in_scope(df, base, exclude="^a$")) == {"b/c/", "a/f.pcap", "f.cap", "", "a b/"}
+    long = [r["rel_path"] for r in links.capture_links(df, base).collect() if len(r["rel_path"]) > 100]
+    assert [len(x) for x in long] == [1_100_007]

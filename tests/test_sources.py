@@ -21,6 +21,36 @@ def test_logs(spark, tmp_path):
     assert logs.tls_log({"tls": 1}) == 1 and logs.tls_log({"tls": 1, "ssl": 2}) == 2 and logs.tls_log({}) is None
 
 
+def test_rotated_logs_are_one(spark, tmp_path):
+    """Files of one log with other fields, separators, orders and formats; the first header of a file counts."""
+    (tmp_path / "conn.2024-01-01.log").write_text("#separator \\x09\n#fields\tts\tuid\tnote\n1.0\tA\t-\n2.0\tA2\n#close\n")
+    (tmp_path / "conn.2024-01-02.log").write_text("#separator ,\n#fields,uid,extra,ts\nB,x,3.0\nB2,(empty),4.0,more\n\n")
+    (tmp_path / "conn.2024-01-03.log").write_text('\n{"uid":"C","more":{"a":1},"ts":5}\nnot\n{"uid":"C2","note":null}\n')
+    (tmp_path / "conn.2024-01-04.log").write_text("only words\n")
+    (tmp_path / "ssl.log").write_text("#separator \\x09\n#fields uid v\nS\t1\n")
+    (tmp_path / "other.log").write_text("#fields\tq\n7\n")
+    read = logs.read_logs(spark, str(tmp_path))
+    assert sorted(read) == ["conn", "ssl"] and sorted(logs.read_logs(spark, str(tmp_path), every=True)) == ["conn", "other", "ssl"]
+    names = ("ts", "uid", "extra", "note", "more")
+    assert set(read["conn"].columns) == set(names)
+    got = {tuple(r[n] for n in names) for r in read["conn"].collect()}
+    assert got == {("1.0", "A", None, None, None), ("2.0", "A2", None, None, None), ("3.0", "B", "x", None, None), ("4.0", "B2", None, None, None), ("5", "C", None, None, '{"a":1}'), (None, "C2", None, None, None)}
+    assert [tuple(r) for r in read["ssl"].collect()] == [("S", "1")]
+    assert logs.read_logs(spark, str(tmp_path), logs=("http",)) == {}
+
+
+def test_written_logs_read_alike(spark, tmp_path):
+    rows = [(1, "a", None), (2, "tab\tand\nline", 0.5), (3, "", 1.5)]
+    df = spark.createDataFrame(rows, "id long, note string, x double").repartition(2)
+    logs.write_log(df, str(tmp_path), "http")
+    logs.write_log(df.select("x", "id"), str(tmp_path), "http", "json")
+    assert all(p.name.startswith("http.") and p.name.endswith(".log") for p in tmp_path.iterdir() if not p.name.startswith("."))
+    got = logs.read_logs(spark, str(tmp_path))["http"].select("id", "note", "x").collect()
+    text = {1: ("a", None), 2: ("tab\\x09and\\x0aline", "0.5"), 3: ("", "1.5")}
+    assert {tuple(r) for r in got} == {(str(i), n, x) for i, (n, x) in text.items()} | {(str(i), None, None if x is None else str(x)) for i, _, x in rows}
+    assert len(got) == 6
+
+
 def test_inventory_and_reports(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.pcap").write_bytes(b"abc")

@@ -18,6 +18,7 @@ from cipherlake.plans.scratch import materialize, scratch_root
 from cipherlake.plans.views import table, view, with_views
 from cipherlake.sources import logs
 from cipherlake.streaming import flows as streams
+from cipherlake.streaming import matching
 
 WINDOW_MS = 3_600_000
 Query = Callable[[SparkSession, str], DataFrame]
@@ -865,11 +866,11 @@ def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams, run until their input is read
 
 
-def stream_view(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, str]:
-    """A view as an arriving file, and a folder for the stream's output."""
+def stream_view(spark: SparkSession, sf_dir: str, name: str, session: SparkSession | None = None) -> tuple[DataFrame, str]:
+    """A view as arriving files, in a session of its own if one is given, and a folder for the stream's output."""
     folder = materialize(view(spark, sf_dir, name)).inputFiles()[0].rsplit("/", 1)[0]
     schema = spark.read.parquet(folder).schema
-    return streams.read_flows(spark, folder, schema), f"{scratch_root(spark).rstrip('/')}/s-{folder.rsplit('/', 1)[1]}"
+    return streams.read_flows(session or spark, folder, schema), f"{scratch_root(spark).rstrip('/')}/s-{folder.rsplit('/', 1)[1]}"
 
 
 @query("select event_id, protocol_family, tier2_pass, alert_level from tiered", "tiered")
@@ -886,13 +887,35 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows")
 
 
-@query()
+@query(
+    """select minute as window_start_ms, capture_id, count_if(tier1_pass) as candidate_flows, count_if(tier2_pass) as suspicious_flows, count_if(alert_level = 'high') as high_alerts, round(avg(tier2_consensus_score), 6) as mean_score
+from (select *, bidirectional_first_seen_ms // 60000 * 60000 as minute from tiered)
+where minute + 60000 <= (select max(bidirectional_first_seen_ms) - 120000 from flows) group by minute, capture_id""",
+    "tiered",
+)
 def stream_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     flows, out = stream_view(spark, sf_dir, "scored")
     streams.run_once(streams.timeline(streams.scored(flows)), f"{out}/rows", f"{out}/state")
     return spark.read.parquet(f"{out}/rows").select(F.unix_millis("window.start").alias("window_start_ms"), "capture_id", "candidate_flows", "suspicious_flows", "high_alerts", r("mean_score").alias("mean_score"))
 
 
+@query(
+    "select event_id as flow_id, bidirectional_first_seen_ms as flow_ms, uid, ts_ms from matched where bidirectional_first_seen_ms + 2000 <= (select least((select max(bidirectional_first_seen_ms) from flows), (select max(ts_ms) from oriented)) - 120000)",
+    "conn",
+    "matched",
+)
+def stream_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows whose tolerance the final watermark has passed, each with its nearest connection."""
+    own = spark.newSession()
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions")}
+    for k, v in {**kept, **matching.STATE_STORE}.items():
+        own.conf.set(k, v)
+    flows, out = stream_view(spark, sf_dir, "flows", own)
+    conn, _ = stream_view(spark, sf_dir, "conn", own)
+    streams.run_once(matching.nearest_connections(flows, conn), f"{out}/rows", f"{out}/state")
+    return spark.read.parquet(f"{out}/rows")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -1,11 +1,14 @@
 import hashlib
 import json
+import os
+import random
 
 from pyspark.sql import functions as F
 
-from cipherlake.operators import gates
+from cipherlake.operators import asof, gates
 from cipherlake.sources import inventory, logs
 from cipherlake.streaming import flows as streams
+from cipherlake.streaming import matching
 
 
 def test_logs(spark, tmp_path):
@@ -93,3 +96,42 @@ def test_streams_agree_with_batch(spark, tmp_path):
     assert {r["flow_id"]: r["uid"] for r in got.collect()} == {1: "C2", 2: "C2"}
     streams.score_arrivals(read(), lambda d: d, str(tmp_path / "s"), str(tmp_path / "sc"))
     assert spark.read.parquet(str(tmp_path / "s")).where("tier2_pass").count() == 4
+
+
+def arriving(spark, folder, df, parts):
+    """Writes ``df`` as files that arrive one after the other: rows of each of ``parts`` (conditions), in that order."""
+    seen = set()
+    for k, part in enumerate(parts):
+        df.where(part).coalesce(1).write.mode("append").parquet(str(folder))
+        fresh = set(folder.glob("*.parquet")) - seen
+        for file in fresh:
+            os.utime(file, (1_700_000_000 + k,) * 2)
+        seen |= fresh
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def test_nearest_connection_in_keyed_state(spark, tmp_path):
+    """Over several micro-batches, with rows that come too late, flows get the match of the batch join once the watermark is past them."""
+    own = spark.newSession()
+    for k, v in {**matching.STATE_STORE, "spark.sql.shuffle.partitions": "2", "spark.sql.session.timeZone": "UTC"}.items():
+        own.conf.set(k, v)
+    rng = random.Random(9)
+    flows = [(i if i % 5 else None, rng.choice("ab"), rng.choice(["c", "d", None]), 1, rng.choice([2, 3]), rng.choice([6, 17, None]), 1000 + rng.randrange(300) * 1000) for i in range(260)]
+    conn = [(f"C{i:03}", 1000 + rng.randrange(600) * 500, rng.choice("cd"), rng.choice("ab"), rng.choice([2, 3]), 1, rng.choice(["tcp", "udp", "gre", None])) for i in range(500)]
+    names = "event_id long, src_ip string, dst_ip string, src_port long, dst_port long, protocol long, bidirectional_first_seen_ms long"
+    f = spark.createDataFrame(flows, names)
+    c = spark.createDataFrame(conn, "uid string, ts_ms long, orig_h string, resp_h string, orig_p int, resp_p int, proto string")
+    start = "bidirectional_first_seen_ms"
+    # The second file ends near 150 s and the third carries that on, so rows before 20 s come too late in the fourth.
+    late = lambda ms: f"{ms} < 20000 and {ms} % 3000 = 0"
+    parts = lambda ms: [f"{ms} < 100000 and not ({late(ms)})", f"{ms} >= 100000 and {ms} <= 150000", f"{ms} > 150000 and {ms} <= 200000", late(ms), f"{ms} > 200000"]
+    left, right = arriving(own, tmp_path / "f", f, parts(start)), arriving(own, tmp_path / "c", c, parts("ts_ms"))
+    made = matching.nearest_connections(left, right, bucket_ms=20_000)
+    streams.run_once(made, str(tmp_path / "o"), str(tmp_path / "k"))
+    key = lambda r: tuple(repr(x) for x in r)
+    got = sorted(((r["flow_id"], r["flow_ms"], r["uid"], r["ts_ms"]) for r in spark.read.parquet(str(tmp_path / "o")).collect()), key=key)
+    on_time = asof.match_connections(f.where(f"not ({late(start)})"), c.where(f"not ({late('ts_ms')})"))
+    last = min(max(x[6] for x in flows), max(r["ts_ms"] for r in c.where("proto in ('tcp', 'udp')").collect())) - 120_000
+    want = sorted(((r["event_id"], r[start], r["uid"], r["ts_ms"]) for r in on_time.where(F.col(start) + 2000 <= last).collect()), key=key)
+    assert got == want
+    assert sum(r[2] is not None for r in got) > 20 and sum(r[2] is None for r in got) > 20

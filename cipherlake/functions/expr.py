@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import ipaddress
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
@@ -308,3 +309,10 @@ def artifact_type(path: Column) -> Column:
 def map_values(column: Column, names: Mapping[str, str]) -> Column:
     """A text replaced by its entry, or left as it is."""
     return F.coalesce(F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[column], column)
+
+
+def keyed_hash(column: Column, key: bytes) -> Column:
+    """HMAC-SHA256 of a text in hexadecimal digits: without the key it can't be found by trying all texts."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner = F.sha2(F.concat(F.lit(bytes(b ^ 0x36 for b in block)), column.cast("binary")), 256)
+    return F.sha2(F.concat(F.lit(bytes(b ^ 0x5C for b in block)), F.unhex(inner)), 256)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cipherlake.functions.expr import endpoints, is_private_address
+from cipherlake.functions.expr import endpoints, is_private_address, keyed_hash
 from cipherlake.operators.components import connected_components
 from cipherlake.operators.detect import top_strings
 from cipherlake.operators.ranking import dense_numbers
@@ -134,8 +135,14 @@ def view(tables: dict[str, DataFrame], cluster_id: str | None = None, most: int
     return {"nodes": picked, "edges": inside, "clusters": tables["clusters"].select("cluster_id", "suspicious_flow_count", "endpoint_count")}
 
 
-def decorate(nodes_shown: DataFrame, edges_shown: DataFrame, catalogue: DataFrame, labels: int = 8, hub: int = 10) -> dict[str, DataFrame]:
-    """The view with aliases in place of addresses, node sizes, types and labels."""
+def decorate(nodes_shown: DataFrame, edges_shown: DataFrame, catalogue: DataFrame, labels: int = 8, hub: int = 10, key: bytes | None = None) -> dict[str, DataFrame]:
+    """The view with aliases in place of addresses, node sizes, types and labels.
+
+    An address that isn't in the catalogue is told by its hash under ``key``,
+    by default one that is drawn anew and kept nowhere.
+    """
+    key = key or secrets.token_bytes(32)
+    hidden = lambda c: keyed_hash(F.col(c), key)
     alias = catalogue.select("endpoint", "alias_id", "display_name", "dominant_family")
     shown = nodes_shown.join(alias, "endpoint", "left")
     # At most as many rows as a view shows.
@@ -144,8 +151,8 @@ def decorate(nodes_shown: DataFrame, edges_shown: DataFrame, catalogue: DataFram
     kind = F.when(F.col("is_private") & (F.col("unique_neighbors") > hub), "hub").when(F.col("is_private"), "private").otherwise("public")
     name = F.coalesce("display_name", F.lit("Unlisted Node"))
     out = shown.withColumns({"size": F.round(F.greatest(F.lit(8.0), 12 + 28 * F.sqrt(F.col("suspicious_flow_count") / largest)), 2), "rank": F.row_number().over(busiest), "type": kind})
-    out = out.select(F.coalesce("alias_id", F.sha2("endpoint", 256)).alias("id"), name.alias("name"), "type", F.when((F.col("rank") <= labels) | (F.col("type") != "public"), name).otherwise("").alias("label"), F.coalesce("dominant_family", F.lit("")).alias("service_label"), "suspicious_flow_count", "unique_neighbors", "max_incident_score", "size")
+    out = out.select(F.coalesce("alias_id", hidden("endpoint")).alias("id"), name.alias("name"), "type", F.when((F.col("rank") <= labels) | (F.col("type") != "public"), name).otherwise("").alias("label"), F.coalesce("dominant_family", F.lit("")).alias("service_label"), "suspicious_flow_count", "unique_neighbors", "max_incident_score", "size")
     end = lambda e: alias.select(F.col("endpoint").alias(f"endpoint_{e}"), F.col("alias_id").alias(f"alias_{e}"))
     linked = edges_shown.join(end("a"), "endpoint_a", "left").join(end("b"), "endpoint_b", "left")
-    linked = linked.select(F.coalesce("alias_a", F.sha2("endpoint_a", 256)).alias("source"), F.coalesce("alias_b", F.sha2("endpoint_b", 256)).alias("target"), F.col("suspicious_flow_count").alias("weight"), F.col("mean_consensus_score").alias("score"))
+    linked = linked.select(F.coalesce("alias_a", hidden("endpoint_a")).alias("source"), F.coalesce("alias_b", hidden("endpoint_b")).alias("target"), F.col("suspicious_flow_count").alias("weight"), F.col("mean_consensus_score").alias("score"))
     return {"nodes": out, "edges": linked}

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cipherlake.operators.ranking import sums_before
+from cipherlake.plans.scratch import materialize, small
 
 #: Steps of the threshold sweep.
 STEPS = 200
+#: What models are compared by.
+SCORERS = ("accuracy", "precision", "recall", "f1", "specificity", "balanced_accuracy", "roc_auc", "average_precision")
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -65,17 +71,37 @@ def best_threshold(sweep: DataFrame, metric: str = "f1") -> DataFrame:
     return sweep.orderBy(*order).limit(1).select("threshold", F.lit(metric).alias("metric"), F.col(metric).alias("metric_value"), "precision", "recall", "f1", "balanced_accuracy")
 
 
-def cumulated(rows: DataFrame, y: str, score: str) -> DataFrame:
-    """``score, p, n, tp, fp`` at each distinct score, cumulated from the highest, by ranges of the score."""
-    counts = rows.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) != 1).alias("n"))
-    return sums_before(counts, F.desc("score"), {"_tp": "p", "_fp": "n"}).select("score", "p", "n", (F.col("p") + F.col("_tp")).alias("tp"), (F.col("n") + F.col("_fp")).alias("fp"))
-
-
-def ranking_metrics(rows: DataFrame, y: str, score: str) -> DataFrame:
-    """``roc_auc`` (ties count half; null for one class) and ``average_precision`` (a step sum)."""
-    points = cumulated(rows, y, score)
-    sums = points.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"), F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)).alias("won"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("steps"))
-    return sums.select(F.when((F.col("all_p") > 0) & (F.col("all_n") > 0), F.col("won") / (F.col("all_p") * F.col("all_n"))).alias("roc_auc"), ratio(F.col("steps"), F.col("all_p")).alias("average_precision"))
+def cumulated(rows: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """``score, p, n, tp, fp`` at each distinct score, cumulated from the highest, by ranges of the score.
+
+    With ``by`` the sums start anew in each segment.  All segments are summed in
+    one pass over one order; what stands before a segment is taken off after.
+    """
+    known = rows.where(F.col(y).isNotNull() & F.col(score).isNotNull())
+    counts = known.groupBy(*by, F.col(score).alias("score")).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) != 1).alias("n"))
+    order = F.struct(*by, (-F.col("score")).alias("_s")) if by else F.desc("score")
+    points = sums_before(counts, order, {"_tp": "p", "_fp": "n"})
+    if by:
+        points = materialize(points)
+        # One row a segment.
+        starts = points.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.min("_tp").alias("_tp0"), F.min("_fp").alias("_fp0"))
+        on = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
+        points = points.join(small(materialize(starts)), on).withColumns({"_tp": F.col("_tp") - F.col("_tp0"), "_fp": F.col("_fp") - F.col("_fp0")})
+    return points.select(*by, "score", "p", "n", (F.col("p") + F.col("_tp")).alias("tp"), (F.col("n") + F.col("_fp")).alias("fp"))
+
+
+def ranking_metrics(rows: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """``roc_auc`` (ties count half; null for one class) and ``average_precision`` (a step sum), of all rows or of each segment."""
+    points = cumulated(rows, y, score, by)
+    sums = points.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"), F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)).alias("won"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("steps"))
+    return sums.select(*by, F.when((F.col("all_p") > 0) & (F.col("all_n") > 0), F.col("won") / (F.col("all_p") * F.col("all_n"))).alias("roc_auc"), ratio(F.col("steps"), F.col("all_p")).alias("average_precision"))
+
+
+def scorers(rows: DataFrame, y: str, score: str, said: Column, by: Sequence[str]) -> DataFrame:
+    """The eight metrics of ``SCORERS`` for each segment, in two aggregates over all of them."""
+    positive, said = F.col(y) == 1, F.coalesce(said, F.lit(False))
+    counts = rows.where(F.col(y).isNotNull()).groupBy(*by).agg(F.count_if(positive & said).alias("tp"), F.count_if(~positive & said).alias("fp"), F.count_if(~positive & ~said).alias("tn"), F.count_if(positive & ~said).alias("fn"))
+    return rates(counts).join(ranking_metrics(rows, y, score, by), list(by), "left").select(*by, *SCORERS)
 
 
 def curves(rows: DataFrame, y: str, score: str) -> DataFrame:

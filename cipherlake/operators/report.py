@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cipherlake.functions import expr
 from cipherlake.operators.detect import top_strings
 from cipherlake.operators.ranking import dense_numbers
-from cipherlake.plans.scratch import materialize
+from cipherlake.plans.scratch import drop_table, materialize
 
 # Names of the first internal gateways, and of the models.
 GREEK = ("Alpha", "Beta", "Gamma", "Delta", "Epsilon", "Zeta", "Eta", "Theta")
@@ -229,10 +229,49 @@ def class_risks(table: DataFrame, label: str = "label", capture: str = "capture_
 
 
 def snapshot(parts: Mapping[str, DataFrame]) -> DataFrame:
-    """One row of JSON with each part as a list; the parts are report tables of bounded size."""
+    """One row of JSON with each part as a list, for parts of bounded size; :func:`snapshot_rows` takes any."""
     out = None
     for name, part in parts.items():
         one = part.agg(F.to_json(F.collect_list(F.struct(*(F.col(c) for c in part.columns)))).alias("j")).select(F.lit(name).alias("name"), "j")
         out = one if out is None else out.union(one)
     pair = F.concat(F.to_json(F.array("name")).substr(F.lit(2), F.length(F.to_json(F.array("name"))) - 2), F.lit(":"), F.col("j"))
     return out.agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(pair)), ","), F.lit("}")).alias("value"))
+
+
+#: The order of each part's rows; a minus stands for descending.  Parts of figures alone have one row or are ordered by name.
+PART_ORDER = {
+    "kpis": ("name",),
+    "trend": ("window_start_ms", "window_id"),
+    "timeline": ("window_start_ms", "window_id"),
+    "endpoints": ("-suspicious_flow_count", "-unique_neighbors", "endpoint"),
+    "graph_nodes": ("-suspicious_flow_count", "-unique_neighbors", "id"),
+    "graph_edges": ("-weight", "source", "target"),
+}
+
+
+def snapshot_rows(parts: Mapping[str, DataFrame]) -> DataFrame:
+    """``part, place, value``: each row of each report table as JSON, with its place in the table's order.
+
+    Parts may have any size: they are numbered by ranges of their order, and no
+    task gathers one.  Rows that agree in all columns of ``PART_ORDER`` go by
+    their JSON, as do those of parts that it doesn't name.
+    """
+    out = None
+    for name, part in parts.items():
+        order = PART_ORDER.get(name, ())
+        keys = {}
+        for i, c in enumerate(order):
+            # Nulls last, whichever way.
+            keys |= {f"_n{i}": F.col(c.lstrip("-")).isNull(), f"_o{i}": -F.col(c[1:]) if c.startswith("-") else F.col(c)}
+        rows = part.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"), *(c.alias(k) for k, c in keys.items()))
+        rows = dense_numbers(rows, [*keys, "value"], "place").select(F.lit(name).alias("part"), "place", "value")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+def write_snapshot(parts: Mapping[str, DataFrame], path: str) -> None:
+    """A folder for each part with its rows as JSON lines; its files in order of their names hold the rows in their order."""
+    rows = materialize(snapshot_rows(parts))
+    dealt = rows.repartitionByRange("part", "place").sortWithinPartitions("part", "place")
+    dealt.select("part", "value").write.mode("overwrite").partitionBy("part").text(path)
+    drop_table(rows)

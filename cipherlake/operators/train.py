@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, NaiveBayes, RandomForestClassifier
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cipherlake.operators import metrics
 from cipherlake.operators.ranking import dense_numbers
+from cipherlake.plans.scratch import materialize
 
 SEED, TEST_SHARE, FOLDS = 42, 0.2, 5
 PERMUTATION_ROWS, REPEATS = 4_000, 5
@@ -149,7 +151,7 @@ def probability(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 def out_of_fold(rows: DataFrame, label: str, key: str, features: Sequence[str], make: Callable[[], object], k: int = FOLDS) -> DataFrame:
     """``key, label, fold, score``: each row scored by a model that hasn't seen its fold."""
-    dealt = folds(rows, label, key, k).persist()
+    dealt = materialize(folds(rows, label, key, k))
     out = None
     for i in range(k):
         train = dealt.where(F.col("fold") != i)
@@ -160,20 +162,29 @@ def out_of_fold(rows: DataFrame, label: str, key: str, features: Sequence[str],
     return out
 
 
-def cross_validation(scores: DataFrame, label: str, threshold: float = 0.5) -> DataFrame:
-    """``metric, mean, std`` over the folds of out-of-fold scores; std is that of the population."""
-    said = F.col("score") >= threshold
-    y = F.col(label) == 1
-    counts = scores.groupBy("fold").agg(F.count_if(y & said).alias("tp"), F.count_if(~y & said).alias("fp"), F.count_if(~y & ~said).alias("tn"), F.count_if(y & ~said).alias("fn"))
-    rates = metrics.rates(counts)
-    names = ("accuracy", "precision", "recall", "f1", "specificity", "balanced_accuracy")
-    pairs = rates.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names))).alias("x")).select("x.*")
-    ranking = None
-    for fold in sorted(r["fold"] for r in scores.select("fold").distinct().collect()):
-        one = metrics.ranking_metrics(scores.where(F.col("fold") == fold), label, "score")
-        one = one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in ("roc_auc", "average_precision")))).alias("x")).select("x.*")
-        ranking = one if ranking is None else ranking.union(one)
-    return (pairs if ranking is None else pairs.union(ranking)).groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+def cross_validation(scores: DataFrame, label: str, by: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
+    """``metric, mean, std`` over the folds of out-of-fold scores, of each segment ``by``; std is that of the population.
+
+    All folds of all segments are scored at once.
+    """
+    folded = metrics.scorers(scores, label, "score", F.col("score") >= threshold, [*by, "fold"])
+    pairs = folded.select(*by, F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in metrics.SCORERS))).alias("x")).select(*by, "x.*")
+    return pairs.groupBy(*by, "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+
+
+def comparison(out_of_fold_scores: DataFrame, tested: DataFrame, thresholds: DataFrame, label: str) -> DataFrame:
+    """One row a model: its threshold, each metric's mean and deviation over the folds, and on the hold-out at 0.5 and at the threshold.
+
+    ``out_of_fold_scores (model, fold, label, score)`` and ``tested (model,
+    label, score)`` hold the scores of all models, and ``thresholds`` has
+    ``model, threshold_metric, selected_threshold``.
+    """
+    folded = cross_validation(out_of_fold_scores, label, ["model"])
+    wide = folded.groupBy("model").agg(*(F.max(F.when(F.col("metric") == m, F.col(k))).alias(f"cv_{m}_{k}") for m in metrics.SCORERS for k in ("mean", "std")))
+    known = tested.join(F.broadcast(thresholds.select("model", "selected_threshold")), "model")
+    at = lambda name, said: metrics.scorers(known, label, "score", said, ["model"]).select("model", *(F.col(m).alias(f"test_{name}_{m}") for m in metrics.SCORERS))
+    out = thresholds.join(wide, "model", "left").join(at("default", F.col("score") >= 0.5), "model", "left").join(at("optimized", F.col("score") >= F.col("selected_threshold")), "model", "left")
+    return out.select(*thresholds.columns, *(f"{k}_{m}{e}" for m in metrics.SCORERS for k, e in (("cv", "_mean"), ("cv", "_std"), ("test_default", ""), ("test_optimized", ""))))
 
 
 def native_importance(model: PipelineModel, features: Sequence[str], spark: SparkSession) -> DataFrame | None:
@@ -194,7 +205,7 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, label: str, ke
     n = rows.count()
     ranked = class_ranks(rows, label, key, seed).where(F.col("_rank") < F.ceil(F.col("_size") * min(1.0, most / max(n, 1)))).drop("_rank", "_size")
     # Bounded by ``most``: both orders are numbered on the sample alone.
-    sample = ranked.withColumn("_i", F.row_number().over(Window.orderBy(key))).persist()
+    sample = materialize(ranked.withColumn("_i", F.row_number().over(Window.orderBy(key))))
     tried = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat")) for f in features for r in range(repeats))))
     shuffled = sample.select("_i", *features, tried.alias("t")).select("_i", *features, "t.*")
     order = Window.partitionBy("feature", "repeat").orderBy(F.md5(F.concat_ws(":", "feature", "repeat", F.lit(str(seed)), "_i")))
@@ -225,29 +236,28 @@ def evaluate(test: DataFrame, model: PipelineModel, label: str, key: str, thresh
 def run(rows: DataFrame, label: str, key: str, features: Sequence[str], path: str | None = None, models: Mapping[str, Callable[[], object]] | None = None, metric: str = "f1") -> DataFrame:
     """Trains and compares the classifiers; saves each with its features, medians and threshold under ``path``.
 
-    ``model, selected_threshold, threshold_metric``, hold-out rates at that
-    threshold and means over the folds, best F1 first.
+    The result is that of :func:`comparison`, best optimised F1 first.
     """
     spark = rows.sparkSession
-    split = stratified_split(rows, label, key).persist()
+    split = materialize(stratified_split(rows, label, key))
     train, test = split.where("split = 'train'"), split.where("split = 'test'")
     used = [c for c in features if c not in uninformative(train, features)]
     values = medians(train, used)
-    out = []
+    folded, tested, chosen = [], [], []
     for name, make in (models or estimators()).items():
-        scores = out_of_fold(train, label, key, used, make).persist()
+        scores = materialize(out_of_fold(train, label, key, used, make))
         best = metrics.best_threshold(metrics.threshold_sweep(scores, label, "score"), metric).first()
         model = fit(impute(train, values), label, used, make())
-        tested = evaluate(impute(test, values), model, label, key, best["threshold"])
-        optimized, ranking = tested["optimized"].first(), tested["ranking"].first()
-        cv = {r["metric"]: r for r in cross_validation(scores, label, best["threshold"]).collect()}
-        out.append((name, metric, best["threshold"], *(float(optimized[m]) for m in ("f1", "precision", "recall", "specificity", "balanced_accuracy")), float(ranking["roc_auc"]), float(ranking["average_precision"]), float(cv["f1"]["mean"]), float(cv["f1"]["std"])))
+        folded.append(scores.select(F.lit(name).alias("model"), "fold", label, "score"))
+        tested.append(probability(model, impute(test, values)).select(F.lit(name).alias("model"), label, F.col("probability").alias("score")))
+        chosen.append((name, metric, float(best["threshold"])))
         if path:
             model.write().overwrite().save(f"{path}/{name}/model")
             manifest = spark.createDataFrame([(name, used, values, float(best["threshold"]))], "model string, features array<string>, medians map<string,double>, threshold double")
             manifest.coalesce(1).write.mode("overwrite").json(f"{path}/{name}/manifest")
-    names = "model string, threshold_metric string, selected_threshold double, test_optimized_f1 double, test_optimized_precision double, test_optimized_recall double, test_optimized_specificity double, test_optimized_balanced_accuracy double, test_optimized_roc_auc double, test_optimized_average_precision double, cv_f1_mean double, cv_f1_std double"
-    return spark.createDataFrame(out, names).orderBy(F.desc("test_optimized_f1"), "model")
+    thresholds = spark.createDataFrame(chosen, "model string, threshold_metric string, selected_threshold double")
+    compared = comparison(reduce(DataFrame.union, folded), materialize(reduce(DataFrame.union, tested)), thresholds, label)
+    return compared.orderBy(F.desc_nulls_last("test_optimized_f1"), "model")
 
 
 def load(spark: SparkSession, path: str, name: str, override: float | None = None, optimized: bool = True) -> tuple[Callable[[DataFrame], DataFrame], float]:

@@ -16,9 +16,9 @@ from cipherlake.operators import asof, canonical, detect, features, gates, graph
 from cipherlake.plans import flows as ways
 from cipherlake.plans.scratch import materialize, scratch_root
 from cipherlake.plans.views import table, view, with_views
-from cipherlake.sources import logs
+from cipherlake.sources import inventory, logs
+from cipherlake.streaming import arrivals, matching
 from cipherlake.streaming import flows as streams
-from cipherlake.streaming import matching
 
 WINDOW_MS = 3_600_000
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,10 @@ select c.*, e.edge_count, n.endpoint_count, coalesce(n.private_endpoint_count, 0
 from (select cluster_id, count(*) as suspicious_flow_count, avg(tier2_consensus_score) as mean_consensus_score, max(tier2_consensus_score) as max_consensus_score, count(distinct capture_id) as unique_captures, count(distinct window_id) as unique_windows from labelled group by cluster_id) c
 left join (select cluster_id, count(*) as edge_count from edges e join labels_of l on e.endpoint_a = l.endpoint group by cluster_id) e on c.cluster_id = e.cluster_id
 left join (select cluster_id, count(*) as endpoint_count, count_if(is_private) as private_endpoint_count from nodes group by cluster_id) n on c.cluster_id = n.cluster_id""",
+    "shown": """
+select * from nodes where cluster_id = (
+  select cluster_id from clusters where cluster_id is not null order by suspicious_flow_count desc, mean_consensus_score desc, endpoint_count desc, cluster_id limit 1)
+order by suspicious_flow_count desc, unique_neighbors desc, max_incident_score desc, endpoint limit 160""",
     "served": f"""
 select *, case when host = '' and app = '' then 'Encrypted Session' when host = '' then app_family
    when known_host is not null then known_host
@@ -121,6 +125,7 @@ USES = {
     "nodes": ("tiered", "suspects", "edges", "labels_of"),
     "labelled": ("tiered", "suspects", "edges", "labels_of"),
     "clusters": ("tiered", "suspects", "edges", "labels_of", "nodes", "labelled"),
+    "shown": ("tiered", "suspects", "edges", "labels_of", "nodes", "labelled", "clusters"),
     "served": ("tiered",),
     "catalogue": ("tiered", "served"),
 }
@@ -241,6 +246,16 @@ def uid_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("event_id", "uid", "key_length", "subject", F.col("x509_x509_record_count").alias("certificates"))
 
 
+@query(
+    """select m.event_id, m.uid, s.key_length, s.subject from matched m
+left join (select uid, key_length, subject from (select *, row_number() over (partition by uid order by key_length nulls first, subject nulls first) as n from certs) where n = 1) s on m.uid = s.uid""",
+    "certs",
+    "matched",
+)
+def quic_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asof.enrich(matched(spark, sf_dir), quic=view(spark, sf_dir, "certs").select("key_length", "subject", "uid")).select("event_id", "uid", "key_length", "subject")
+
+
 # Gates
 
 
@@ -479,6 +494,50 @@ def median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.impute(scored, train.medians(scored, ["random_forest_probability"])).select("event_id", "random_forest_probability")
 
 
+SPLITS = {m: f"{m}_probability" for m in ("tier1", "random_forest", "gradient_boosting")}
+CHOSEN = {"tier1": 0.8, "random_forest": 0.4, "gradient_boosting": 0.15}
+
+
+def _scores(where: str) -> str:
+    return " union all ".join(f"select '{m}' as model, event_id % 5 as fold, label_id as y, {c} as s from scored where {where} and {c} is not null" for m, c in SPLITS.items())
+
+
+def _scorers(source: str, threshold: str, by: str) -> str:
+    """The eight metrics of each group of a table of scores."""
+    return f"""select c.*, (recall + specificity) / 2 as balanced_accuracy, roc_auc, average_precision from (
+    select {by}, (tp + tn) / (tp + fp + tn + fn) as accuracy, coalesce(tp / nullif(tp + fp, 0), 0) as precision, coalesce(tp / nullif(tp + fn, 0), 0) as recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) as f1, coalesce(tn / nullif(tn + fp, 0), 0) as specificity
+    from (select {by}, count_if(y = 1 and s >= {threshold}) as tp, count_if(y <> 1 and s >= {threshold}) as fp, count_if(y <> 1 and s < {threshold}) as tn, count_if(y = 1 and s < {threshold}) as fn from {source} group by {by})) c
+  join (select {by}, sum(n * (tp - p / 2)) / (sum(p) * sum(n)) as roc_auc, sum(p * tp / (tp + fp)) / sum(p) as average_precision from (
+    select *, sum(p) over (partition by {by} order by s desc) as tp, sum(n) over (partition by {by} order by s desc) as fp from (select {by}, s, count_if(y = 1) as p, count_if(y <> 1) as n from {source} group by {by}, s)) group by {by}) using ({by})"""
+
+
+NAMED = ", ".join(metrics.SCORERS)
+COMPARED = f"""
+, folded as ({_scores("event_id % 10 < 8")}), held as ({_scores("event_id % 10 >= 8")}),
+chosen as (select unnest([{", ".join(f"{{'model': '{m}', 't': {t}}}" for m, t in CHOSEN.items())}], recursive := true)),
+best as (select held.*, t from held join chosen using (model)),
+folds as ({_scorers("folded", "0.5", "model, fold")}), at_half as ({_scorers("held", "0.5", "model")}), at_best as ({_scorers("best", "t", "model")})
+select c.model, 'f1' as threshold_metric, cast(c.t as double) as selected_threshold,
+  {", ".join(f"round(cv.{m}_mean, 6) as cv_{m}_mean, round(cv.{m}_std, 6) as cv_{m}_std, round(h.{m}, 6) as test_default_{m}, round(b.{m}, 6) as test_optimized_{m}" for m in metrics.SCORERS)}
+from chosen c join (select model, {", ".join(f"avg({m}) as {m}_mean, stddev_pop({m}) as {m}_std" for m in metrics.SCORERS)} from folds group by model) cv using (model) join at_half h using (model) join at_best b using (model)"""
+
+
+@query(COMPARED, "scored")
+def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The models' given scores compared: five folds, and a hold-out at 0.5 and at each model's threshold."""
+    scored = view(spark, sf_dir, "scored")
+    by_model = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(c).alias("score")) for m, c in SPLITS.items())))
+    rows = materialize(scored.select("event_id", "label_id", (F.col("event_id") % 5).alias("fold"), by_model.alias("x")).select("event_id", "label_id", "fold", "x.*").where("score is not null"))
+    thresholds = spark.createDataFrame([(m, "f1", t) for m, t in CHOSEN.items()], "model string, threshold_metric string, selected_threshold double")
+    made = train.comparison(rows.where("event_id % 10 < 8"), rows.where("event_id % 10 >= 8").drop("fold"), thresholds, "label_id")
+    return rounded(made, *(c for c in made.columns if c[:3] in ("cv_", "tes")))
+
+
+@query(COMPARED.replace("\nselect c.model,", "\n, compared as (select c.model,") + ") select model, row_number() over (order by test_optimized_f1 desc, model) as rank, test_optimized_f1 from compared", "scored")
+def ranked_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.ranked_models(model_comparison(spark, sf_dir)).select("model", F.col("rank").cast("long").alias("rank"), "test_optimized_f1")
+
+
 MEDIANS = ("random_forest_probability", "gradient_boosting_probability", "tier1_probability", "bidirectional_first_seen_ms", "bidirectional_packets", "src_port", "label_id")
 
 
@@ -502,6 +561,15 @@ def rotated_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.read_logs(spark, folder)["conn"].select("uid", "ts_ms", "orig_h", "resp_p", "proto", "resp_h")
 
 
+@query("select page_id, sha256(html || chr(10)) as sha256, strlen(html) + 1 as size from pages")
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An inventory of files that hold a page each; those beyond a few kilobytes are read in pieces."""
+    folder = f"{scratch_root(spark).rstrip('/')}/pages-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "pages").select("page_id", "html").repartition("page_id").write.partitionBy("page_id").text(folder)
+    found = inventory.files(spark, folder, whole=2048).where(F.col("path").contains("page_id="))
+    return found.select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long").alias("page_id"), "sha256", "size")
+
+
 # Graph
 
 
@@ -555,24 +623,41 @@ def flow_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_tables(spark, sf_dir)["flows"].select("event_id", "cluster_id", "cluster_endpoint_count", "cluster_edge_count", "src_endpoint_degree", "dst_endpoint_degree", "dst_is_private")
 
 
-BIGGEST = "(select cluster_id from clusters where cluster_id is not null order by suspicious_flow_count desc, mean_consensus_score desc, endpoint_count desc, cluster_id limit 1)"
-
-
-@query(
-    """select endpoint_a, endpoint_b, suspicious_flow_count from edges where endpoint_a in (select endpoint from shown) and endpoint_b in (select endpoint from shown)""",
-    "clusters",
-)
+@query("select endpoint_a, endpoint_b, suspicious_flow_count from edges where endpoint_a in (select endpoint from shown) and endpoint_b in (select endpoint from shown)", "shown")
 def graph_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.view(graph_tables(spark, sf_dir))["edges"].select("endpoint_a", "endpoint_b", "suspicious_flow_count")
 
 
-_SQL["graph_view"] = _SQL["graph_view"].replace("\nselect endpoint_a, endpoint_b, suspicious_flow_count from edges where", f",\nshown as (select endpoint from nodes where cluster_id = {BIGGEST} order by suspicious_flow_count desc, unique_neighbors desc, max_incident_score desc, endpoint limit 160)\nselect endpoint_a, endpoint_b, suspicious_flow_count from edges where")
+def decorated(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    shown = graph.view(graph_tables(spark, sf_dir))
+    return graph.decorate(shown["nodes"], shown["edges"], report.endpoint_catalogue(tiered(spark, sf_dir)))
 
 
-@query()
+SLUG = "trim(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '-')"
+
+
+@query(
+    f"""select id, name, type, case when rank <= 8 or type <> 'public' then name else '' end as label, service_label, suspicious_flow_count, unique_neighbors, max_incident_score, size
+from (select {SLUG.format("c.display_name")} as id, c.display_name as name, c.dominant_family as service_label, s.suspicious_flow_count, s.unique_neighbors, s.max_incident_score,
+    case when s.is_private and s.unique_neighbors > 10 then 'hub' when s.is_private then 'private' else 'public' end as type,
+    round(greatest(8.0, 12 + 28 * sqrt(s.suspicious_flow_count / greatest(max(s.suspicious_flow_count) over (), 1))), 2) as size,
+    row_number() over (order by s.suspicious_flow_count desc, s.unique_neighbors desc, s.endpoint) as rank
+  from shown s join catalogue c on s.endpoint = c.endpoint)""",
+    "shown",
+    "catalogue",
+)
 def graph_decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = graph.view(graph_tables(spark, sf_dir))
-    return graph.decorate(shown["nodes"], shown["edges"], report.endpoint_catalogue(tiered(spark, sf_dir)))["nodes"]
+    return decorated(spark, sf_dir)["nodes"]
+
+
+@query(
+    f"""select {SLUG.format("a.display_name")} as source, {SLUG.format("b.display_name")} as target, suspicious_flow_count as weight, round(mean_consensus_score, 6) as score
+from edges join catalogue a on endpoint_a = a.endpoint join catalogue b on endpoint_b = b.endpoint where endpoint_a in (select endpoint from shown) and endpoint_b in (select endpoint from shown)""",
+    "shown",
+    "catalogue",
+)
+def graph_decorated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(decorated(spark, sf_dir)["edges"], "score")
 
 
 # Reports
@@ -696,6 +781,41 @@ def platform_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.platform_counts(table(spark, sf_dir, "orders"), "o_custkey")
 
 
+@query(
+    """select c.display_name as endpoint, n.cluster_id, c.role, c.dominant_family as service_label, n.suspicious_flow_count, n.unique_neighbors, round(n.risk_mass, 2) as risk_mass
+from (select * from nodes order by suspicious_flow_count desc, unique_neighbors desc, max_incident_score desc, endpoint limit 8) n join catalogue c on n.endpoint = c.endpoint""",
+    "nodes",
+    "catalogue",
+)
+def decorated_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.decorated_endpoints(graph_tables(spark, sf_dir)["nodes"], report.endpoint_catalogue(tiered(spark, sf_dir)))
+
+
+@query(
+    """select part, row_number() over (partition by part order by k1 nulls last, k2 nulls last) - 1 as place, cast(value as varchar) as value from (
+  select 'kpis' as part, null as k1, name as k2, to_json({'name': name, 'value': value}) as value from (
+    select unnest([{'name': 'flows', 'value': count(*)}, {'name': 'candidates', 'value': cast(count_if(tier1_pass) as bigint)}, {'name': 'alerts', 'value': cast(count_if(tier2_pass) as bigint)}, {'name': 'high_alerts', 'value': cast(count_if(alert_level = 'high') as bigint)}, {'name': 'captures', 'value': count(distinct capture_id)}, {'name': 'windows', 'value': count(distinct window_id)}], recursive := true) from tiered)
+  union all select 'trend', min(window_start_ms), window_id, to_json({'window_id': window_id, 'window_start_ms': min(window_start_ms), 'tls': cast(count_if(protocol_family = 'tls') as bigint), 'quic': cast(count_if(protocol_family = 'quic') as bigint)}) from tiered where window_id is not null group by window_id
+  union all select 'timeline', min(window_start_ms), window_id, to_json({'window_id': window_id, 'window_start_ms': min(window_start_ms), 'candidate_flows': cast(count_if(tier1_pass) as bigint), 'suspicious_flows': cast(count_if(tier2_pass) as bigint), 'high_alerts': cast(count_if(alert_level = 'high') as bigint)}) from tiered group by window_id)""",
+    "tiered",
+)
+def snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts that grow with captures and time, as rows in their order."""
+    rows = tiered(spark, sf_dir)
+    parts = {"kpis": report.kpi_strip(rows), "trend": report.protocol_trend(rows).drop("tls_share"), "timeline": report.alert_timeline(rows).drop("mean_score", "label", "conversion_rate")}
+    return report.snapshot_rows(parts)
+
+
+@query(
+    """select warning from (
+  select 1 as k, 'a class comes from fewer than two captures, so row splits overestimate generalization' as warning where (select min(n) from (select count(distinct capture_id) as n from flows group by label_id)) < 2
+  union all select 2, 'classes are unequal, so thresholds and precision-recall figures tell more than accuracy' where (select max(n) / greatest(min(n), 1) from (select count(*) as n from flows group by label_id)) > 1.5)""",
+    "flows",
+)
+def class_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(w,) for w in report.class_risks(view(spark, sf_dir, "flows"), "label_id")], "warning string")
+
+
 # Links
 
 LINKS = r"""select page_id, url as page_url, href, case when regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') then href when href like '//%' then regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*:)', 1) || href when href like '/%' then regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1) || href
@@ -782,6 +902,14 @@ def crawl_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.crawled_captures(listed, links.frontier(listed, ARCHIVE, exclude="^r3$", max_pages=1000), ARCHIVE)
 
 
+@query("select strftime(min(o_orderdate), '%Y-%m-%d') as date, 'http://archive.example/d/' || o_custkey || '/' as url from orders group by o_custkey having min(o_orderdate) >= timestamp '1994-01-01'")
+def dated_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of dated addresses in texts, one text a customer."""
+    lines = F.concat_ws(" ", F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("see http://other.example/x or"), F.concat(F.lit("http://archive.example/d/"), "o_custkey", F.lit("/")))
+    texts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.collect_list(lines), "\n").alias("text"))
+    return links.dated_datasets(texts, "http://archive.example/d/", since="1994-01-01")
+
+
 @query("select distinct label_id, case label_id when 1 then 'malicious' else 'benign' end as label from flows", "flows")
 def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = view(spark, sf_dir, "flows").withColumn("label", F.when(F.col("label_id") == 1, "malicious").otherwise("benign"))
@@ -803,7 +931,7 @@ def prepared_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def dashboard_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialize(tiered(spark, sf_dir))
-    return report.snapshot(ways.dashboard(rows, graph.build(detect.suspicious(rows)), "event_id"))
+    return report.snapshot_rows(ways.dashboard(rows, graph.build(detect.suspicious(rows)), "event_id"))
 
 
 @query()
@@ -916,6 +1044,15 @@ def stream_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows")
 
 
+@query("select cluster_id, window_id, count(*) as suspicious_flow_count, round(avg(tier2_consensus_score), 6) as mean_consensus_score, count(distinct src_ip) as unique_src_endpoints, count(distinct dst_ip) as unique_dst_endpoints from labelled group by all", "labelled")
+def stream_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of the graph that a stream of arrivals commits with its other tables."""
+    folder = materialize(tiered(spark, sf_dir)).inputFiles()[0].rsplit("/", 1)[0]
+    root = f"{scratch_root(spark).rstrip('/')}/a-{uuid.uuid4().hex}"
+    arrivals.run_arrivals(streams.read_flows(spark, folder, spark.read.parquet(folder).schema), arrivals.scored_tables(lambda rows: rows), f"{root}/tables", f"{root}/state")
+    return rounded(arrivals.read_arrivals(spark, f"{root}/tables", "windows").drop("batch"), "mean_consensus_score")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -47,11 +47,14 @@ def score_capture(merged: DataFrame, name: str, capture_id: str, order: Sequence
     return {"scored": scored, **graph.build(detect.suspicious(scored), least)}
 
 
-def dashboard(tiered: DataFrame, tables: Mapping[str, DataFrame], key: str) -> dict[str, DataFrame]:
-    """All report tables of a scored table and its graph; ``tiered`` should be materialized, since each part reads it."""
+def dashboard(tiered: DataFrame, tables: Mapping[str, DataFrame], key: str, alias_key: bytes | None = None) -> dict[str, DataFrame]:
+    """All report tables of a scored table and its graph; ``tiered`` should be materialized, since each part reads it.
+
+    Addresses that have no alias are told by their hash under ``alias_key``.
+    """
     catalogue = materialize(report.endpoint_catalogue(tiered))
     shown = graph.view(dict(tables))
-    decorated = graph.decorate(shown["nodes"], shown["edges"], catalogue)
+    decorated = graph.decorate(shown["nodes"], shown["edges"], catalogue, key=alias_key)
     return {
         "overview": report.overview(tiered),
         "kpis": report.kpi_strip(tiered),

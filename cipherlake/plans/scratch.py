@@ -50,12 +50,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path that Spark can open, and the path in it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`materialize`."""
-    spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        files, path = file_system(df.sparkSession, file)
+        files.delete(path.getParent(), True)
 
 
 def small(df: DataFrame, bound: int = BROADCAST_CELLS) -> DataFrame:

@@ -2,16 +2,54 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cipherlake.functions.expr import artifact_type, numeric
 
+#: Bytes of a file that Spark reads into one row, and of a piece of a longer one.
+WHOLE, PIECE = 64 << 20, 4 << 20
+
+
+def opened(path: str) -> pa.NativeFile:
+    """A file that Spark listed, as a stream."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_stream("/" + path.removeprefix("file:").lstrip("/"))
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_stream(inner)
+
+
+def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``path, sha256, length, modificationTime`` of listed files, each read in pieces."""
+    for batch in batches:
+        told = []
+        for path in batch.column(0).to_pylist():
+            digest = hashlib.sha256()
+            with opened(path) as stream:
+                while piece := stream.read(PIECE):
+                    digest.update(piece)
+            told.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told, pa.string()), batch.column(1), batch.column(2)], ["path", "sha256", "length", "modificationTime"])
+
+
+def files(spark: SparkSession, folder: str, stage: str = "", whole: int = WHOLE) -> DataFrame:
+    """``stage, path, sha256, size, modified`` of every file under a folder.
 
-def files(spark: SparkSession, folder: str, stage: str = "") -> DataFrame:
-    """``stage, path, sha256, size, modified`` of every file under a folder."""
+    Files of at most ``whole`` bytes go through Spark's reader, one to a row.
+    Longer ones, of any size, are only listed by it, dealt to tasks by their
+    paths, and read there in pieces, so memory doesn't follow their size.  For
+    that the tasks must reach them by a path that Arrow's file systems open.
+    """
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return read.select(F.lit(stage).alias("stage"), "path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    short = read.where(F.col("length") <= whole).select("path", F.sha2("content", 256).alias("sha256"), "length", "modificationTime")
+    long = read.where(F.col("length") > whole).select("path", "length", "modificationTime").repartition("path")
+    both = short.union(long.mapInArrow(hashed, "path string, sha256 string, length long, modificationTime timestamp"))
+    return both.select(F.lit(stage).alias("stage"), "path", "sha256", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
 def with_parents(entries: DataFrame, parents: DataFrame) -> DataFrame:
@@ -51,9 +89,14 @@ def json_safe(table: DataFrame) -> DataFrame:
     return table.select(*(numeric(F.col(c)).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in table.dtypes))
 
 
-def write_table(table: DataFrame, path: str, by: str | None = None) -> None:
+def write_table(table: DataFrame, path: str, by: str | None = None, format: str = "parquet") -> None:
+    """A stage's table as Parquet, or as CSV with a header, where lists are written as JSON; by partitions of one column if it is named."""
+    if format == "csv":
+        nested = [c for c, kind in table.dtypes if kind.startswith(("array", "struct", "map"))]
+        table = table.withColumns({c: F.to_json(c) for c in nested}) if nested else table
     writer = table.write.mode("overwrite")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    writer = writer.partitionBy(by) if by else writer
+    writer.csv(path, header=True, escape='"') if format == "csv" else writer.parquet(path)
 
 
 def write_json(table: DataFrame, path: str) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cipherlake.plans.scratch import materialize, small
+from cipherlake.plans.scratch import file_system, materialize, small
 
 CORE_LOGS = ("conn", "ssl", "tls", "x509", "quic", "http")
 UNSET = ("-", "(empty)")
@@ -119,11 +119,10 @@ def write_log(rows: DataFrame, folder: str, log: str, format: str = "tsv") -> No
         text = rows.select(F.concat_ws("\t", *(F.coalesce(escaped(c), F.lit(UNSET[0])) for c in rows.columns)).alias("value")).mapInArrow(headed, "value string")
     spark, part = rows.sparkSession, f"{folder.rstrip('/')}/.{uuid.uuid4().hex}"
     text.write.text(part)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    files = path(part).getFileSystem(spark._jsc.hadoopConfiguration())
-    for n, status in enumerate(s for s in files.listStatus(path(part)) if s.getPath().getName().startswith("part-")):
-        files.rename(status.getPath(), path(folder, f"{log}.{part[-6:]}-{n:05}.log"))
-    files.delete(path(part), True)
+    files, written = file_system(spark, part)
+    for n, status in enumerate(s for s in files.listStatus(written) if s.getPath().getName().startswith("part-")):
+        files.rename(status.getPath(), file_system(spark, f"{folder.rstrip('/')}/{log}.{part[-6:]}-{n:05}.log")[1])
+    files.delete(written, True)
 
 
 def tls_log(logs: dict[str, DataFrame]) -> DataFrame | None:

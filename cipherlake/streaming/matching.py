@@ -86,18 +86,19 @@ def nearest_connections(flows: DataFrame, conn: DataFrame, tolerance_ms: int = 2
     """
     bucket = max(bucket_ms or 64 * tolerance_ms, 2 * tolerance_ms, 1)
     kind = flows.schema[flow_id].dataType
-    keys = [F.col(k).cast("string" if k.endswith("ip") else "long").alias(k) for k in KEYS]
+    # One key without nulls; a row that lacks an end has a key that no connection has.
+    key = F.concat_ws("|", *(F.coalesce(F.col(k).cast("string" if k.endswith("ip") else "long").cast("string"), F.lit("?")) for k in KEYS), "stretch")
     timed = lambda df, ms: df.withColumn("at", F.timestamp_millis(ms)).withWatermark("at", late)
     stretch = lambda ms: F.floor(ms / bucket)
 
     def rows(df: DataFrame, is_flow: bool, the_id: Column, uid: Column, ms: str, places: Column) -> DataFrame:
         # Ids go through the state as text, since numbers with nulls among them become fractions in pandas.
-        return timed(df, F.col(ms)).where("at is not null").select(*keys, F.lit(is_flow).alias("is_flow"), the_id.cast("string").alias("flow_id"), uid.alias("uid"), F.col(ms).cast("long").alias("ms"), F.explode(places).alias("stretch"), "at")
+        return timed(df, F.col(ms)).where("at is not null").withColumn("stretch", F.explode(places)).select(key.alias("key"), F.lit(is_flow).alias("is_flow"), the_id.cast("string").alias("flow_id"), uid.alias("uid"), F.col(ms).cast("long").alias("ms"), "at")
 
     start = "bidirectional_first_seen_ms"
     left = rows(flows, True, F.col(flow_id), F.lit(None).cast("string"), start, F.array(stretch(F.col(start))))
     zone = F.sequence(stretch(F.col("ts_ms") - tolerance_ms), stretch(F.col("ts_ms") + tolerance_ms))
     right = rows(both_orientations(conn), False, F.lit(None), F.col("uid"), "ts_ms", zone)
-    grouped = left.union(right).groupBy(*KEYS, "stretch")
+    grouped = left.union(right).groupBy("key")
     found = grouped.transformWithStateInPandas(Nearest(tolerance_ms), "flow_id string, flow_ms long, uid string, ts_ms long", "Append", "EventTime")
     return found.withColumn("flow_id", F.col("flow_id").cast(kind))

@@ -117,7 +117,7 @@ def test_nearest_connection_in_keyed_state(spark, tmp_path):
         own.conf.set(k, v)
     rng = random.Random(9)
     flows = [(i if i % 5 else None, rng.choice("ab"), rng.choice(["c", "d", None]), 1, rng.choice([2, 3]), rng.choice([6, 17, None]), 1000 + rng.randrange(300) * 1000) for i in range(260)]
-    conn = [(f"C{i:03}", 1000 + rng.randrange(600) * 500, rng.choice("cd"), rng.choice("ab"), rng.choice([2, 3]), 1, rng.choice(["tcp", "udp", "gre", None])) for i in range(500)]
+    conn = [(f"C{i:04}", 1000 + rng.randrange(600) * 500, rng.choice("cd"), rng.choice("ab"), rng.choice([2, 3]), 1, rng.choice(["tcp", "udp", "gre", None])) for i in range(2000)]
     names = "event_id long, src_ip string, dst_ip string, src_port long, dst_port long, protocol long, bidirectional_first_seen_ms long"
     f = spark.createDataFrame(flows, names)
     c = spark.createDataFrame(conn, "uid string, ts_ms long, orig_h string, resp_h string, orig_p int, resp_p int, proto string")

@@ -134,10 +134,31 @@ def endpoint_catalogue(flows: DataFrame) -> DataFrame:
     for private in (True, False):
         one = dense_numbers(keyed.where(F.col("is_private") == private), ["_o"], "_n")
         numbered = one if numbered is None else numbered.unionByName(one)
+    return aliased(numbered).drop("_o", "_n")
+
+
+def aliased(numbered: DataFrame) -> DataFrame:
+    """Adds the names and the role of addresses by ``is_private`` and their number ``_n``."""
     two = lambda c: F.when(c < 100, F.lpad(c.cast("string"), 2, "0")).otherwise(c.cast("string"))
     greek = F.coalesce(F.get(F.array(*map(F.lit, GREEK)), F.col("_n").cast("int")), F.concat(F.lit("Node "), two(F.col("_n") + 1)))
     name = F.when(F.col("is_private"), F.concat(F.lit("Internal Gateway "), greek)).otherwise(F.concat(F.lit("External Node "), two(F.col("_n") + 1)))
-    return numbered.withColumns({"display_name": name, "alias_id": expr.slug(name), "role": F.when(F.col("is_private"), "Internal hub").otherwise("External peer")}).drop("_o", "_n")
+    return numbered.withColumns({"display_name": name, "alias_id": expr.slug(name), "role": F.when(F.col("is_private"), "Internal hub").otherwise("External peer")})
+
+
+def names_of(flows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The catalogue's ``endpoint, display_name, alias_id, role`` of a few addresses ``wanted (endpoint)``.
+
+    Their numbers are counts of the addresses before them, all made in one
+    aggregate, so nothing is sorted or numbered for the others.
+    """
+    ends = flows.select(F.explode(F.array("src_ip", "dst_ip")).alias("endpoint")).where(expr.is_present(F.col("endpoint")))
+    traffic = ends.groupBy(F.trim("endpoint").alias("endpoint")).agg(F.count("*").alias("count"))
+    traffic = materialize(traffic.withColumn("is_private", F.coalesce(expr.is_private_address(F.col("endpoint")), F.lit(False))))
+    mine = traffic.join(F.broadcast(wanted.select("endpoint").distinct()), "endpoint").collect()
+    ahead = lambda r: (F.col("is_private") == r["is_private"]) & ((F.col("count") > r["count"]) | ((F.col("count") == r["count"]) & (F.col("endpoint") < r["endpoint"])))
+    numbers = traffic.agg(*(F.count_if(ahead(r)) for r in mine)).first() if mine else ()
+    known = [(r["endpoint"], r["is_private"], n) for r, n in zip(mine, numbers, strict=True)]
+    return aliased(flows.sparkSession.createDataFrame(known, "endpoint string, is_private boolean, _n long")).drop("_n", "is_private")
 
 
 def route_label(role: Column, display_name: Column, family: Column) -> Column:
@@ -160,13 +181,19 @@ def top_distribution(rows: DataFrame, column: str, limit: int, total: int) -> Da
     return rows.where(text != "").groupBy(text.alias("name")).agg(F.count("*").alias("count")).orderBy(F.desc("count"), "name").limit(limit).withColumn("share", rate("count", F.lit(total)))
 
 
-def spotlight(tiered: DataFrame, catalogue: DataFrame, key: str, limit: int = 10) -> DataFrame:
-    """The strongest flow of each window, pair of addresses and service."""
+def spotlight(tiered: DataFrame, catalogue: DataFrame | None, key: str, limit: int = 10) -> DataFrame:
+    """The strongest flow of each window, pair of addresses and service.
+
+    Without a catalogue only the addresses of the flows shown are named.
+    """
     a, b = expr.endpoints(F.col("src_ip"), F.col("dst_ip"))
     rows = with_services(tiered).withColumns({"_a": a, "_b": b})
     strength = [F.desc_nulls_last("tier2_consensus_score"), F.desc_nulls_last("bidirectional_packets"), F.asc(key)]
     first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("window_id", "_a", "_b", "service_family").orderBy(*strength))).where("_n = 1")
     top = first.orderBy(*strength).limit(limit)
+    if catalogue is None:
+        top = materialize(top)
+        catalogue = names_of(tiered, top.select(F.explode(F.array("src_ip", "dst_ip")).alias("endpoint")))
     for side in ("src", "dst"):
         named = catalogue.select(F.col("endpoint").alias(f"{side}_ip"), F.col("role").alias(f"{side}_role"), F.col("display_name").alias(f"{side}_name"))
         top = F.broadcast(top).join(named, f"{side}_ip", "left")

@@ -286,6 +286,33 @@ def capture_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.capture_health(output).select("capture_id", "packets", "status")
 
 
+@query(
+    """select event_type as capture_id, count(*) as packets, case when event_type in ('click', 'view') then 'fail' else 'pass' end as status from events group by event_type
+union all select event_type || ' empty', 0, 'fail' from events group by event_type union all select event_type || ' unread', null, 'warn' from events group by event_type"""
+)
+def capture_health_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of which some are reported as cut short, have no packets, or weren't read."""
+    counted = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("packets"))
+    said = F.when(F.col("event_type") == "click", "The file appears to have been CUT SHORT in the middle of a packet.").when(F.col("event_type") == "view", "error: middle of a packet").otherwise("read to its end")
+    row = lambda name, message, packets: F.struct(name.alias("capture_id"), message.alias("message"), packets.cast("long").alias("packets"))
+    none = F.lit(None).cast("string")
+    shown = F.array(row(F.col("event_type"), said, F.col("packets")), row(F.concat("event_type", F.lit(" empty")), F.lit(""), F.lit(0)), row(F.concat("event_type", F.lit(" unread")), none, none))
+    return gates.capture_health(counted.select(F.explode(shown).alias("x")).select("x.*")).select("capture_id", "packets", "status")
+
+
+@query(
+    """select event_id, event_id % 4 in (0, 1) as flag, case when event_id % 3 = 0 then cast(bidirectional_packets as double) else -1.0 end as packets, coalesce(requested_server_name, '') as host from flows""",
+    "flows",
+)
+def text_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Booleans, numbers and names that were written as text in several ways."""
+    flows = view(spark, sf_dir, "flows")
+    pick = lambda *words: F.element_at(F.array(*(F.lit(w) for w in words)), (F.col("event_id") % len(words)).cast("int") + 1)
+    number = F.when(F.col("event_id") % 3 == 0, F.col("bidirectional_packets").cast("string")).otherwise(pick("n/a", "NaN", "inf", ""))
+    host = F.coalesce(F.concat(F.lit(" "), "requested_server_name", F.lit(" ")), pick("nan", " None", "NULL", " "))
+    return flows.select("event_id", expr.truthy(pick(" Yes", "TRUE", "0", "maybe")).alias("flag"), expr.number_or(number, -1.0).alias("packets"), expr.clean_text(host).alias("host"))
+
+
 # Canonical table
 
 
@@ -746,7 +773,7 @@ def endpoint_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def spotlight_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tiered(spark, sf_dir)
-    return rounded(report.spotlight(rows, report.endpoint_catalogue(rows), "event_id"), "score").select("event_id", "capture_id", "service", "path", "score", "alert_level", "packets")
+    return rounded(report.spotlight(rows, None, "event_id"), "score").select("event_id", "capture_id", "service", "path", "score", "alert_level", "packets")
 
 
 @query(

@@ -44,6 +44,7 @@ def files(spark: SparkSession, folder: str, stage: str = "", whole: int = WHOLE)
     Longer ones, of any size, are only listed by it, dealt to tasks by their
     paths, and read there in pieces, so memory doesn't follow their size.  For
     that the tasks must reach them by a path that Arrow's file systems open.
+    Empty files aren't listed, since Spark's reader leaves them out.
     """
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     short = read.where(F.col("length") <= whole).select("path", F.sha2("content", 256).alias("sha256"), "length", "modificationTime")

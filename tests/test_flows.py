@@ -1,5 +1,8 @@
 """Operators on small tables with known results."""
 
+import hashlib
+import hmac
+import json
 import random
 import re
 
@@ -285,6 +288,14 @@ def test_graph(spark):
     made = graph.decorate(shown["nodes"], shown["edges"], catalogue)
     text = "".join(made["nodes"].toJSON().collect() + made["edges"].toJSON().collect())
     assert "10.0.0." not in text and "8.8.8.8" not in text
+    # Without a catalogue neither an address nor its plain hash is told.
+    hidden = graph.decorate(shown["nodes"], shown["edges"], catalogue.limit(0), key=b"k" * 100)
+    told = "".join(hidden["nodes"].toJSON().collect() + hidden["edges"].toJSON().collect())
+    for address in [r["endpoint"] for r in shown["nodes"].collect()]:
+        assert address not in told and hashlib.sha256(address.encode()).hexdigest() not in told
+        assert hmac.new(b"k" * 100, address.encode(), "sha256").hexdigest() in told
+    drawn = [graph.decorate(shown["nodes"], shown["edges"], catalogue.limit(0))["nodes"].select("id").collect() for _ in range(2)]
+    assert not set(drawn[0]) & set(drawn[1])
     empty = graph.build(detect.suspicious(detect.apply_rules(scored(spark))).limit(0))
     assert all(t.count() == 0 for t in empty.values())
     few = graph.build(detect.suspicious(detect.apply_rules(scored(spark))), least=2)
@@ -301,6 +312,13 @@ def test_reports(spark):
     import json
 
     assert {k for k in json.loads(text)} == {"kpis", "funnel"}
+    rows = report.snapshot_rows({"kpis": report.kpi_strip(tiers), "timeline": report.alert_timeline(tiers)}).collect()
+    kpis = {r["place"]: json.loads(r["value"])["name"] for r in rows if r["part"] == "kpis"}
+    assert [kpis[i] for i in range(len(kpis))] == sorted(kpis.values()) and len(kpis) == 6
+    named = report.names_of(tiers, tiers.select(F.col("src_ip").alias("endpoint")).union(spark.createDataFrame([("10.99.99.99",)], "endpoint string")))
+    full = report.endpoint_catalogue(tiers).select(*named.columns)
+    assert set(named.collect()) == set(full.join(tiers, F.col("endpoint") == F.col("src_ip"), "left_semi").collect()) and named.count() > 0
+    assert report.names_of(tiers, tiers.select(F.lit("x").alias("endpoint"))).count() == 0
     labelled = tiers.withColumn("label", F.when(F.col("event_id") == 1, "benign").otherwise("malicious"))
     assert len(report.class_risks(labelled)) == 2
     models = spark.createDataFrame([("gaussian_nb", 0.7), ("random_forest", 0.9)], "model string, test_optimized_f1 double")
@@ -391,3 +409,35 @@ def test_scope_of_links(spark):
     assert path(links.in_scope(df, base, exclude="^a$")) == {"b/c/", "a/f.pcap", "f.cap", "", "a b/"}
     long = [r["rel_path"] for r in links.capture_links(df, base).collect() if len(r["rel_path"]) > 100]
     assert [len(x) for x in long] == [1_100_007]
+
+
+def test_written_snapshot_keeps_its_order(spark, tmp_path):
+    """Many windows over many files: the lines of a part's files, by their names, are in order."""
+    rng = random.Random(2)
+    windows = [(None if i % 50 == 0 else rng.randrange(2000), f"w{i:05}", i) for i in range(3000)]
+    df = spark.createDataFrame(windows, "window_start_ms long, window_id string, n long").repartition(7)
+    report.write_snapshot({"trend": df, "notes": df.limit(1).select("n")}, str(tmp_path / "s"))
+    lines = [json.loads(x) for f in sorted((tmp_path / "s/part=trend").glob("*.txt")) for x in f.read_text().splitlines()]
+    assert [(x["window_start_ms"], x["window_id"]) for x in lines] == sorted(((t, w) for t, w, _ in windows), key=lambda k: (k[0] is None, k[0] or 0, k[1]))
+    assert len(list((tmp_path / "s/part=notes").glob("*.txt"))) == 1
+
+
+def test_compared_models_and_segments(spark):
+    """Segmented running sums equal those of each segment alone, also with ties, one class and empty folds."""
+    rng = random.Random(6)
+    rows = [(m, i % 3, 1 if m == "one" and i % 3 == 0 else int(rng.random() < 0.4), round(rng.random(), 1)) for m in ("one", "two") for i in range(90)] + [("two", 1, None, 0.5), ("two", 1, 1, None)]
+    df = spark.createDataFrame(rows, "model string, fold int, y int, score double")
+    got = {(r["model"], r["fold"]): (r["roc_auc"], r["average_precision"]) for r in metrics.ranking_metrics(df, "y", "score", ["model", "fold"]).collect()}
+    assert len(got) == 6 and got["one", 0][0] is None
+    for (model, fold), values in got.items():
+        own = metrics.ranking_metrics(df.where((F.col("model") == model) & (F.col("fold") == fold)), "y", "score").first()
+        assert all(a == b or a == pytest.approx(b, rel=1e-12) for a, b in zip(values, own, strict=True))
+    thresholds = spark.createDataFrame([("one", "f1", 0.3), ("two", "f1", 0.7)], "model string, threshold_metric string, selected_threshold double")
+    made = {r["model"]: r for r in train.comparison(df, df.drop("fold"), thresholds, "y").collect()}
+    for model, t in (("one", 0.3), ("two", 0.7)):
+        mine = df.where(F.col("model") == model)
+        for name, at in (("default", 0.5), ("optimized", t)):
+            want = metrics.binary_metrics(mine.where("y is not null"), "y", F.col("score") >= at).first()
+            assert all(made[model][f"test_{name}_{m}"] == pytest.approx(want[m]) for m in ("accuracy", "f1", "specificity", "balanced_accuracy"))
+        folds = [metrics.binary_metrics(mine.where((F.col("fold") == k) & F.col("y").isNotNull()), "y", F.col("score") >= 0.5).first()["f1"] for k in range(3)]
+        assert made[model]["cv_f1_mean"] == pytest.approx(sum(folds) / 3)

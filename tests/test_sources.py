@@ -3,12 +3,13 @@ import json
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cipherlake.operators import asof, gates
 from cipherlake.sources import inventory, logs
+from cipherlake.streaming import arrivals, matching
 from cipherlake.streaming import flows as streams
-from cipherlake.streaming import matching
 
 
 def test_logs(spark, tmp_path):
@@ -76,6 +77,76 @@ def test_inventory_and_reports(spark, tmp_path):
     assert best.count() == 13 and best.where("model = 'rf' and feature = 'z'").isEmpty()
 
 
+def test_files_of_any_size_are_hashed_in_pieces(spark, tmp_path):
+    """A sparse file beyond what one row can hold, short ones beside it, and names that need care."""
+    size = (2 << 30) + 12_345
+    with (tmp_path / "large.bin").open("wb") as f:
+        f.truncate(size)
+        f.seek(size - 3)
+        f.write(b"end")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub/a b%20c.txt").write_bytes(b"x" * 5000)
+    (tmp_path / "empty").write_bytes(b"")
+    want = {}
+    for path in (p for p in tmp_path.rglob("*") if p.is_file() and p.stat().st_size):
+        with path.open("rb") as f:
+            want[path.name] = (hashlib.file_digest(f, "sha256").hexdigest(), path.stat().st_size)
+    for whole in (inventory.WHOLE, 100):
+        got = inventory.files(spark, str(tmp_path), "raw", whole).collect()
+        assert {r["path"].rsplit("/", 1)[-1].replace("%2520", "%20"): (r["sha256"], r["size"]) for r in got} == want and {r["stage"] for r in got} == {"raw"}
+
+
+def test_provenance_tables_and_sinks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.pcap").write_bytes(b"abc")
+    found = inventory.files(spark, str(tmp_path / "in"))
+    entries = spark.createDataFrame([("flows.csv", found.first()["path"]), ("other.csv", "gone"), ("raw.csv", None)], "path string, parent_path string")
+    parents = {r["path"]: r["parent_sha256"] for r in inventory.with_parents(entries, found).collect()}
+    assert parents == {"flows.csv": hashlib.sha256(b"abc").hexdigest(), "other.csv": None, "raw.csv": None}
+    df = spark.createDataFrame([(1, 'quo"te, and\nline', ["x", "y"], "a"), (2, None, [], "b")], "id int, note string, tags array<string>, kind string")
+    inventory.write_table(df, str(tmp_path / "csv"), format="csv")
+    back = spark.read.csv(str(tmp_path / "csv"), header=True, multiLine=True, escape='"').orderBy("id").collect()
+    assert [(r["id"], r["note"], r["tags"]) for r in back] == [("1", 'quo"te, and\nline', '["x","y"]'), ("2", None, "[]")]
+    inventory.write_table(df, str(tmp_path / "by"), by="kind")
+    assert sorted(p.name for p in (tmp_path / "by").glob("kind=*")) == ["kind=a", "kind=b"] and spark.read.parquet(str(tmp_path / "by")).count() == 2
+    inventory.write_graph({"nodes": df.select("id"), "edges": df.select("id", "kind"), "clusters": df.limit(0)}, str(tmp_path / "graph"))
+    assert spark.read.json(str(tmp_path / "graph/edges")).count() == 2 and (tmp_path / "graph/clusters").is_dir()
+
+
+def test_arrivals_are_visible_together_or_not_at_all(spark, tmp_path, monkeypatch):
+    """A batch that dies between two tables isn't seen; run again it is, once, and repeating it changes nothing."""
+    names = "event_id long, src_ip string, dst_ip string, bidirectional_first_seen_ms long, tier1_pass boolean, random_forest_probability double, gradient_boosting_probability double, capture_id string, window_id string, protocol_family string, requested_server_name string"
+    rows = [(i, "10.0.0.1", f"8.8.8.{i}", 1000 * i, True, 0.9, 0.9, "c", "c:w0", "tls", "h") for i in range(6)]
+    df = spark.createDataFrame(rows, names)
+    source, root, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    tables = arrivals.scored_tables(lambda d: d)
+    stream = lambda: streams.read_flows(spark, source, df.schema)
+    df.where("event_id < 3").coalesce(1).write.parquet(source)
+    arrivals.run_arrivals(stream(), tables, root, state)
+    counts = lambda: {n: arrivals.read_arrivals(spark, root, n).count() for n in ("scored", "suspicious", "nodes", "edges", "clusters", "windows")}
+    first = counts()
+    assert first == {"scored": 3, "suspicious": 3, "nodes": 4, "edges": 3, "clusters": 1, "windows": 1}
+    df.where("event_id >= 3").coalesce(1).write.mode("append").parquet(source)
+
+    def dies(batch):
+        made = dict(tables(batch))
+        made["edges"] = made["edges"].withColumn("boom", F.raise_error(F.lit("killed")))
+        return made
+
+    with pytest.raises(Exception, match="killed"):
+        arrivals.run_arrivals(stream(), dies, root, state)
+    assert counts() == first
+    arrivals.run_arrivals(stream(), tables, root, state)
+    second = counts()
+    assert second == {"scored": 6, "suspicious": 6, "nodes": 8, "edges": 6, "clusters": 2, "windows": 2}
+    arrivals.write_arrival(df, 1, tables, root)
+    assert counts() == second and arrivals.read_arrivals(spark, root, "scored").where("batch = 1").count() == 3
+    with pytest.raises(RuntimeError, match="committed"):
+        arrivals.commit(spark, root, 1, "another")
+    assert counts() == second
+    assert arrivals.clear_attempts(spark, root, "nodes") == 1 and arrivals.clear_attempts(spark, root, "nodes") == 0 and counts() == second
+
+
 def test_streams_agree_with_batch(spark, tmp_path):
     def flow(i, ms):
         return (i, "10.0.0.1", "8.8.8.8", 1, 443, 6, ms, ms + 5, True, 0.9, 0.9, "c")

@@ -176,6 +176,25 @@ def test_repeated_passages(spark, docs):
     assert substring_dedup.repeated_passages(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size,edits", [(50, 0), (50, 1), (60, 2), (80, 2)])
+def test_edited_passages_are_found(spark, size, edits):
+    """Of planted pairs that have a paragraph of the least similarity, by brute force over aligned paragraphs, nearly all; no others."""
+    rng = random.Random(size + edits)
+    words = lambda n: [f"{rng.choice(VOCABULARY)}{rng.randrange(8)}" for _ in range(n)]
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, near = [], set()
+    for n in range(120):
+        passage, x, y = words(size), words(rng.randrange(30, 120)), words(rng.randrange(30, 120))
+        copy = changed(" ".join(passage), edits, n).split()
+        one, two = x + passage + words(60), y + copy + words(60)
+        rows += [(2 * n, " ".join(one)), (2 * n + 1, " ".join(two))]
+        windows = [(sets(one[len(x) + i :][:50]), sets(two[len(y) + i :][:50])) for i in range(-10, size - 40)]
+        if any(len(a & b) >= 0.75 * len(a | b) for a, b in windows):
+            near.add(2 * n)
+    got = {r["doc_id"] for r in substring_dedup.repeated_passages(frame(spark, rows)).where("not removed").collect()}
+    assert got <= near and len(near) > 40 and len(got) >= 0.95 * len(near)
+
+
 def test_repeated_passage_of_one_long_run(spark):
     """A short period repeated over more than 65,535 windows goes as a whole."""
     text = " ".join([prose(10, 3)] * 7000)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from cipherlake.llm.text import documents_of, lower_ascii, mix, shingles, slices, text_bytes, tune, word_hashes, word_spans
+from cipherlake.llm.text import documents_of, fresh, lower_ascii, mix, shingles, slices, text_bytes, tune, word_hashes, word_spans
 from cipherlake.plans.scratch import materialize
 
 WIDTH, SIMILARITY = 5, 0.75
@@ -227,7 +227,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, item: str = "item_id",
 
     def one_pass(docs: DataFrame, known: Items) -> DataFrame:
         # The text comes second, where `slices` looks for it.
-        plain = docs.select(F.lit(0).alias("__none"), F.col("text").cast("string").alias("__text"), *docs.columns)
+        none, its_text = fresh(docs, "none", "its_text")
+        plain = docs.select(F.lit(0).alias(none), F.col("text").cast("string").alias(its_text), *docs.columns)
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):

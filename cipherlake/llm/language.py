@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cipherlake.llm.text import slices, text_bytes, tune
+from cipherlake.llm.text import fresh, slices, text_bytes, tune
 from cipherlake.plans.scratch import materialize
 
 #: Bytes of a stretch, hidden units of each direction.
@@ -162,13 +162,14 @@ def fit(docs: DataFrame, usable: Column) -> tuple[list[str], dict[str, np.ndarra
     return languages, {k: np.frombuffer(got[k], np.float32).reshape(v.shape) for k, v in start(len(languages)).items()}
 
 
-def identified(docs: DataFrame, held_out: Column) -> DataFrame:
-    """Every row of ``docs`` with all its columns, and ``__lettered, __lang, __score``: whether it has a letter, its language and that one's probability."""
+def identified(docs: DataFrame, held_out: Column) -> tuple[DataFrame, list[str]]:
+    """Every row of ``docs`` with all its columns and three more: whether it has a letter, its language and that one's probability; and their names."""
+    lettered_as, lang_as, score_as, text_as = fresh(docs, "lettered", "language", "probability", "its_text")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = fit(named, ~F.coalesce(held_out, F.lit(False)))
     # The text comes second, where `slices` looks for it.
-    plain = docs.select(F.coalesce(F.col("text").cast("string").rlike(LETTER), F.lit(False)).alias("__lettered"), F.col("text").cast("string").alias("__text"), *docs.columns)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __lettered boolean, __lang string, __score double"
+    plain = docs.select(F.coalesce(F.col("text").cast("string").rlike(LETTER), F.lit(False)).alias(lettered_as), F.col("text").cast("string").alias(text_as), *docs.columns)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {lettered_as} boolean, {lang_as} string, {score_as} double"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 18):
@@ -187,16 +188,16 @@ def identified(docs: DataFrame, held_out: Column) -> DataFrame:
                 best = total.argmax(axis=1)
                 names = [languages[k] if ok else "und" for k, ok in zip(best, lettered, strict=True)]
                 score = np.where(lettered, np.minimum(total.max(axis=1), 1.0), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], batch.column(0), pa.array(names), pa.array(score)], [*batch.schema.names[2:], "__lettered", "__lang", "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], batch.column(0), pa.array(names), pa.array(score)], [*batch.schema.names[2:], lettered_as, lang_as, score_as])
 
-    return tune(plain).mapInArrow(apply, schema)
+    return tune(plain).mapInArrow(apply, schema), [lettered_as, lang_as, score_as]
 
 
 def predict(docs: DataFrame, held_out: Column) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row of ``docs (doc_id, text, lang)``."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    found = identified(named, held_out)
-    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    found, (_, lang, score) = identified(named, held_out)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(lang).alias("lang_pred"), F.col(score).alias("score"))
 
 
 def drop_unidentified(docs: DataFrame, held_out: Column, sure: float) -> DataFrame:
@@ -206,5 +207,5 @@ def drop_unidentified(docs: DataFrame, held_out: Column, sure: float) -> DataFra
     a letter go; where nothing is labelled, so that no language is known, all
     others stay.
     """
-    found = identified(docs, held_out)
-    return found.where(F.col("__lettered") & ((F.col("__lang") == "und") | (F.col("__score") >= sure))).select(*docs.columns)
+    found, (lettered, lang, score) = identified(docs, held_out)
+    return found.where(F.col(lettered) & ((F.col(lang) == "und") | (F.col(score) >= sure))).select(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cipherlake.llm.prefixes import links_across, runs
-from cipherlake.llm.text import band_keys, densify, documents_of, mix, ragged, slices, tune
+from cipherlake.llm.text import band_keys, densify, documents_of, fresh, mix, ragged, slices, tune
 from cipherlake.operators.components import connected_components
 from cipherlake.plans.scratch import materialize, small
 
@@ -31,8 +31,8 @@ WIDTH, SIMILARITY = 8, 0.8
 #: 10 bands of 3 of the 64 bins: of pairs just at 0.8 similarity 0.08 % share no bucket, at 0.85 0.007 %.
 BINS, BANDS, ROWS = 64, 10, 3
 KEYS = [f"key{k}" for k in range(BANDS)]
-#: A bucket of about ``HOT`` nodes, told by a sample of one node in ``RATE``, is split into ``SALTS`` parts.
-HOT, RATE, SALTS = 4096, 64, 64
+#: A bucket of about ``HOT`` nodes, told by a sample of one node in ``RATE``, is split into parts of about so many.
+HOT, RATE = 4096, 64
 #: Pairs that differ in more of the 64 one-bit samples aren't compared: five deviations above what 0.8 gives.
 DIFFERENT = 21
 #: Near pairs a node from which a bucket is dense.
@@ -172,10 +172,10 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def crowded(lines: DataFrame) -> DataFrame:
-    """``key, head`` of the buckets with about ``HOT`` nodes or more, and one node of each, another one in each bucket."""
+    """``key, head, parts`` of the buckets with about ``HOT`` nodes or more: one node of each, another one in each bucket, and how many parts it needs."""
     some = one_each(lines.where(F.pmod(F.xxhash64("node", F.lit(RATE)), F.lit(RATE)) == 0))
     counted = exploded(some).groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key").alias("order"), "node", "sketch")).alias("head"))
-    return counted.where(F.col("n") >= HOT // RATE).select("key", F.struct("head.node", "head.sketch").alias("head"))
+    return counted.where(F.col("n") >= HOT // RATE).select("key", F.struct("head.node", "head.sketch").alias("head"), F.ceil(F.col("n") * RATE / HOT + 1).cast("int").alias("parts"))
 
 
 def similar_lines(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
@@ -191,10 +191,10 @@ def similar_lines(docs: DataFrame, lines: DataFrame, similarity: float = SIMILAR
     keyed = exploded(one_each(lines))
     full = materialize(crowded(lines))
     part = F.xxhash64("key", "salt")
-    heads = full.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(part.alias("key"), "head.node", "head.sketch", F.lit(True).alias("head"))
-    salt = F.pmod(F.xxhash64("node", F.lit(SALTS)), F.lit(SALTS)).cast("int")
-    dealt = keyed.join(small(full.select("key", F.lit(True).alias("full"))), "key", "left").withColumn("salt", salt)
-    dealt = dealt.select(F.when(F.col("full"), part).otherwise(F.col("key")).alias("key"), "node", "sketch", F.lit(False).alias("head")).union(heads)
+    heads = full.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(part.alias("key"), "head.node", "head.sketch", F.lit(True).alias("head"))
+    salt = F.pmod(F.xxhash64("node", F.lit(HOT)), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = keyed.join(small(full.select("key", "parts")), "key", "left").withColumn("salt", salt)
+    dealt = dealt.select(F.when(F.col("parts").isNotNull(), part).otherwise(F.col("key")).alias("key"), "node", "sketch", F.lit(False).alias("head")).union(heads)
     sorted_ = dealt.repartition("key").sortWithinPartitions("key", F.desc("head"), F.xxhash64("node", "key"))
     near = materialize(sorted_.select("key", "node", "sketch").mapInArrow(compared, "src long, dst long, key long").distinct())
     pairs = materialize(near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
@@ -265,14 +265,16 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without repeated lines, plus ``lines_removed``.
+    """``docs`` without repeated lines, plus ``lines_removed``, which takes the place of a column of that name.
 
     A document that loses all lines it had goes; one that had none stays.
     """
-    gone = small(materialize(repeated_lines(docs, similarity).withColumnsRenamed({"doc_id": "__gone", "removed": "__removed"})))
-    joined = docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left")
-    left = F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains("__removed", k))
-    emptied = F.col("__removed").isNotNull() & ~F.exists(left, lambda line: F.trim(F.regexp_replace(line, r"\s+", " ")) != "")
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    removed = F.when(F.col("__removed").isNull(), 0).otherwise(F.size("__removed"))
-    return joined.where(~emptied).withColumn("lines_removed", removed).withColumn("text", text).drop("__gone", "__removed")
+    gone_id, numbers, emptied = fresh(docs, "gone", "numbers", "emptied")
+    gone = small(materialize(repeated_lines(docs, similarity).withColumnsRenamed({"doc_id": gone_id, "removed": numbers})))
+    joined = docs.join(gone, docs["doc_id"].cast("long") == gone[gone_id], "left")
+    lost = F.col(numbers).isNotNull()
+    left = F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains(F.col(numbers), k))
+    joined = joined.withColumn(emptied, lost & ~F.exists(left, lambda line: F.trim(F.regexp_replace(line, r"\s+", " ")) != ""))
+    text, removed = F.when(lost, F.array_join(left, "\n")).otherwise(F.col("text")), F.when(lost, F.size(numbers)).otherwise(0)
+    kept = joined.where(~F.col(emptied)).select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns if c.lower() != "lines_removed"), removed.alias("lines_removed"))
+    return kept

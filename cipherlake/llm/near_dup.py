@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cipherlake.llm.prefixes import links_across
-from cipherlake.llm.text import band_keys, densify, documents_of, lists, mix, ragged, shingle_sets, slices, tune
+from cipherlake.llm.text import band_keys, densify, documents_of, fresh, lists, mix, ragged, shingle_sets, slices, tune
 from cipherlake.operators.components import connected_components
 from cipherlake.plans.scratch import materialize, small
 
@@ -126,5 +126,6 @@ def components(docs: DataFrame, threshold: int = 75) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """The rows of ``docs`` whose document is the first of its group; all columns stay."""
-    gone = materialize(components(docs, threshold).where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(small(gone), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    (gone_id,) = fresh(docs, "gone")
+    gone = small(materialize(components(docs, threshold).where("not kept").select(F.col("doc_id").alias(gone_id)).distinct()))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[gone_id], "left_anti")

@@ -182,3 +182,15 @@ def ragged(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 def documents_of(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns that most operators need, under fixed names and types."""
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -638,3 +638,26 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, table, str(tmp_path))
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in table.collect()}
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).drop("sequence_id", "offset").collect())) == sorted(map(tuple, packed.drop("sequence_id", "offset").collect()))
+
+
+def test_stages_keep_columns_that_are_named_like_their_helpers(spark, tmp_path):
+    import corpus_pipeline
+
+    leak, line = prose(40, 3333), prose(30, 21)
+    texts = [prose(60, 500), f"{line}\n{prose(60, 501)}", f"{line}\n{prose(60, 502)}", prose(60, 500), f"{prose(20, 1)} {leak}", "", None]
+    names = "gone Numbers emptied spans NONE its_text lettered language probability removed key node src component_id gone_ part sequence_id".split()
+    df = spark.createDataFrame([(i, t, "l", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int")
+    df = df.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = {}
+    for stage, apply in corpus_pipeline.STAGES[:-1]:
+        after = apply(spark, df, str(tmp_path))
+        assert after.columns == df.columns
+        rows = after.collect()
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+        kept[stage] = {r["doc_id"] for r in rows}
+    assert kept["language_id"] >= {0, 1, 2, 3, 4} and not kept["language_id"] & {5, 6}
+    assert kept["near_dedup"] == {0, 1, 2, 4, 5, 6} and kept["decontamination"] == {0, 1, 2, 3, 5, 6} and kept["line_dedup"] == {0, 1, 2, 4, 5, 6}
+    assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).collect()} == set(range(7))
+    cut = substring_dedup.drop_repeated_passages(df)
+    assert cut.columns == df.columns and {r["spans"] for r in cut.collect()} == {f"spans{i}" for i in range(7)}

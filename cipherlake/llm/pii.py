@@ -30,7 +30,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cipherlake.llm.text import slices, tune
@@ -71,7 +71,7 @@ PATTERNS = {
     "ip6": r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?=[0-9A-Fa-f:]{3,39}(?![\w:]))[0-9A-Fa-f:]*[0-9A-Fa-f]?::[0-9A-Fa-f:]*)(?![\w:])",
     "iban": r"\b[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b",
     "card": r"(?<![\w.])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?!\w)",
-    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{3,4}(?!\w)",
+    "phone": r"(?<![\w.])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]\(?\d{2,6}\)?){1,4})(?!\w)",
     "id": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
 }
 ENTITY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
@@ -101,6 +101,8 @@ def valid(kind: str, value: str) -> bool:
             return len(value) > 3 and bool(ipaddress.IPv6Address(value))
         except ValueError:
             return False
+    if kind == "phone" and value.startswith("+"):
+        return 8 <= sum(c.isdigit() for c in value) <= 15
     return True
 
 
@@ -195,16 +197,38 @@ class Surrogates:
         return "".join(str(next(new)) if c.isdigit() else c for c in value)
 
     def phone(self, value: str) -> str:
+        """The digits behind a country's code are permuted, whatever stands between them, and take their places."""
         country = re.match(r"\+\d{1,3}(?=[ .(-])", value)
         kept = country.group() if country else ""
-        return kept + self.shaped(value[len(kept) :], f"phone:{kept}")
+        rest = value[len(kept) :]
+        new = iter(self.shaped("".join(c for c in rest if c.isdigit()), "phone"))
+        return kept + "".join(next(new) if c.isdigit() else c for c in rest)
 
     def secret(self, value: str) -> str:
         return self.shaped(value, "secret", HEX if re.fullmatch("[0-9a-f]+", value) else CLASS_OF)
 
     def ip6(self, value: str) -> str:
-        """Hexadecimal digits permuted; where zeros are left out stays."""
-        return self.shaped(value, "ip6", HEX)
+        """The address's groups are permuted among those of as many digits without leading zeros; groups of zero and the spelling stay.
+
+        So all spellings of one address become spellings of one other.
+        """
+        groups = [int(g, 16) for g in ipaddress.IPv6Address(value).exploded.split(":")]
+        spans = [(16 ** (len(f"{g:x}") - 1), 15 * 16 ** (len(f"{g:x}") - 1)) if g else (0, 1) for g in groups]
+        x, size = 0, 1
+        for g, (low, n) in zip(groups, spans, strict=True):
+            x, size = x * n + g - low, size * n
+        x = self.moved(x, size, f"ip6:{spans}")
+        new: list[str] = []
+        for low, n in reversed(spans):
+            x, k = divmod(x, n)
+            new.append(f"{low + k:x}")
+        new.reverse()
+        head, gap, tail = value.partition("::")
+        written = [g for g in head.split(":") if g], [g for g in tail.split(":") if g]
+        places = [*range(len(written[0])), *range(8 - len(written[1]), 8)]
+        laid = [new[k].zfill(len(old)) for k, old in zip(places, [*written[0], *written[1]], strict=True)]
+        laid = [g.upper() if value.isupper() else g for g in laid]
+        return ":".join(laid[: len(written[0])]) + gap + ":".join(laid[len(written[0]) :])
 
     def iban(self, value: str) -> str:
         """Country and grouping stay, the account is permuted, the check digits follow from it."""
@@ -329,8 +353,23 @@ def checked_surrogates(docs: DataFrame, key: bytes, **options: object) -> DataFr
     return done
 
 
+def normal(kind: Column, value: Column) -> Column:
+    """What is alike in all spellings of an entity: the digits of telephone and card numbers, the groups of addresses, letters in lower case."""
+    text = F.lower(value)
+    halves = F.split(text, "::")
+    groups = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
+    head, tail = groups(halves[0]), F.coalesce(groups(F.get(halves, F.lit(1))), F.array().cast("array<string>"))
+    zeros = F.when(F.size(halves) > 1, F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(head) - F.size(tail), F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    address = F.array_join(F.transform(F.concat(head, zeros, tail), lambda g: F.lpad(g, 4, "0")), ":")
+    return F.when(kind.isin("phone", "card"), F.regexp_replace(text, "[^0-9+]", "")).when(kind == "iban", F.replace(text, F.lit(" "))).when(kind == "ip6", address).otherwise(text)
+
+
 def collisions(replaced: DataFrame) -> DataFrame:
-    """Surrogates that stand for more than one entity, or entities with more than one surrogate; none is expected."""
-    each = replaced.select(F.explode("entities").alias("e")).select("e.kind", F.lower("e.entity").alias("entity"), F.lower("e.surrogate").alias("surrogate")).distinct()
+    """Surrogates that stand for more than one entity, or entities with more than one surrogate; none is expected.
+
+    Spellings of one telephone number, card, account or address count as one entity.
+    """
+    e = F.col("e")
+    each = replaced.select(F.explode("entities").alias("e")).select("e.kind", normal(e["kind"], e["entity"]).alias("entity"), normal(e["kind"], e["surrogate"]).alias("surrogate")).distinct()
     by = lambda a, b: each.groupBy("kind", F.col(a).alias("value")).agg(F.count(b).alias("n")).where("n > 1")
     return by("surrogate", "entity").union(by("entity", "surrogate"))

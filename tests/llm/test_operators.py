@@ -1,5 +1,6 @@
 """Each operator against brute force, and its defined results for odd rows."""
 
+import ipaddress
 import random
 import re
 import zlib
@@ -600,6 +601,25 @@ def test_surrogates_are_permutations():
     assert len({s.card(f"41111111111{k:05d}") for k in range(2000)}) == 2000
 
 
+def test_spellings_of_one_entity_share_a_surrogate(spark):
+    """Telephone numbers however they are grouped, addresses with or without their zeros, and numbers of other countries' grouping."""
+    plain = lambda text: re.sub(r"[^0-9+]", "", text)
+    phones = ["(202) 555-0143", "202-555-0143", "202 555 0143", "202.555.0143"]
+    addresses = ["2001:db8:0:0:0:0:0:1", "2001:db8::1", "2001:0DB8::0001", "2001:0db8:0000:0000:0000:0000:0000:0001"]
+    foreign = ["+44 20 7946 0958", "+49 30 123456", "+33 42 68 53 00", "+1 (202) 555-0143", "+1 202 555 0143"]
+    texts = [f"call {x} or see {y} now" for x, y in zip(phones, addresses, strict=True)] + [f"from abroad {x}, thanks" for x in foreign] + ["totals +12 34 and +1 23 456 stay, as 2024 does"]
+    done = pii.checked_surrogates(frame(spark, enumerate(texts)).select("doc_id", "text"), b"key").collect()
+    new = {e["entity"]: e["surrogate"] for r in done for e in r["entities"]}
+    assert set(new) == {*phones, *addresses, *foreign}
+    assert len({plain(new[x]) for x in phones}) == 1 and plain(new[phones[0]]) != plain(phones[0])
+    assert [re.sub(r"\d", "0", new[x]) for x in phones] == [re.sub(r"\d", "0", x) for x in phones]
+    assert len({ipaddress.IPv6Address(new[x]) for x in addresses}) == 1 and "::" in new[addresses[1]] and len(new[addresses[3]]) == 39
+    assert plain(new[foreign[3]]) == plain(new[foreign[4]]) == "+1" + plain(new[phones[0]])
+    # Two spellings with two surrogates would be told.
+    wrong = spark.createDataFrame([([{"kind": "phone", "entity": "202-555-0143", "surrogate": "1"}, {"kind": "phone", "entity": "202 555 0143", "surrogate": "2"}, {"kind": "ip6", "entity": "::1", "surrogate": "::2"}, {"kind": "ip6", "entity": "0:0:0:0:0:0:0:1", "surrogate": "::3"}],)], "entities array<struct<kind:string,entity:string,surrogate:string>>")
+    assert {r["kind"] for r in pii.collisions(wrong).collect()} == {"phone", "ip6"}
+
+
 def test_pipeline_without_labels_or_ids(spark, tmp_path):
     """Unlabelled texts stay, rows without id or with a repeated one are decided on their own, an empty table goes through."""
     import corpus_pipeline

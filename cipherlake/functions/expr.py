@@ -162,10 +162,11 @@ def is_private_v4(column: Column) -> Column:
 
 
 def is_private_v6(column: Column) -> Column:
-    """Whether an IPv6 address, written the usual short way, is in a range that isn't public; null if it is no IPv6 address."""
-    text = F.lower(column)
-    mapped = is_private_v4(F.regexp_extract(text, r"^::ffff:([\d.]+)$", 1))
-    special = r"^(::1?$|64:ff9b:1:|100::|2001:db8:|2002:|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|2001:(?!3:|[23][0-9a-f]:|4:112:)(:|[0-9a-f]{1,2}:|1[0-9a-f]{2}:))"
+    """Whether an IPv6 address, with or without its zeros, is in a range that isn't public; null if it is no IPv6 address."""
+    # Groups without leading zeros.
+    text = F.regexp_replace(F.lower(column), r"(^|:)0+(?=[0-9a-f])", "$1")
+    mapped = is_private_v4(F.regexp_extract(text, r"^(?::|0:0:0:0:0|0::):ffff:([\d.]+)$", 1))
+    special = r"^([0:]*:[01]?$|64:ff9b:1:|100:(?::|0::|0:0::|0:0:0:)|2001:db8:|2002:|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|2001:(?!3:|[23][0-9a-f]:|4:112:)(:|[0-9a-f]{1,2}:|1[0-9a-f]{2}:))"
     return F.coalesce(mapped, F.when(text.rlike(r"^(?=.*:.*:)(?!.*::.*::)[0-9a-f]{0,4}(:[0-9a-f]{0,4}){2,7}$"), text.rlike(special)))
 
 

@@ -36,6 +36,7 @@ def test_private_addresses_agree_with_the_registry(spark):
     got = df.select(expr.is_private_v4(F.col("a")).alias("native"), expr.is_private(F.col("a")).alias("registry")).collect()
     assert [r["native"] for r in got] == [r["registry"] for r in got]
     texts = "::1 :: fe80::1 fd00::1 fc00:1::2 2001:db8::1 2001:4860:4860::8888 2a00:1450::5 2002:1::1 2001::1 2001:20::1 2001:3::1 2001:1ff::1 2001:200::1 64:ff9b:1::1 64:ff9b::1 100::1 3ffe::1 ::ffff:10.0.0.1 ::ffff:8.8.8.8 ff02::1 1.2.3.4 10.0.0.1 12:30 x a::b::c 2600::".split()
+    texts += "0:0:0:0:0:0:0:1 0:0:0:0:0:0:0:0 0000:0000:0000:0000:0000:0000:0000:0001 0::1 ::0 0:0::1 ::0:2 0:0:0:0:0:0:1:1 2001:0db8:0000::1 2001:0DB8:0:0:0:0:0:1 fd00:0:0:0:0:0:0:1 0100:0:0:0:0:0:0:9 100:0:0:1::9 0064:ff9b:0001::1 2001:0:1:2:3:4:5:6 2001:0000::1 2a00:0:0:0:0:0:0:1 0:0:0:0:0:ffff:10.0.0.1 0:0:0:0:0:ffff:8.8.8.8 1::1 0:1::1".split()
     both = spark.createDataFrame([(x,) for x in texts], "a string").select("a", expr.is_private_address(F.col("a")).alias("native"), expr.is_private("a").alias("registry")).collect()
     assert all(r["native"] == r["registry"] for r in both)
     names = spark.createDataFrame([("s3media",), ("foo_bar",), ("web2print",), ("a-b",)], "a string").select(expr.title_case(F.col("a"))).collect()

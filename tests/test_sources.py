@@ -206,3 +206,21 @@ def test_nearest_connection_in_keyed_state(spark, tmp_path):
     want = sorted(((r["event_id"], r[start], r["uid"], r["ts_ms"]) for r in on_time.where(F.col(start) + 2000 <= last).collect()), key=key)
     assert got == want
     assert sum(r[2] is not None for r in got) > 20 and sum(r[2] is None for r in got) > 20
+
+
+def test_keyed_state_takes_many_keys_a_group(spark, monkeypatch):
+    """A call to the state costs a millisecond, so it follows shares and stretches and not the flows' keys."""
+    seen = {}
+
+    def grouped(self, *keys):
+        seen["groups"] = self.select(*keys).distinct()
+        raise StopIteration
+
+    names = "event_id long, src_ip string, dst_ip string, src_port long, dst_port long, protocol long, bidirectional_first_seen_ms long"
+    f = spark.range(20_000).selectExpr("id as event_id", "cast(id as string) as src_ip", "'d' as dst_ip", "1L as src_port", "2L as dst_port", "6L as protocol", "id * 100 as bidirectional_first_seen_ms")
+    assert ", ".join(f"{n} {t.replace('bigint', 'long')}" for n, t in f.dtypes) == names
+    c = spark.createDataFrame([("C", 0, "d", "0", 2, 1, "tcp")], "uid string, ts_ms long, orig_h string, resp_h string, orig_p int, resp_p int, proto string")
+    monkeypatch.setattr(type(f), "groupBy", grouped)
+    with pytest.raises(StopIteration):
+        matching.nearest_connections(f, c)
+    assert seen["groups"].count() <= 2 * matching.SHARES

@@ -21,6 +21,8 @@ SEED, TEST_SHARE, FOLDS = 42, 0.2, 5
 PERMUTATION_ROWS, REPEATS = 4_000, 5
 #: Bins of a pass over values, and rows from which on the rest is counted by value.
 BINS, FINISH = 1024, 50_000
+#: Rows of a partition that a classifier learns from: least before more cores are used, and most.
+LEAST_ROWS, MOST_ROWS = 5_000, 500_000
 
 
 def draw(key: str, seed: int) -> Column:
@@ -131,16 +133,23 @@ def estimators(weight: str = "_weight", trees: int = 300, rounds: int = 200) ->
 
 
 def prepared(rows: DataFrame, label: str) -> DataFrame:
-    """Adds the label as a double and weights that make the classes equal."""
+    """Adds the label as a double and weights that make the classes equal, and deals the rows evenly over the cores.
+
+    Learning goes over its input hundreds of times in the partitions it is
+    given, which for one file or row group would be one task.
+    """
     of = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
     total = sum(of.values())
     weights = F.coalesce(*(F.when(F.col(label) == k, F.lit(total / (len(of) * n))) for k, n in of.items() if k is not None), F.lit(1.0))
-    return rows.withColumns({"_y": F.col(label).cast("double"), "_weight": weights})
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    parts = max(math.ceil(total / MOST_ROWS), min(cores, math.ceil(total / LEAST_ROWS)), 1)
+    return rows.withColumns({"_y": F.col(label).cast("double"), "_weight": weights}).repartition(parts)
 
 
 def fit(rows: DataFrame, label: str, features: Sequence[str], estimator: object) -> PipelineModel:
     """Model over imputed features; medians are learned from ``rows`` and go with the caller's tables."""
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features"), estimator]).fit(prepared(rows, label))
+    narrow = prepared(rows.select(*dict.fromkeys([label, *features])), label)
+    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features"), estimator]).fit(narrow)
 
 
 def probability(model: PipelineModel, rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from cipherlake.operators import train
 from cipherlake.plans import catalog
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -62,3 +63,11 @@ def test_entry_imports_without_llm(tmp_path, leftover):
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
     assert said.returncode == 0, said.stderr
     assert said.stdout.split()[-2:] == [str(len(catalog.queries())), str(len(catalog.oracle_sql()))]
+
+
+def test_learning_is_dealt_over_the_cores(spark):
+    """One file of one row group is one task's, which every tree and round would go over."""
+    rows = spark.range(0, 40_000, 1, 1).selectExpr("id % 2 as y", "cast(id as double) as x")
+    dealt = train.prepared(rows, "y")
+    assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+    assert dealt.agg({"_weight": "sum", "_y": "sum"}).first().asDict() == {"sum(_weight)": 40_000.0, "sum(_y)": 20_000.0}

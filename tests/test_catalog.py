@@ -71,3 +71,18 @@ def test_learning_is_dealt_over_the_cores(spark):
     dealt = train.prepared(rows, "y")
     assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
     assert dealt.agg({"_weight": "sum", "_y": "sum"}).first().asDict() == {"sum(_weight)": 40_000.0, "sum(_y)": 20_000.0}
+
+
+def test_catalogue_takes_invalid_addresses_as_public(spark, tmp_path):
+    """From user 64,000 on the view makes addresses like 10.0.256.1, which are no addresses; the SQL took them as private."""
+    con = duckdb.connect()
+    source = f"{DATA}/events.parquet"
+    if not os.path.exists(source):
+        pytest.skip("no test tables")
+    con.execute(f"copy (select * replace (user_id + event_id % 2 * 64000 as user_id) from '{source}') to '{tmp_path}/events.parquet'")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    got = catalog.queries()["endpoint_catalog"](spark, str(tmp_path))
+    have = [tuple(map(str, r)) for r in got.collect()]
+    want = [tuple(map(str, r)) for r in con.execute(f"select {', '.join(got.columns)} from ({catalog.oracle_sql()['endpoint_catalog']})").fetchall()]
+    assert sorted(have) == sorted(want)
+    assert any(r[0].startswith("10.0.256.") and r[2] == "False" for r in have) and any(r[2] == "True" for r in have)

@@ -21,8 +21,8 @@ SEED, TEST_SHARE, FOLDS = 42, 0.2, 5
 PERMUTATION_ROWS, REPEATS = 4_000, 5
 #: Bins of a pass over values, and rows from which on the rest is counted by value.
 BINS, FINISH = 1024, 50_000
-#: Rows of a partition that a classifier learns from: least before more cores are used, and most.
-LEAST_ROWS, MOST_ROWS = 5_000, 500_000
+#: Rows of a partition that a classifier learns from: least before more cores are used, and most (a forest keeps a count a tree with each row).
+LEAST_ROWS, MOST_ROWS = 5_000, 100_000
 
 
 def draw(key: str, seed: int) -> Column:

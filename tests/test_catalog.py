@@ -86,3 +86,9 @@ def test_catalogue_takes_invalid_addresses_as_public(spark, tmp_path):
     want = [tuple(map(str, r)) for r in con.execute(f"select {', '.join(got.columns)} from ({catalog.oracle_sql()['endpoint_catalog']})").fetchall()]
     assert sorted(have) == sorted(want)
     assert any(r[0].startswith("10.0.256.") and r[2] == "False" for r in have) and any(r[2] == "True" for r in have)
+
+
+def test_learning_bounds_the_rows_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(train, "MOST_ROWS", 1_000)
+    dealt = train.prepared(spark.range(0, 20_500, 1, 1).selectExpr("id % 2 as y"), "y")
+    assert max(dealt.rdd.glom().map(len).collect()) <= 1_000 and dealt.count() == 20_500

@@ -196,6 +196,21 @@ def test_edited_passages_are_found(spark, size, edits):
     assert got <= near and len(near) > 40 and len(got) >= 0.95 * len(near)
 
 
+def test_passages_that_stars_leave_apart_are_found(spark):
+    """Copies whose bucket's first run, and the one before, hold only a part of the passage that is too short."""
+    rng = random.Random(5)
+    words = lambda n: [f"{rng.choice(VOCABULARY)}{rng.randrange(8)}" for _ in range(n)]
+    rows, copies = [], set()
+    for n in range(0, 1600, 40):
+        passage = words(50)
+        part = lambda k, passage=passage: words(60) + passage[k : k + 42] + words(60)
+        texts = [part(k) for k in (0, 4, 8)] + [words(20) + passage + words(60)] + [part(k) for k in (0, 4, 8)] + [words(70) + passage + words(30)]
+        rows += [(n + i, " ".join(x)) for i, x in enumerate(texts)]
+        copies |= {(n + 3, n + 3, False), (n + 7, n + 3, True)}
+    got = {(r["doc_id"], r["component_id"], r["removed"]) for r in substring_dedup.repeated_passages(frame(spark, rows)).collect()}
+    assert got == copies
+
+
 def test_repeated_passage_of_one_long_run(spark):
     """A short period repeated over more than 65,535 windows goes as a whole."""
     text = " ".join([prose(10, 3)] * 7000)

@@ -11,29 +11,38 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cipherlake.functions.expr import artifact_type, numeric
+from cipherlake.plans.scratch import materialize
 
 #: Bytes of a file that Spark reads into one row, and of a piece of a longer one.
 WHOLE, PIECE = 64 << 20, 4 << 20
 
 
+def reached(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Arrow opens it, and the path in it."""
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
 def opened(path: str) -> pa.NativeFile:
     """A file that Spark listed, as a stream."""
-    if path.startswith("file:"):
-        return fs.LocalFileSystem().open_input_stream("/" + path.removeprefix("file:").lstrip("/"))
-    system, inner = fs.FileSystem.from_uri(path)
+    system, inner = reached(path)
     return system.open_input_stream(inner)
 
 
+def digest_of(stream: pa.NativeFile) -> str:
+    """The hash of a stream, read in pieces."""
+    digest = hashlib.sha256()
+    with stream:
+        while piece := stream.read(PIECE):
+            digest.update(piece)
+    return digest.hexdigest()
+
+
 def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``path, sha256, length, modificationTime`` of listed files, each read in pieces."""
     for batch in batches:
-        told = []
-        for path in batch.column(0).to_pylist():
-            digest = hashlib.sha256()
-            with opened(path) as stream:
-                while piece := stream.read(PIECE):
-                    digest.update(piece)
-            told.append(digest.hexdigest())
+        told = [digest_of(opened(path)) for path in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told, pa.string()), batch.column(1), batch.column(2)], ["path", "sha256", "length", "modificationTime"])
 
 
@@ -53,6 +62,59 @@ def files(spark: SparkSession, folder: str, stage: str = "", whole: int = WHOLE)
     return both.select(F.lit(stage).alias("stage"), "path", "sha256", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+#: Files of a folder that :func:`write_files` makes.
+FOLDER = 1000
+
+
+def write_files(rows: DataFrame, folder: str, key: str, text: str) -> DataFrame:
+    """``folder`` of the folders under ``folder`` that hold a file ``key=value`` for each row, with its text as a line.
+
+    ``key`` is unique.  Tasks write the files themselves, about ``FOLDER`` to a
+    folder, so no commit moves them one by one; a task that is repeated writes
+    the same ones again.
+    """
+    # Fixed while the files are written, since the folders follow from it.
+    parts = max(1, -(-rows.count() // FOLDER))
+    dealt = rows.select(F.pmod(F.xxhash64(key), F.lit(parts)).alias("part"), F.col(key).cast("string"), F.col(text).cast("string"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, inner = reached(folder)
+        made = set()
+        for batch in batches:
+            for part, name, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part not in made:
+                    system.create_dir(f"{inner}/part={part}")
+                    made.add(part)
+                with system.open_output_stream(f"{inner}/part={part}/{key}={name}") as out:
+                    out.write(f"{line or ''}\n".encode("utf-8", "surrogatepass"))
+        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/part={p}" for p in made], pa.string())], ["folder"])
+
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    written = dealt.repartition(max(cores, -(-parts // 10)), "part").mapInArrow(write, "folder string")
+    return materialize(written.distinct())
+
+
+def files_of(folders: DataFrame, stage: str = "") -> DataFrame:
+    """As :func:`files`, of the files right in each of ``folders (folder)``, which a task lists and reads in pieces.
+
+    For more files than a driver can list; tasks must reach them by a path that Arrow's file systems open.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                system, inner = reached(folder)
+                found = [f for f in system.get_file_info(fs.FileSelector(inner)) if f.type == fs.FileType.File]
+                told = [digest_of(system.open_input_stream(f.path)) for f in found]
+                paths = [f"{folder}/{f.base_name}" for f in found]
+                times = pa.array([f.mtime_ns // 1000 for f in found], pa.int64()).cast(pa.timestamp("us", "UTC"))
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(told, pa.string()), pa.array([f.size for f in found], pa.int64()), times], ["path", "sha256", "size", "modified"])
+
+    cores = folders.sparkSession.sparkContext.defaultParallelism
+    read_ = folders.repartition(max(cores, -(-folders.count() // 10)), "folder").mapInArrow(read, "path string, sha256 string, size long, modified timestamp")
+    return read_.select(F.lit(stage).alias("stage"), "path", "sha256", "size", "modified")
+
+
 def with_parents(entries: DataFrame, parents: DataFrame) -> DataFrame:
     """Provenance entries with the hash of the file each was made from (``parent_path``)."""
     of = parents.select(F.col("path").alias("parent_path"), F.col("sha256").alias("parent_sha256"))

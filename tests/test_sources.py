@@ -224,3 +224,16 @@ def test_keyed_state_takes_many_keys_a_group(spark, monkeypatch):
     with pytest.raises(StopIteration):
         matching.nearest_connections(f, c)
     assert seen["groups"].count() <= 2 * matching.SHARES
+
+
+def test_files_are_written_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """A file for each row, many to a folder, with the hashes that Spark's reader gives."""
+    monkeypatch.setattr(inventory, "FOLDER", 20)
+    rows = spark.createDataFrame([(i, None if i == 7 else f"page {i} é\n" * i) for i in range(100)], "page_id long, html string")
+    folders = inventory.write_files(rows, f"file://{tmp_path}/pages", "page_id", "html")
+    assert 1 < folders.count() <= 5 and len(list(tmp_path.glob("pages/*/*"))) == 100
+    found = {r["path"].rsplit("=", 1)[1]: (r["sha256"], r["size"]) for r in inventory.files_of(folders).collect()}
+    assert found == {str(i): (hashlib.sha256(t.encode()).hexdigest(), len(t.encode())) for i, t in ((i, ("" if i == 7 else f"page {i} é\n" * i) + "\n") for i in range(100))}
+    spark_read = {r["path"].rsplit("=", 1)[1]: (r["sha256"], r["size"]) for r in inventory.files(spark, f"file://{tmp_path}/pages").collect()}
+    assert spark_read == found
+    assert inventory.files_of(inventory.write_files(rows.limit(0), f"file://{tmp_path}/none", "page_id", "html")).count() == 0

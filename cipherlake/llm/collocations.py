@@ -41,9 +41,9 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Bytes of text handled at once, and most ids that are sent to the tasks.
 SLICE, KNOWN = 4 << 20, 2_000_000
 #: A tile has 2**SIDE ids a side; of the first CORNER tiles a side, DENSE may be dense arrays, from FULL pairs of a buffer on.
-SIDE, CORNER, DENSE, FULL = 10, 64, 8, 1 << 15
-#: Pairs counted together, and entries that a task merges at once.
-BUFFER, MERGE = 1 << 22, 1 << 22
+SIDE, CORNER, DENSE, FULL = 10, 64, 8, 1 << 13
+#: Pairs counted together, entries that a task merges at once, and occurrences of words to a part of the pairs.
+BUFFER, MERGE, PART = 1 << 20, 1 << 20, 1 << 22
 #: No id at this place, and no key.
 GAP, NO_KEY = np.uint32(0xFFFFFFFF), np.int64(-(2**63))
 #: Shares of a language's phrases ranked apart before they are ranked together.
@@ -205,17 +205,17 @@ class Tiles:
         for t in np.argsort(-often)[: DENSE - len(self.dense)].tolist():
             if often[t] >= FULL and t not in self.dense:
                 self.dense[t] = len(self.dense)
-        self.counts = np.concatenate([self.counts, np.zeros((len(self.dense) << 2 * SIDE) - len(self.counts), np.int64)])
-        place = np.full(CORNER * CORNER + 1, -1)
+        if more := (len(self.dense) << 2 * SIDE) - len(self.counts):
+            self.counts = np.concatenate([self.counts, np.zeros(more, np.int64)])
+        dense = np.zeros(CORNER * CORNER + 1, bool)
+        dense[list(self.dense)] = True
+        low = (1 << SIDE) - 1
         for t, k in self.dense.items():
-            place[t] = k
-        mine = place[tile]
-        inside = mine >= 0
-        if inside.any():
-            low = (1 << SIDE) - 1
-            cell = ((a[inside] & low) << SIDE | (b[inside] & low)) + (mine[inside] << 2 * SIDE)
-            self.counts += np.bincount(cell, minlength=len(self.counts))
-        keys, n = np.unique(pairs[~inside], return_counts=True)
+            # One tile at a time, so that no second copy of all is held.
+            here = tile == t
+            cell = (a[here] & low) << SIDE | (b[here] & low)
+            self.counts[k << 2 * SIDE : (k + 1) << 2 * SIDE] += np.bincount(cell, minlength=1 << 2 * SIDE)
+        keys, n = np.unique(pairs[~dense[tile]], return_counts=True)
         yield from self.dealt(keys, n)
 
     def rest(self) -> Iterator[pa.RecordBatch]:
@@ -250,13 +250,14 @@ def counted_pairs(sequences: DataFrame, least: int, parts: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tiles, held, many = Tiles(parts), [], 0
-        for pair in pair_keys(batches):
-            pair = pair[pair != NO_KEY]
-            held.append(pair)
-            many += len(pair)
-            if many >= BUFFER:
-                yield from tiles.add(np.concatenate(held))
-                held, many = [], 0
+        for every in pair_keys(batches):
+            every = every[every != NO_KEY]
+            for pair in np.split(every, range(BUFFER, len(every), BUFFER)):
+                held.append(pair)
+                many += len(pair)
+                if many >= BUFFER:
+                    yield from tiles.add(np.concatenate(held))
+                    held, many = [], 0
         if many:
             yield from tiles.add(np.concatenate(held))
         yield from tiles.rest()
@@ -305,7 +306,7 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int) -> tuple[list[Da
         seed += 1
     totals = materialize(words.groupBy("lang").agg(F.sum("n").alias("n")))
     every = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-every // MERGE))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-every // PART))
     known = materialize(ranked(words.where(F.col("n") >= least), ["lang", "word"]))
     drop_table(words)
     own = F.array("n")

@@ -2,9 +2,12 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +110,23 @@ def test_tiles_count_what_stands_in_them(monkeypatch):
     assert got == want
 
 
+def test_counting_of_pairs_is_bounded_in_memory():
+    """A task that counts eight million pairs holds its dense tiles and one buffer's arrays."""
+    stages = []
+    frame = SimpleNamespace(mapInArrow=lambda f, _: stages.append(f) or frame, repartitionById=lambda *_: frame)
+    collocations.counted_pairs(frame, 1, 7)
+    ids = (np.random.default_rng(3).zipf(1.3, 1 << 19) % 60_000).astype(np.uint32)
+    batch = pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary())], ["ids"])
+    tracemalloc.start()
+    try:
+        n = sum(int(np.frombuffer(c, np.int64).sum()) for out in stages[0](iter([batch] * 16)) for c in out.column(2).to_pylist())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 16 * (len(ids) - 1)
+    assert peak < 260 << 20
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     """Counts near 2**62, whose products by two millions pass 64 bits, and ties after flooring."""
     big = 2**62 - 57

@@ -12,7 +12,7 @@ import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from cipherlake.llm import chat, decontaminate, language, line_dedup, near_dup, packing, pii, quality, substring_dedup, topk
+from cipherlake.llm import chat, decontaminate, language, line_dedup, near_dup, packing, pii, prefixes, quality, substring_dedup, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, kept string, score string, key string, node string, removed string, component_id string, gone_id string"
 RNG = random.Random(11)
@@ -696,3 +696,23 @@ def test_stages_keep_columns_that_are_named_like_their_helpers(spark, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).collect()} == set(range(7))
     cut = substring_dedup.drop_repeated_passages(df)
     assert cut.columns == df.columns and {r["spans"] for r in cut.collect()} == {f"spans{i}" for i in range(7)}
+
+
+def test_sets_just_below_the_similarity_are_no_candidates(spark):
+    """Of long sets of several components few pairs below the threshold are candidates, and none at it is lost."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(-(2**62), 2**62, 500)
+    rows = []
+    for k in range(60):
+        # Every two share about 0.76; each third one comes near the one before.
+        own = rows[-1][3][3:] if k % 3 == 2 else np.concatenate([np.delete(base, rng.choice(500, 33, replace=False)), rng.integers(-(2**62), 2**62, 33)]).tolist()
+        rows.append((k, k, 0, list(own)))
+    sets = spark.createDataFrame(rows, "node long, component long, sketch long, shingles array<long>")
+    alike = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    every = {(i, j): alike(rows[i][3], rows[j][3]) for i in range(60) for j in range(i)}
+    linked = {frozenset(p) for p, s in every.items() if s >= 0.8}
+    assert linked and sum(0.7 <= s < 0.8 for s in every.values()) > 1000
+    made = prefixes.pairs(prefixes.heads(sets, 80), 80, 64, False).collect()
+    got = {frozenset((r["src"], r["dst"])) for r in made}
+    assert linked <= got
+    assert len(got) < 0.3 * len(every)

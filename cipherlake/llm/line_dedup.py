@@ -37,6 +37,8 @@ HOT, RATE = 4096, 64
 DIFFERENT = 21
 #: Near pairs a node from which a bucket is dense.
 DENSE = 4
+#: Different lines that a task remembers, so as to tell those it has seen.
+SEEN = 1 << 18
 
 
 def canonical(line: str) -> str:
@@ -89,10 +91,15 @@ def shingle_rows(lines: list[str], width: int) -> list[np.ndarray]:
 
 
 def line_signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``doc_id, line, node, sketch`` and a key of each band of every line that isn't blank; ``node`` hashes the canonical line."""
+    """``doc_id, line, node, sketch, again`` and a key of each band of every line that isn't blank; ``node`` hashes the canonical line.
+
+    ``again`` tells a line that the task has seen, so most copies are known
+    without a shuffle; a copy that it doesn't tell costs time alone.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty, one = np.uint64(2**64 - 1), np.uint64(1)
+        seen: set[int] = set()
         for batch in slices(batches, 1 << 18):
             docs_, numbers, lines = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -105,15 +112,22 @@ def line_signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             if not lines:
                 continue
             nodes = np.frombuffer(b"".join(map(line_hash, lines)), "<i8")
+            again = np.ones(len(nodes), bool)
+            values, first = np.unique(nodes, return_index=True)
+            fresh_ = np.array([x not in seen for x in values.tolist()], bool)
+            again[first[fresh_]] = False
+            if len(seen) > SEEN:
+                seen.clear()
+            seen.update(values[fresh_].tolist())
             value, owner = line_shingles(lines, width)
             cells = np.full(len(lines) * BINS, empty)
             np.minimum.at(cells, owner * BINS + (value >> np.uint64(58)).astype(np.int64), value & np.uint64(2**58 - 1))
             cells = densify(cells.reshape(-1, BINS), empty)
             keys = band_keys(cells, BANDS, ROWS)
             sketch = ((mix(cells + np.arange(BINS, dtype=np.uint64)) & one) << np.arange(BINS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(numbers, pa.int32()), pa.array(nodes), pa.array(sketch), *(pa.array(k) for k in np.ascontiguousarray(keys.T))], ["doc_id", "line", "node", "sketch", *KEYS])
+            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(numbers, pa.int32()), pa.array(nodes), pa.array(sketch), pa.array(again), *(pa.array(k) for k in np.ascontiguousarray(keys.T))], ["doc_id", "line", "node", "sketch", "again", *KEYS])
 
-    return tune(docs).mapInArrow(sign, "doc_id long, line int, node long, sketch long, " + ", ".join(f"{k} long" for k in KEYS))
+    return tune(docs).mapInArrow(sign, "doc_id long, line int, node long, sketch long, again boolean, " + ", ".join(f"{k} long" for k in KEYS))
 
 
 def one_each(lines: DataFrame) -> DataFrame:
@@ -133,12 +147,23 @@ def alike(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``src, dst, key`` of the pairs to confirm in each bucket of ``key, node, sketch``; ``key`` only for dense buckets.
+    """``src, dst, key`` of the pairs to confirm in each bucket of ``key, node, sketch, head``, sorted by ``key``; ``key`` only for dense buckets.
 
-    A bucket with at most ``DENSE`` near pairs a node gives them all.  In a
+    Nodes of a bucket are taken once each, its head first and the others in an
+    order of their own.  A bucket with at most ``DENSE`` near pairs a node gives them all.  In a
     dense one every node is near some hub, and each hub meets the whole bucket.
     """
-    for key, node, sketch in runs(batches):
+    for key, node, sketch, head in runs(batches):
+        # Most keys have one row; only the others are put in order.
+        same = key[1:] == key[:-1]
+        some = np.flatnonzero(np.append(False, same) | np.append(same, False))
+        key, node, sketch, head = key[some], node[some], sketch[some], head[some].astype(bool)
+        order = np.lexsort((node, mix(node.view(np.uint64) + mix(key.view(np.uint64))), ~head, key))
+        key, node, sketch, head = key[order], node[order], sketch[order], head[order]
+        once = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (head[1:] != head[:-1]))[: len(key)]
+        key, node, sketch = key[once], node[once], sketch[once]
+        if not len(key):
+            continue
         sketch = sketch.view(np.uint64)  # bits of negative numbers aren't counted as they stand
         bucket = np.cumsum(np.append(False, key[1:] != key[:-1]))
         size, many = np.bincount(bucket), np.zeros(bucket[-1] + 1, np.int64)
@@ -188,15 +213,15 @@ def similar_lines(docs: DataFrame, lines: DataFrame, similarity: float = SIMILAR
     filtering, which loses none.  The nodes of a crowded bucket are dealt over
     parts that share one hub.
     """
-    keyed = exploded(one_each(lines))
+    keyed = exploded(lines.where("not again"))
     full = materialize(crowded(lines))
     part = F.xxhash64("key", "salt")
     heads = full.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(part.alias("key"), "head.node", "head.sketch", F.lit(True).alias("head"))
     salt = F.pmod(F.xxhash64("node", F.lit(HOT)), F.coalesce("parts", F.lit(1))).cast("int")
     dealt = keyed.join(small(full.select("key", "parts")), "key", "left").withColumn("salt", salt)
     dealt = dealt.select(F.when(F.col("parts").isNotNull(), part).otherwise(F.col("key")).alias("key"), "node", "sketch", F.lit(False).alias("head")).union(heads)
-    sorted_ = dealt.repartition("key").sortWithinPartitions("key", F.desc("head"), F.xxhash64("node", "key"))
-    near = materialize(sorted_.select("key", "node", "sketch").mapInArrow(compared, "src long, dst long, key long").distinct())
+    sorted_ = dealt.repartition("key").sortWithinPartitions("key")
+    near = materialize(sorted_.select("key", "node", "sketch", "head").mapInArrow(compared, "src long, dst long, key long").distinct())
     pairs = materialize(near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
 
     # Nodes of a split bucket don't all meet, and those of a dense one meet hubs only.
@@ -217,7 +242,7 @@ def similar_lines(docs: DataFrame, lines: DataFrame, similarity: float = SIMILAR
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["node", "sketch", "text"])
 
     texts = tune(docs.join(small(wanted), "doc_id").select("doc_id", "text", "wanted")).mapInArrow(lookup, "node long, sketch long, text string")
-    texts = materialize(texts.dropDuplicates(["node"]))
+    known = materialize(texts.dropDuplicates(["node"]))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,6 +254,9 @@ def similar_lines(docs: DataFrame, lines: DataFrame, similarity: float = SIMILAR
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs``, which should be materialized, that are alike; only their lines are moved."""
+        ends = small(materialize(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()))
+        texts = known.join(ends, "node", "left_semi")
         both = pairs.join(texts.select(F.col("node").alias("src"), F.col("text").alias("a")), "src").join(texts.select(F.col("node").alias("dst"), F.col("text").alias("b")), "dst")
         return both.select("src", "dst", "a", "b").mapInArrow(confirm, "src long, dst long")
 
@@ -239,7 +267,7 @@ def similar_lines(docs: DataFrame, lines: DataFrame, similarity: float = SIMILAR
     found = dense.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     found = materialize(found)
     mixed = found.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
-    left = found.join(mixed, "key", "left_semi").select("node", "component").distinct().join(texts, "node")
+    left = found.join(mixed, "key", "left_semi").select("node", "component").distinct().join(known, "node")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

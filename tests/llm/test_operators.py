@@ -143,6 +143,22 @@ def test_fuzzy_lines(spark, docs, monkeypatch):
     assert line_dedup.crowded(signed).count() > 0 and linked(split) == linked(want)
 
 
+def test_copies_of_a_line_are_dealt_once(spark, monkeypatch):
+    """Copies are told in the task that reads them, and those that it forgets change no link; bucket rows bring one value of parities."""
+    lines = [prose(12, s) for s in range(20)]
+    lines += [*lines, *(f"{x} end" for x in lines[:10])]
+    text = line_dedup.documents_of(frame(spark, enumerate(lines))).coalesce(1)
+    linked = lambda signed: {frozenset((r["src"], r["dst"])) for r in line_dedup.similar_lines(text, signed).collect()}
+    signed = line_dedup.line_signatures(text).persist()
+    assert signed.count() == 50 and signed.where("not again").count() == len(set(lines)) == 30
+    monkeypatch.setattr(line_dedup, "SEEN", -1)
+    every = line_dedup.line_signatures(text.repartition(7)).persist()
+    assert every.where("not again").count() > 30 and linked(every) == linked(signed) and len(linked(signed)) > 5
+    sets = spark.createDataFrame([(1, 1, 0, [1, 2, 3]), (2, 2, 0, [1, 2, 3, 4])], "node long, component long, sketch long, shingles array<long>")
+    assert dict(prefixes.heads(sets, 50).dtypes)["parity"] == "binary" and len(prefixes.heads(sets, 50).columns) == 8
+    assert {(r["src"], r["dst"]) for r in prefixes.pairs(prefixes.heads(sets, 50), 50, 64, False).collect()} == {(1, 2)}
+
+
 def test_fuzzy_lines_of_a_templated_family(spark):
     """Lines 0.7 alike through one template: all components that brute force finds, though the hubs fail."""
     rng = random.Random(4)

@@ -460,3 +460,16 @@ def test_boosting_learns_from_combinations_of_bins(spark):
     assert max(abs(own[k] - other[k]) for k in own) < 1e-9 and len(set(own.values())) > 3
     odd = spark.createDataFrame([(float("-inf"), 1.0), (0.0, 1.0), (float("inf"), 1.0), (float("nan"), 1.0)] * 2, "v double, k double")
     assert all(x == sorted(set(x)) for x in train.borders(odd, ["v", "k"])) and len(train.borders(odd, ["v", "k"])[0]) == 2
+
+
+
+def test_flows_of_one_cluster_stay_where_they_are(spark):
+    """Nearly all flows may be of one cluster, so they aren't dealt by cluster."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = graph.build(detect.suspicious(catalog.tiered(spark, "/root/testdata/sf0.001")))
+        sorts = lambda df: sum("SortMergeJoin" in x and "isnull(cluster_id" in x for x in df._jdf.queryExecution().sparkPlan().toString().splitlines())
+        assert sorts(made["flows"]) == sorts(made["clusters"]) == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)

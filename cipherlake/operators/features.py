@@ -130,7 +130,21 @@ def top_shares(table: DataFrame) -> DataFrame:
 
 
 def near_constant_features(table: DataFrame, share: float = 0.995) -> list[str]:
-    return [r["feature"] for r in top_shares(table).where(F.col("top_share") > share).collect()]
+    """Columns one value of which, null counting as one, has more than ``share`` of the rows.
+
+    A value with well over half of the rows is the median, which a rough
+    percentile finds with certainty, so its rows are counted without a shuffle
+    of all values.
+    """
+    if share < 0.75:
+        return [r["feature"] for r in top_shares(table).where(F.col("top_share") > share).collect()]
+    columns = [(c, F.col(c).cast("double")) for c in table.columns]
+    if not columns:
+        return []
+    middle = table.agg(*(F.percentile_approx(v, F.lit(0.5), F.lit(100)).alias(f"m{i}") for i, (_, v) in enumerate(columns))).first()
+    known = lambda i, v: F.count_if(v == F.lit(middle[f"m{i}"])) if middle[f"m{i}"] is not None else F.lit(0)
+    counts = table.agg(F.count("*").alias("n"), *(F.greatest(known(i, v), F.count_if(v.isNull())).alias(f"c{i}") for i, (_, v) in enumerate(columns))).first()
+    return [c for i, (c, _) in enumerate(columns) if counts["n"] and counts[f"c{i}"] / counts["n"] > share]
 
 
 def correlations(table: DataFrame) -> DataFrame:

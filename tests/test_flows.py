@@ -462,6 +462,13 @@ def test_boosting_learns_from_combinations_of_bins(spark):
     assert all(x == sorted(set(x)) for x in train.borders(odd, ["v", "k"])) and len(train.borders(odd, ["v", "k"])[0]) == 2
 
 
+def test_near_constant_columns_without_a_shuffle_of_values(spark, monkeypatch):
+    rows = spark.range(2000).selectExpr("id as many", "if(id < 5, id, 7) as one", "if(id < 20, id, 7) as less", "if(id < 5, id, null) as gone", "cast(null as double) as none", "-0.0 as zero")
+    want = [r["feature"] for r in features.top_shares(rows).where("top_share > 0.995").collect()]
+    monkeypatch.setattr(features, "top_shares", None)
+    assert sorted(features.near_constant_features(rows)) == sorted(want) == ["gone", "none", "one", "zero"]
+    assert features.near_constant_features(rows.limit(0)) == []
+
 
 def test_flows_of_one_cluster_stay_where_they_are(spark):
     """Nearly all flows may be of one cluster, so they aren't dealt by cluster."""

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cipherlake.operators import asof, canonical, detect, features, gates, graph, report
 from cipherlake.plans.scratch import materialize
@@ -52,8 +54,10 @@ def dashboard(tiered: DataFrame, tables: Mapping[str, DataFrame], key: str, alia
 
     Addresses that have no alias are told by their hash under ``alias_key``.
     """
-    catalogue = materialize(report.endpoint_catalogue(tiered))
     shown = graph.view(dict(tables))
+    busiest, strongest = materialize(report.top_endpoints(tables["nodes"], 8)), materialize(report.strongest(tiered, key))
+    ends = [shown["nodes"].select("endpoint"), busiest.select("endpoint"), *(t.select(F.explode(F.array(*c)).alias("endpoint")) for t, c in ((shown["edges"], ("endpoint_a", "endpoint_b")), (strongest, ("src_ip", "dst_ip"))))]
+    catalogue = materialize(report.endpoint_catalogue(tiered, reduce(DataFrame.union, ends)))
     decorated = graph.decorate(shown["nodes"], shown["edges"], catalogue, key=alias_key)
     return {
         "overview": report.overview(tiered),
@@ -62,8 +66,8 @@ def dashboard(tiered: DataFrame, tables: Mapping[str, DataFrame], key: str, alia
         "trend": report.window_order(report.protocol_trend(tiered)),
         "timeline": report.window_order(report.alert_timeline(tiered)),
         "mix": report.service_highlights(report.protocol_breakdown(tiered)).drop("top_requested_server_names"),
-        "endpoints": report.decorated_endpoints(tables["nodes"], catalogue),
-        "spotlight": report.spotlight(tiered, catalogue, key),
+        "endpoints": report.decorated_endpoints(busiest, catalogue),
+        "spotlight": report.spotlight(tiered, catalogue, key, top=strongest),
         "graph_nodes": decorated["nodes"],
         "graph_edges": decorated["edges"],
     }

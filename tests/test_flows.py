@@ -480,3 +480,11 @@ def test_flows_of_one_cluster_stay_where_they_are(spark):
         assert sorts(made["flows"]) == sorts(made["clusters"]) == 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_catalogue_of_a_few_addresses(spark):
+    rows = materialize(catalog.tiered(spark, "/root/testdata/sf0.001"))
+    whole = {r["endpoint"]: r.asDict() for r in report.endpoint_catalogue(rows).collect()}
+    some = sorted(whole)[::7]
+    few = report.endpoint_catalogue(rows, spark.createDataFrame([(x,) for x in [*some, some[0], "nowhere"]], "endpoint string"))
+    assert {r["endpoint"]: r.asDict() for r in few.collect()} == {x: whole[x] for x in some} and len(some) > 5

@@ -227,6 +227,58 @@ def test_passages_that_stars_leave_apart_are_found(spark):
     assert got == copies
 
 
+def test_passages_of_few_words_over_and_over_make_no_pair_for_each(spark, monkeypatch):
+    """Documents of repeated words all share buckets; their pairs follow their number, not its square."""
+    made = []
+    keep = substring_dedup.left_apart
+    monkeypatch.setattr(substring_dedup, "left_apart", lambda *a: made.append(substring_dedup.materialize(keep(*a))) or made[-1])
+
+    def junk(i):
+        return " ".join(" ".join([w] * (30 + (7 * i + 11 * k) % 40)) for k, w in enumerate(random.Random(i).sample(["a", "the", "in", "of", "hash"], 4)))
+
+    pairs, listed = [], []
+    for n in (40, 120):
+        rows = [(i, junk(i)) for i in range(n)]
+        listed.append({r["doc_id"] for r in substring_dedup.repeated_passages(frame(spark, rows)).collect()})
+        pairs.append(made[-1].select("doc_id", "kept_doc_id").distinct().count())
+    assert pairs[0] and pairs[1] < 6 * pairs[0]
+    assert listed[0] <= listed[1] and len(listed[1]) > 100
+
+
+def test_short_common_phrases_are_looked_up_by_none():
+    """What a cell has in common by fewer shingles than a similar paragraph needs isn't compared; a common passage is."""
+    rng = np.random.default_rng(5)
+    phrase, passage = rng.integers(0, 2**31, 30), rng.integers(0, 2**31, 46)
+    runs = [np.concatenate([rng.integers(0, 2**31, 20), phrase, rng.integers(0, 2**31, 20)]) for _ in range(50)]
+    runs += [np.concatenate([rng.integers(0, 2**31, 12), passage, rng.integers(0, 2**31, 12)]) for _ in range(2)]
+    size, flat = np.array([len(r) for r in runs]), np.concatenate(runs).astype(np.int32)
+    ok = substring_dedup.able(np.zeros(52, np.int64), np.arange(52), np.full(52, 46), size, flat)
+    assert not ok[: 50 * 70].any()
+    # 40 of the 46 suffice, at either end.
+    assert [np.flatnonzero(ok[a : a + 70]).tolist() for a in (3500, 3570)] == [list(range(6, 19))] * 2
+    # One document alone doesn't share with itself.
+    assert not substring_dedup.able(np.zeros(2, np.int64), np.zeros(2, np.int64), np.full(2, 46), size[50:], flat[3500:]).any()
+
+
+def test_partners_of_runs_across_batches(spark):
+    """First and former run of a bucket are the same however its rows are cut into batches."""
+    rng = random.Random(3)
+    rows = sorted((rng.randrange(60) ** 2 // 60, rng.randrange(50), i) for i in range(300))
+    want, by = [], {}
+    for k, d, c in rows:
+        by.setdefault(k, []).append((d, c))
+    for k, members in by.items():
+        want += [(k, *m, *members[0], *members[max(0, i - 1)], i == 0, i == 1) for i, m in enumerate(members) if len(members) > 1]
+    df = spark.createDataFrame(rows, "key long, doc_id long, code long")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in (1, 3, 1000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+            assert sorted(map(tuple, substring_dedup.partners(df).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_repeated_passage_of_one_long_run(spark):
     """A short period repeated over more than 65,535 windows goes as a whole."""
     text = " ".join([prose(10, 3)] * 7000)

@@ -29,10 +29,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cipherlake.llm.text import mix, slices, text_bytes, word_hashes, word_spans
+from cipherlake.llm.prefixes import runs
+from cipherlake.llm.text import mix, slices, text_bytes, tune, word_hashes, word_spans
 from cipherlake.operators.ranking import dense_numbers
 from cipherlake.plans.scratch import drop_table, materialize, small
 
@@ -43,7 +45,9 @@ SLICE, KNOWN = 4 << 20, 2_000_000
 #: A tile has 2**SIDE ids a side; of the first CORNER tiles a side, DENSE may be dense arrays, from FULL pairs of a buffer on.
 SIDE, CORNER, DENSE, FULL = 10, 64, 8, 1 << 13
 #: Pairs counted together, entries that a task merges at once, and occurrences of words to a part of the pairs.
-BUFFER, MERGE, PART = 1 << 20, 1 << 20, 1 << 22
+BUFFER, MERGE, PART = 1 << 19, 1 << 19, 1 << 21
+#: Documents, and long binary rows, in an Arrow batch; words whose bytes are compared together.
+DOCUMENTS, LONG, COMPARED = 1024, 16, 1 << 16
 #: No id at this place, and no key.
 GAP, NO_KEY = np.uint32(0xFFFFFFFF), np.int64(-(2**63))
 #: Shares of a language's phrases ranked apart before they are ranked together.
@@ -66,7 +70,7 @@ def words_of(batch: pa.RecordBatch, seed: int) -> tuple[np.ndarray, ...]:
     data = letters()[data]
     begins, ends = word_spans(data, at[:-1])
     row = np.searchsorted(at, begins, "right") - 1
-    piece = np.cumsum(data == 10)[begins] + row if len(begins) else row
+    piece = np.cumsum(data == 10, dtype=np.int32)[begins] + row if len(begins) else row
     kinds = batch.column(0).dictionary_encode()
     names, name_at = text_bytes(kinds.dictionary)
     kind = mix(word_hashes(names, name_at[:-1], name_at[1:]) + np.uint64(seed))[kinds.indices.to_numpy()] if batch.num_rows else np.zeros(0, np.uint64)
@@ -81,6 +85,19 @@ def strings(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(at.tobytes()), pa.py_buffer(flat.tobytes()))
 
 
+def unlike(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, same: np.ndarray) -> bool:
+    """Whether the bytes of any word differ from those of the word that ``same`` gives for it."""
+    sizes = ends - begins
+    if (sizes != sizes[same]).any():
+        return True
+    for a in range(0, len(sizes), COMPARED):
+        some = sizes[a : a + COMPARED]
+        inner = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
+        if (data[np.repeat(begins[a : a + COMPARED], some) + inner] != data[np.repeat(begins[same[a : a + COMPARED]], some) + inner]).any():
+            return True
+    return False
+
+
 def counted_words(docs: DataFrame, seed: int) -> DataFrame:
     """``lang, word, h, n`` of all words."""
 
@@ -96,16 +113,14 @@ def counted_words(docs: DataFrame, seed: int) -> DataFrame:
             one = order[first]
             same = np.empty(len(h), np.int64)
             same[order] = one[np.cumsum(fresh) - 1]
-            sizes = ends - begins
-            inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            if (kinds != kinds[same]).any() or (sizes != sizes[same]).any() or (data[np.repeat(begins, sizes) + inner] != data[np.repeat(begins[same], sizes) + inner]).any():
+            if (kinds != kinds[same]).any() or unlike(data, begins, ends, same):
                 # Two words of one hash: shown to the caller as the key that no word may have.
                 yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([""]), pa.array([NO_KEY]), pa.array([0], pa.int64())], ["lang", "word", "h", "n"])
                 continue
             n = np.diff(np.append(first, len(h)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[one])), strings(data, begins[one], ends[one]), pa.array(h[one].view(np.int64)), pa.array(n)], ["lang", "word", "h", "n"])
 
-    return docs.mapInArrow(count, "lang string, word string, h long, n long").groupBy("lang", "word", "h").agg(F.sum("n").alias("n"))
+    return tune(docs, DOCUMENTS).mapInArrow(count, "lang string, word string, h long, n long").groupBy("lang", "word", "h").agg(F.sum("n").alias("n"))
 
 
 def word_keys(seed: int) -> Keys:
@@ -144,8 +159,11 @@ def rows_of(sequences: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in sequences], pa.binary())], ["ids"])
 
 
-def numbered(rows: DataFrame, keys: Keys, table: DataFrame) -> DataFrame:
-    """``ids``: the sequences of ``rows``, each key replaced by its id in ``table (key, id)``, a gap where it has none."""
+def numbered(rows: DataFrame, keys: Keys, table: DataFrame, batch: int) -> DataFrame:
+    """``ids``: the sequences of ``rows``, each key replaced by its id in ``table (key, id)``, a gap where it has none.
+
+    ``batch`` is the number of rows that a task takes at once.
+    """
     spark = rows.sparkSession
     if table.limit(KNOWN + 1).count() <= KNOWN:
         known = table.select("key", "id").toArrow()
@@ -162,29 +180,23 @@ def numbered(rows: DataFrame, keys: Keys, table: DataFrame) -> DataFrame:
                     if (found != GAP).any():
                         yield rows_of([found])
 
-        return materialize(rows.mapInArrow(look, "ids binary"))
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for wanted in keys(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([wanted.tobytes()], pa.binary())], ["keys"])
+        return materialize(tune(rows, batch).mapInArrow(look, "ids binary"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for sequence, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                wanted = np.frombuffer(row.as_buffer(), np.int64)
-                at = np.flatnonzero(wanted != NO_KEY)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), sequence)), pa.array(at), pa.array(wanted[at])], ["sequence", "pos", "key"])
+        first = TaskContext.get().partitionId() << 40
+        for nth, wanted in enumerate(keys(batches)):
+            at = np.flatnonzero(wanted != NO_KEY)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), first + nth)), pa.array(at), pa.array(wanted[at])], ["sequence", "pos", "key"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for pos, ids in zip(batch.column(0), batch.column(1), strict=True):
-                pos, ids = (c.values.to_numpy() for c in (pos, ids))
-                yield rows_of([packed(np.insert(ids.astype(np.uint32), np.flatnonzero(np.diff(pos) > 1) + 1, GAP))])
+        for sequence, pos, ids in runs(batches):
+            apart = np.flatnonzero((np.diff(pos) > 1) | (sequence[1:] != sequence[:-1])) + 1
+            yield rows_of([packed(np.insert(ids.astype(np.uint32), apart, GAP))])
 
-    wide = materialize(rows.mapInArrow(write, "keys binary")).select(F.monotonically_increasing_id().alias("sequence"), "keys")
-    found = wide.mapInArrow(spread, "sequence long, pos long, key long").join(table.select("key", "id"), "key")
-    found = found.groupBy("sequence").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("s"))
-    return materialize(found.select("s.pos", "s.id").mapInArrow(gather, "ids binary"))
+    found = tune(rows, max(batch, DOCUMENTS)).mapInArrow(spread, "sequence long, pos long, key long").join(table.select("key", "id"), "key")
+    # Sorted, not gathered into arrays, so that rows can spill.
+    ordered = found.select("sequence", "pos", "id").repartition("sequence").sortWithinPartitions("sequence", "pos")
+    return materialize(ordered.mapInArrow(gather, "ids binary"))
 
 
 class Tiles:
@@ -311,9 +323,9 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int) -> tuple[list[Da
     drop_table(words)
     own = F.array("n")
     tables = [known.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), own.alias("pre"), own.alias("suf"))]
-    sequences = numbered(docs, word_keys(seed), known.select(F.col("h").alias("key"), "id"))
+    sequences = numbered(docs, word_keys(seed), known.select(F.col("h").alias("key"), "id"), DOCUMENTS)
     for size in range(2, longest + 1):
-        pairs = materialize(ranked(materialize(counted_pairs(sequences, least, parts)), ["key"]))
+        pairs = materialize(ranked(materialize(counted_pairs(tune(sequences, LONG), least, parts)), ["key"]))
         if (pairs.agg(F.max("id")).first()[0] or 0) >= int(GAP):
             raise ValueError("too many frequent phrases for 32-bit ids")
         a, b = F.shiftrightunsigned("key", 32), F.col("key").bitwiseAND(0xFFFFFFFF)
@@ -324,7 +336,7 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int) -> tuple[list[Da
         tables.append(materialize(both.select("id", "a", "b", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", grown("pre"), grown("suf"))))
         if size < longest:
             shorter = sequences
-            sequences = numbered(shorter, pair_keys, pairs.select("key", "id"))
+            sequences = numbered(shorter, pair_keys, pairs.select("key", "id"), LONG)
             drop_table(shorter)
     drop_table(sequences)
     return tables, totals

@@ -127,6 +127,27 @@ def test_counting_of_pairs_is_bounded_in_memory():
     assert peak < 260 << 20
 
 
+def test_counting_of_words_is_bounded_in_memory(spark):
+    """A task that counts the words of slices of four megabytes holds few arrays of their size."""
+    stages, asked = [], []
+    frame = SimpleNamespace(mapInArrow=lambda f, _: stages.append(f) or frame, groupBy=lambda *_: frame, agg=lambda *_: frame, sparkSession=SimpleNamespace(conf=SimpleNamespace(set=lambda k, v: asked.append((k, v)))))
+    collocations.counted_words(frame, 0)
+    rng = np.random.default_rng(3)
+    text = " ".join(f"w{i}" for i in (rng.zipf(1.3, 1 << 12) % 6_000).tolist())
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 1024), pa.array([text[:4000]] * 1024)], ["lang", "text"])
+    want = 3 * 1024 * len(text[:4000].split())
+    tracemalloc.start()
+    try:
+        n = sum(sum(out.column(3).to_pylist()) for out in stages[0](iter([batch] * 3)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == want
+    assert peak < 160 << 20
+    # Whole documents come in small batches, since Spark holds a batch outside of its heap.
+    assert asked and all(int(v) <= 1024 for k, v in asked if k == "spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     """Counts near 2**62, whose products by two millions pass 64 bits, and ties after flooring."""
     big = 2**62 - 57
